@@ -1,7 +1,7 @@
 """Ordered window functions that do not put one key's whole history into one task.
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task, and one vehicle may hold
-a third of all rows. Here a key's history is cut into time slices: the window runs inside
+a third of all rows. Here a key's history is cut into slices of the order column (a day, 25 km): the window runs inside
 (key, slice), and what a slice needs from the slices before it - the last row, the running sum,
 the row count, the running maximum - comes from a one-row-per-slice summary joined back in.
 The summary, the window and the join all hash on (key, slice), so the rows are shuffled once.
@@ -15,37 +15,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_NO_TIME = -(2**62)
+_BEFORE_ALL = -(2**62)
 
 
 def with_history(
     df: DataFrame,
     keys: Sequence[str],
-    ts: str,
+    order_by: str,
     tiebreak: Sequence[str],
-    slice_seconds: int,
+    slice_width: float,
     *,
     lag: Sequence[str] = (),
     sums: dict[str, Column] | None = None,
     running_max: dict[str, Column] | None = None,
     number: str | None = None,
 ) -> DataFrame:
-    """Adds, per key in (ts, tiebreak) order:
+    """Adds, per key in (order_by, tiebreak) order:
 
     ``prev_<c>`` for every column in ``lag``; inclusive running sums; the maximum over all *earlier*
-    rows; and the 1-based row number.
+    rows; and the 1-based row number. ``order_by`` is a timestamp (``slice_width`` in seconds) or a
+    number (``slice_width`` in its unit).
     """
     sums, running_max = sums or {}, running_max or {}
-    slice_no = F.coalesce(F.floor(F.unix_seconds(F.col(ts)) / slice_seconds), F.lit(_NO_TIME))
+    position = F.col(order_by)
+    if df.schema[order_by].dataType.typeName() == "timestamp":
+        position = F.unix_micros(position) / 1e6
+    slice_no = F.coalesce(F.floor(position / slice_width), F.lit(_BEFORE_ALL))
     parted = df.withColumn("_slice", slice_no).repartition(*keys, "_slice")
-    order = [F.col(ts).asc_nulls_first(), *(F.col(c) for c in tiebreak)]
+    order = [F.col(order_by).asc_nulls_first(), *(F.col(c) for c in tiebreak)]
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
 
     summary = [F.count(F.lit(1)).alias("_n")]
     if lag:
-        at = F.struct(F.coalesce(F.unix_micros(F.col(ts)), F.lit(_NO_TIME)), *tiebreak)
+        at = F.struct(order_by, *tiebreak)
         summary.append(F.max_by(F.struct(*lag), at).alias("_last"))
     summary += [F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()]
     summary += [F.max(c).alias(f"_max_{name}") for name, c in running_max.items()]
