@@ -14,16 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strom.operators.sizes import salted_join
+from strom.operators.sizes import is_small, salted_join
 
 _ACCURACY = 2_000
 _MARGIN = 0.002
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: Column, percentiles: dict[str, float], buckets: int = 16
+    df: DataFrame, keys: Sequence[str], value: Column, percentiles: dict[str, float], buckets: int = 16,
+    few_groups: bool = False, one_task_rows: int = 1_000_000,
 ) -> DataFrame:
-    """One row per group with a value: the keys and one column per named percentile (linear interpolation)."""
+    """One row per group with a value: the keys and one column per named percentile (linear interpolation).
+
+    ``few_groups`` states that the number of groups is fixed by definition (states, buckets), so the
+    brackets can be broadcast; otherwise rows meet them in a salted join. Input measured to hold no
+    more than ``one_task_rows`` rows cannot overload a task and takes the built-in aggregate.
+    """
+    if one_task_rows and is_small(df, one_task_rows):
+        simple = df.where(value.isNotNull()).groupBy(*keys)
+        return simple.agg(*(F.percentile(value.cast("double"), F.lit(p)).alias(n) for n, p in percentiles.items()))
     aliases = [f"_k{i}" for i in range(len(keys))]
     # grouping by a struct-free text-safe key: NULL groups are kept through a null-marker column
     rows = df.select(
@@ -40,7 +49,11 @@ def exact_percentiles(
     # the hash alone is not trusted as a key: the real key columns travel along and are compared null-safely
     edges = sketch.select("_g", F.struct(*aliases, F.lit(0).alias("_pad")).alias("_key"), "_total", "_edges")
     keyed = rows.select("_g", F.struct(*aliases, F.lit(0).alias("_pad")).alias("_rowkey"), "_v")
-    matched = salted_join(keyed, edges, ["_g"], F.col("_v"), buckets).where(F.col("_rowkey").eqNullSafe(F.col("_key")))
+    if few_groups:
+        matched = keyed.join(F.broadcast(edges), "_g")
+    else:
+        matched = salted_join(keyed, edges, ["_g"], F.col("_v"), buckets)
+    matched = matched.where(F.col("_rowkey").eqNullSafe(F.col("_key")))
     bracket = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
     counted = (
         matched.select("_g", "_key", "_total", "_v", bracket.alias("_bracket"))

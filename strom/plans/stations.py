@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strom.config import DEFAULT, Config
 from strom.functions.lookups import charging_category, share_percent
 from strom.operators.quantiles import exact_percentiles
+from strom.session import reuse
 
 
 def count_where(condition: Column) -> Column:
@@ -103,7 +104,7 @@ def charging_infrastructure(
     dim_station: DataFrame, states: DataFrame, as_of: datetime, cfg: Config = DEFAULT
 ) -> DataFrame:
     """Per-state infrastructure report. All sixteen states appear, empty ones with zeros."""
-    sites = dim_station.where(F.col("bundesland").isNotNull())
+    sites = reuse(dim_station.where(F.col("bundesland").isNotNull()))
     dated = F.col("commissioned_on")
     counted = {
         "station_count": F.count(F.lit(1)),
@@ -131,7 +132,7 @@ def charging_infrastructure(
         F.max("ingested_at").alias("latest_ingested_at"),
     )
     middle = exact_percentiles(
-        sites, ["bundesland"], F.col("effective_max_power_kw"), {"_p50": 0.5, "_p90": 0.9}, cfg.salt_buckets
+        sites, ["bundesland"], F.col("effective_max_power_kw"), {"_p50": 0.5, "_p90": 0.9}, few_groups=True
     )
     by_year = commissioning_by_year(sites)
     series = by_year.groupBy("bundesland").agg(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strom.session import release
 from strom.sources import driver
 from strom.sources.driver import Tables
 
@@ -56,6 +57,11 @@ class Registry:
     def add(self, name: str, build: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
         if name in self.queries:
             raise ValueError(f"duplicate query {name}")
-        self.queries[name] = lambda spark, folder: build(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            release()
+            return build(Tables(spark, folder))
+
+        self.queries[name] = run
         if sql is not None:
             self.oracles[name] = oracle(sql)

@@ -171,7 +171,7 @@ def corridor(t: Tables):
 
 
 def coverage(t: Tables):
-    return corridors.corridor_coverage(stg_routes(t), corridor(t))
+    return (corridors.corridor_coverage(stg_routes(t), corridor(t)))
 
 
 REG.add("corridor_stations", lambda t: rounded(corridor(t), 3), round_all(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -32,6 +33,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # building a plan walks the Python stack on every column operation unless this is off
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -53,3 +56,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
+
+
+_REUSED: list[DataFrame] = []
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keeps an intermediate that several branches of one plan read; spills to disk, rebuilt if an executor is lost."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _REUSED.append(df)
+    return df
+
+
+def release() -> None:
+    """Drops every intermediate kept by ``reuse``."""
+    while _REUSED:
+        try:
+            _REUSED.pop().unpersist()
+        except Exception:  # the session that held it is gone
+            continue
