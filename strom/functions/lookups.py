@@ -59,6 +59,11 @@ def in_germany(latitude: Column, longitude: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
+def round_decimal(value: Column, digits: int) -> Column:
+    """Half-away-from-zero on the decimal reading of a double, so 0.98545 from a division rounds up."""
+    return F.round(F.round(value, 9), digits)
+
+
 def km(metres: Column, digits: int = 3) -> Column:
     return F.round(metres / 1000.0, digits)
 

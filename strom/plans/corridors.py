@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strom.config import DEFAULT, Config
-from strom.functions.lookups import km
+from strom.functions.lookups import km, round_decimal
 from strom.operators.quantiles import exact_percentiles
 from strom.operators.sliced import with_history
 from strom.operators.spatial import distance_join, line_edges
@@ -113,7 +113,7 @@ def corridor_coverage(routes: DataFrame, corridor: DataFrame, cfg: Config = DEFA
         F.sum(F.coalesce("effective_total_power_kw", "effective_max_power_kw")).alias("_power"),
         F.max("effective_max_power_kw").alias("max_station_power_kw"),
         F.round(F.min("distance_to_route_km"), 3).alias("nearest_station_distance_km"),
-        F.round(F.avg("distance_to_route_km"), 3).alias("mean_station_distance_km"),
+        round_decimal(F.avg("distance_to_route_km"), 3).alias("mean_station_distance_km"),
     )
     median = exact_percentiles(corridor, ["route_id"], F.col("effective_max_power_kw"), {"_median": 0.5}, cfg.salt_buckets)
     demo = routes.where("is_demo").select(
@@ -127,7 +127,7 @@ def corridor_coverage(routes: DataFrame, corridor: DataFrame, cfg: Config = DEFA
     gaps = reuse(gaps_along(fast, lengths, "route_offset_km", "route_geometry_length_km", _GAP_SLICE_M / 1000.0))
     gap_rollup = gaps.groupBy("route_id").agg(
         F.count(F.lit(1)).alias("gap_count"), F.round(F.sum("gap"), 3).alias("gap_total_km"),
-        F.round(F.max("gap"), 3).alias("max_gap_km"), F.round(F.avg("gap"), 3).alias("mean_gap_km"),
+        F.round(F.max("gap"), 3).alias("max_gap_km"), round_decimal(F.avg("gap"), 3).alias("mean_gap_km"),
         count_where(F.col("gap") > cfg.target_max_gap_km).alias("gaps_above_target_count"),
         F.max_by(
             F.struct("gap_start", "gap_end", "gap", "gap_kind"), F.struct(F.col("gap"), -F.col("gap_start"))
@@ -148,7 +148,7 @@ def corridor_coverage(routes: DataFrame, corridor: DataFrame, cfg: Config = DEFA
         "target_fast_stations_per_100km": F.lit(cfg.target_fast_per_100km),
         "installed_power_kw": F.round(F.coalesce("_power", F.lit(0.0)), 1),
         "median_station_power_kw": F.round("_median", 1),
-        "p90_gap_km": F.round("_p90", 3),
+        "p90_gap_km": round_decimal(F.col("_p90"), 3),
         "largest_gap_start_km": F.round("_worst.gap_start", 3),
         "largest_gap_end_km": F.round("_worst.gap_end", 3),
         "largest_gap_km": F.round("_worst.gap", 3),

@@ -120,7 +120,7 @@ def fct_trips(
         "energy_divergence_percent": share_percent(measured_kwh - reported_kwh, reported_kwh, 2),
         "distance_divergence_m": F.round(F.col("measured_distance_m") - F.col("reported_distance_m"), 1),
         "energy_intensity": lookups.energy_intensity(rate, nominal),
-        "consumption_ratio_to_nominal": F.round(F.when(nominal > 0, rate / nominal), 4),
+        "consumption_ratio_to_nominal": lookups.round_decimal(F.when(nominal > 0, rate / nominal), 4),
         "usable_battery_consumed_percent": share_percent(measured_kwh, usable),
         "charged_during_trip": F.coalesce(F.col("soc_used_percent") < 0, F.lit(False)),
     })
@@ -147,7 +147,7 @@ def fct_vehicle_telemetry(
         "is_over_speed_limit": lookups.over_limit(F.col("speed_kmh"), F.col("speed_limit_kmh")),
         "hvac_load_kw_estimate": F.round(energy.hvac_kw_sql(F.col("outside_temperature_c")), 3),
         "energy_intensity": lookups.energy_intensity(rate, nominal),
-        "consumption_ratio_to_nominal": F.round(F.when(nominal > 0, rate / nominal), 4),
+        "consumption_ratio_to_nominal": lookups.round_decimal(F.when(nominal > 0, rate / nominal), 4),
         "remaining_energy_kwh": F.round(F.col("usable_capacity_kwh") * F.col("battery_soc_percent") / 100.0, 3),
     }).drop("usable_capacity_kwh")
 

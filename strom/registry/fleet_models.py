@@ -96,7 +96,7 @@ relation("fct_trips_raw", f"""
            case when t.energy_kwh > 0 then round(100 * (e.energy_kwh - t.energy_kwh) / t.energy_kwh, 2) end as energy_divergence_percent,
            round(e.distance_m - t.distance_m, 1) as distance_divergence_m, m.nominal_consumption_kwh_100km, m.usable_capacity_kwh,
            {intensity("e.avg_consumption_kwh_100km", "m.nominal_consumption_kwh_100km")} as energy_intensity,
-           round(e.avg_consumption_kwh_100km / m.nominal_consumption_kwh_100km, 4) as consumption_ratio_to_nominal,
+           round((e.avg_consumption_kwh_100km / m.nominal_consumption_kwh_100km)::decimal(18,9), 4)::double as consumption_ratio_to_nominal,
            round(100 * e.energy_kwh / m.usable_capacity_kwh, 1) as usable_battery_consumed_percent,
            t.start_soc_percent as reported_start_soc_percent, t.end_soc_percent as reported_end_soc_percent,
            e.start_soc_percent as measured_start_soc_percent, e.end_soc_percent as measured_end_soc_percent,
@@ -114,7 +114,7 @@ relation("fct_telemetry_raw", f"""
            t.speed_kmh > t.speed_limit_kmh + 5 as is_over_speed_limit,
            round({hvac("t.outside_temperature_c")}, 3) as hvac_load_kw_estimate, m.nominal_consumption_kwh_100km,
            {intensity("t.energy_consumption_kwh_100km", "m.nominal_consumption_kwh_100km")} as energy_intensity,
-           round(t.energy_consumption_kwh_100km / m.nominal_consumption_kwh_100km, 4) as consumption_ratio_to_nominal,
+           round((t.energy_consumption_kwh_100km / m.nominal_consumption_kwh_100km)::decimal(18,9), 4)::double as consumption_ratio_to_nominal,
            round(m.usable_capacity_kwh * t.battery_soc_percent / 100, 3) as remaining_energy_kwh
     from telemetry t left join vehicles v using (vehicle_id) left join dim_vehicle_model m using (vehicle_model_id)""")
 

@@ -227,9 +227,9 @@ relation("coverage_raw", f"""
                       sum(fast_connector_count)::bigint as fpts, sum(ultra_fast_connector_count)::bigint as upts,
                       sum(coalesce(effective_total_power_kw, effective_max_power_kw)) as kw, max(effective_max_power_kw) as top,
                       quantile_cont(effective_max_power_kw, 0.5) as p50, round(min(distance_to_route_km), 3) as nearest,
-                      round(avg(distance_to_route_km), 3) as mean_km from corridor_raw group by 1) c using (route_id)
+                      round(avg(distance_to_route_km)::decimal(18,9), 3)::double as mean_km from corridor_raw group by 1) c using (route_id)
     left join (select route_id, count(*) as gaps, round(sum(gap), 3) as gap_total, round(max(gap), 3) as gap_max,
-                      round(avg(gap), 3) as gap_mean, round(quantile_cont(gap, 0.9), 3) as gap_p90,
+                      round(avg(gap)::decimal(18,9), 3)::double as gap_mean, round(quantile_cont(gap, 0.9)::decimal(18,9), 3)::double as gap_p90,
                       count(*) filter (gap > 50) as above from gaps_fast group by 1) g using (route_id)
     left join (select * from gaps_fast qualify row_number() over (partition by route_id order by gap desc, gap_start) = 1) w using (route_id)
     where r.is_demo""")

@@ -121,9 +121,9 @@ TABLES: dict[str, str] = {
                     else date '2009-01-01' + cast((c_custkey * 17) % 5800 as int) end as commissioned_on,
                cast(c_custkey % 8 + 1 as int) as charging_points_count,
                case when c_custkey % 307 = 0 then 0e0 when c_acctbal < 0 then null
-                    else (cast(round(c_acctbal * 100) as bigint) % 3500) / 1e1 + 3.7e0 end as max_power_kw,
+                    else (cast(round(c_acctbal * 100) as bigint) % 3500) / 1.01e1 + 3.7e0 end as max_power_kw,
                case when c_custkey % 11 = 0 or c_acctbal < 0 then null
-                    else (cast(round(c_acctbal * 100) as bigint) % 3500) / 1e1 * (c_custkey % 8 + 1) end as total_power_kw,
+                    else (cast(round(c_acctbal * 100) as bigint) % 3500) / 1.01e1 * (c_custkey % 8 + 1) end as total_power_kw,
                case when c_custkey % 3 = 0 then 'fast' when c_custkey % 3 = 1 then 'normal' else 'ultra_fast' end
                    as charging_category,
                c_acctbal > 5000 as is_fast_charger,
@@ -138,7 +138,7 @@ TABLES: dict[str, str] = {
                     when 4 then 'ccs' else 'unknown' end as connector_type,
                case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'dc' else 'ac' end as current_type,
                case when o_orderkey % 17 = 0 then null when o_orderkey % 401 = 0 then 0e0
-                    else (cast(round(o_totalprice * 100) as bigint) % 3200) / 1e1 + 3.7e0 end as power_kw,
+                    else (cast(round(o_totalprice * 100) as bigint) % 3200) / 1.01e1 + 3.7e0 end as power_kw,
                case when o_orderkey % 4 = 0 then ' ' else 'key' || cast(o_orderkey as string) end as public_key,
                case when o_orderkey % 503 = 0 then 'manual' else 'register' end as source,
                'official' as data_origin
