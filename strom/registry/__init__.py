@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fleet_models", "stations", "analytics")
+MODULES = ("fleet_models", "stations", "analytics", "quality")
 
 
 def registries():
