@@ -24,24 +24,20 @@ def line_edges(lines: DataFrame, line_id: Sequence[str], geometry: str = "geomet
     ``geometry`` is an array of (ordinal, latitude, longitude) in line order. A line is one row, so
     the per-line window below is bounded by what fits into a row.
     """
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(geometry) - 1),
-        lambda i: F.struct(i.alias("edge_no"), F.element_at(geometry, i).alias("a"), F.element_at(geometry, i + 1).alias("b")),
+    vertices = lines.select(*line_id, F.posexplode(geometry).alias("_at", "_v")).select(
+        *line_id, (F.col("_at") + 1).alias("edge_no"), F.col("_v.latitude").alias("lat0"), F.col("_v.longitude").alias("lon0"),
     )
-    edges = lines.where(F.size(geometry) >= 2).select(*line_id, F.explode(pairs).alias("_e")).select(
-        *line_id, F.col("_e.edge_no").alias("edge_no"),
-        F.col("_e.a.latitude").alias("lat0"), F.col("_e.a.longitude").alias("lon0"),
-        F.col("_e.b.latitude").alias("lat1"), F.col("_e.b.longitude").alias("lon1"),
-    )
-    edges = with_utm32(edges, "lat0", "lon0", "x0", "y0")
-    edges = with_utm32(edges, "lat1", "lon1", "x1", "y1")
+    vertices = with_utm32(vertices, "lat0", "lon0", "x0", "y0")
+    along = W.partitionBy(*line_id).orderBy("edge_no")
+    edges = vertices.withColumns({
+        after: F.lead(before).over(along) for before, after in (("lat0", "lat1"), ("lon0", "lon1"), ("x0", "x1"), ("y0", "y1"))
+    })
     edges = edges.withColumn("edge_m", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
-    whole = W.partitionBy(*line_id)
-    running = whole.orderBy("edge_no").rowsBetween(W.unboundedPreceding, 0)
+    so_far = along.rowsBetween(W.unboundedPreceding, W.currentRow)
     return edges.withColumns({
-        "line_m": F.sum("edge_m").over(whole),
-        "edge_start_m": F.sum("edge_m").over(running) - F.col("edge_m"),
-    })
+        "line_m": F.sum("edge_m").over(W.partitionBy(*line_id)),
+        "edge_start_m": F.sum("edge_m").over(so_far) - F.col("edge_m"),
+    }).where(F.col("x1").isNotNull())
 
 
 def cell(metres: Column, size: float) -> Column:
@@ -79,9 +75,16 @@ def edge_matches(
     """Every (point, edge) pair within the buffer, with distance and offset along the line."""
     size = max(cell_m or buffer_m, 1.0)
     pairs = cell_join(with_cells(points, size), edge_cover(edges, buffer_m, size), cfg)
-    distance, t = planar_to_edge(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    pairs = pairs.withColumns({"distance_m": distance, "_t": t}).where(F.col("distance_m") <= buffer_m)
-    return pairs.withColumn("offset_m", F.col("edge_start_m") + F.col("_t") * F.col("edge_m")).drop("cx", "cy", "_t")
+    run, rise = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    along = ((F.col("px") - F.col("x0")) * run + (F.col("py") - F.col("y0")) * rise) / F.greatest(F.col("edge_m"), F.lit(1e-9))
+    pairs = pairs.withColumn("_along_m", F.greatest(F.lit(0.0), F.least(F.col("edge_m"), along)))
+    share = F.col("_along_m") / F.greatest(F.col("edge_m"), F.lit(1e-9))
+    pairs = pairs.withColumn("_share", share)
+    pairs = pairs.withColumn("distance_m", F.hypot(
+        F.col("px") - F.col("x0") - F.col("_share") * run, F.col("py") - F.col("y0") - F.col("_share") * rise
+    ))
+    near = pairs.where(F.col("distance_m") <= buffer_m)
+    return near.withColumn("offset_m", F.col("edge_start_m") + F.col("_along_m")).drop("cx", "cy", "_along_m", "_share")
 
 
 def distance_join(

@@ -179,6 +179,13 @@ TABLES: dict[str, str] = {
                case when (j + route_key) % 17 = 0 then null else 'medium' end as energy_intensity,
                is_demo, route_key
         from (select route_id, route_key, is_demo, @explode44 as j from {{route_base}}) v""",
+    "route_steps": """
+        select route_id, cast(j as int) as step_no, j * 9200e0 as step_start_m, (j + 1) * 9200e0 as step_end_m, 9200e0 as distance_m,
+               case when (j + route_key) % 13 = 0 then 0e0 else 300e0 + ((j * 11 + route_key) % 17) * 25 end as duration_s,
+               case (j * 3 + route_key) % 6 when 0 then 'A ' || cast(j % 9 as string) when 1 then 'B 27; A 8' when 2 then 'K 12'
+                    when 3 then 'L 4, B 10' when 4 then null else 'S 9' end as ref,
+               case when (j + route_key) % 4 = 0 then null else 60e0 + ((j + route_key) % 5) * 10 end as speed_limit_kmh
+        from (select route_id, route_key, @explode30 as j from {route_base}) v""",
     "traffic_events": f"""
         select 'T' || cast(o_orderkey as string) as id, 'TX-' || cast(o_orderkey as string) as external_id,
                case o_orderkey % 5 when 0 then 'roadworks' when 1 then 'closure' when 2 then 'accident'
@@ -266,6 +273,7 @@ _SPARK = {
     "@div": "div",
     "@explode12": "explode(sequence(0L, 11L))",
     "@explode44": "explode(sequence(0L, 43L))",
+    "@explode30": "explode(sequence(0L, 29L))",
 }
 _DUCK = {
     "@us(": "epoch_us(",
@@ -273,6 +281,7 @@ _DUCK = {
     "@div": "//",
     "@explode12": "unnest(range(12))",
     "@explode44": "unnest(range(44))",
+    "@explode30": "unnest(range(30))",
 }
 _TIME_COLUMNS = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
 
