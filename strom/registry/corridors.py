@@ -178,13 +178,14 @@ def _side(p, q, i) -> str:
 
 
 _A, _S = ("ax0", "ay0", "ax1", "ay1"), ("x0", "y0", "x1", "y1")
-REG.add("event_lines_on_segments", lambda t: traffic.event_lines_on_segments(
-    staging.traffic_events(t.traffic_events), segments(t), AT, 1500.0), f"""
+EVENT_LINE_SEGMENT = f"""
     select traffic_event_id, route_segment_id from event_line, segment_edge
     where least(ax0, ax1) <= greatest(x0, x1) + 1500 and least(x0, x1) <= greatest(ax0, ax1) + 1500
     and least(ay0, ay1) <= greatest(y0, y1) + 1500 and least(y0, y1) <= greatest(ay0, ay1) + 1500
     and (least({_end("ax0", "ay0", *_S)}, {_end("ax1", "ay1", *_S)}, {_end("x0", "y0", *_A)}, {_end("x1", "y1", *_A)}) <= 1500
-         or ({_side("a", "", 0)} * {_side("a", "", 1)} < 0 and {_side("", "a", 0)} * {_side("", "a", 1)} < 0))""")
+         or ({_side("a", "", 0)} * {_side("a", "", 1)} < 0 and {_side("", "a", 0)} * {_side("", "a", 1)} < 0))"""
+REG.add("event_lines_on_segments", lambda t: traffic.event_lines_on_segments(
+    staging.traffic_events(t.traffic_events), segments(t), AT, 1500.0), EVENT_LINE_SEGMENT)
 
 
 def along(t: Tables):
