@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # fixed values: physical constants and curves
 GRAVITY = 9.80665
@@ -199,3 +202,26 @@ def charge_time_minutes(
 
     total = F.aggregate(F.sequence(F.lit(0), steps - 1), F.lit(0.0), add)
     return F.when(width <= 0, F.lit(0.0)).otherwise(total)
+
+
+@F.pandas_udf(DoubleType())
+def charge_time_batch(
+    max_dc_kw: pd.Series, usable_kwh: pd.Series, soc_from: pd.Series, soc_to: pd.Series, station_kw: pd.Series,
+    battery_temperature_c: pd.Series,
+) -> pd.Series:
+    """``charge_time_minutes`` for whole Arrow batches.
+
+    Higher-order functions run interpreted, some hundred steps a row; where a plan evaluates many stops
+    the same sum over a steps axis in numpy is two orders of magnitude faster.
+    """
+    start, width = soc_from.to_numpy(), (soc_to - soc_from).to_numpy()
+    steps = np.maximum(1, np.ceil(width / CHARGE_STEP_PERCENT)).astype(int)
+    index = np.arange(steps.max() if len(steps) else 0)
+    step = (width / steps)[:, None]
+    middle = start[:, None] + (index + 0.5) * step
+    derate = np.interp(battery_temperature_c.to_numpy(), *zip(*TEMPERATURE_DERATE))
+    vehicle = np.interp(middle, *zip(*SOC_TAPER)) * (max_dc_kw.to_numpy() * derate)[:, None]
+    vehicle = np.maximum(np.where(middle >= 100.0, 0.0, vehicle), MIN_CHARGING_KW)
+    minutes = usable_kwh.to_numpy()[:, None] * step / 100.0 / np.minimum(station_kw.to_numpy()[:, None], vehicle) * 60.0
+    total = np.where(index < steps[:, None], minutes, 0.0).sum(axis=1)
+    return pd.Series(np.where(width <= 0, 0.0, total))
