@@ -11,7 +11,7 @@ from strom.config import DEFAULT, Config
 from strom.functions.geo import with_utm32
 from strom.operators.sizes import is_small, salted_join
 from strom.operators.spatial import cell
-from strom.session import reuse
+from strom.session import cut_lineage
 
 _RINGS_M = (15_000.0, 90_000.0, 600_000.0)
 
@@ -28,15 +28,15 @@ def nearest(
     """
     limit = radius_m if radius_m is not None else rings_m[-1]
     sizes = [r for r in rings_m if r < limit] + [limit]
-    spots = reuse(with_utm32(sites.select(site_id, "latitude", "longitude"), "latitude", "longitude", "sx", "sy").select(
+    spots = cut_lineage(with_utm32(sites.select(site_id, "latitude", "longitude"), "latitude", "longitude", "sx", "sy").select(
         site_id, "sx", "sy"))
     small = is_small(spots, cfg.broadcast_rows // 9)
-    open_points = with_utm32(points, "latitude", "longitude", "px", "py")
+    open_points = cut_lineage(with_utm32(points, "latitude", "longitude", "px", "py"))
     done = None
     for i, size in enumerate(sizes):
         around = spots.withColumn("cx", F.explode(F.sequence(cell(F.col("sx"), size) - 1, cell(F.col("sx"), size) + 1)))
         around = around.withColumn("cy", F.explode(F.sequence(cell(F.col("sy"), size) - 1, cell(F.col("sy"), size) + 1)))
-        here = reuse(open_points) if i else open_points
+        here = open_points
         keyed = here.select(*point_id, "px", "py").withColumns({"cx": cell(F.col("px"), size), "cy": cell(F.col("py"), size)})
         pairs = (
             keyed.join(F.broadcast(around), ["cx", "cy"]) if small
@@ -47,7 +47,7 @@ def nearest(
         found = best.where(F.col("_b.distance_m") <= min(size, limit)).select(
             *point_id, F.col(f"_b.{site_id}").alias(site_id), F.col("_b.distance_m").alias("distance_m")
         )
-        found = reuse(found)
+        found = cut_lineage(found)
         done = found if done is None else done.unionByName(found)
         if i < len(sizes) - 1:
             open_points = open_points.join(found.select(*point_id), list(point_id), "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from strom.config import DEFAULT, Config
 from strom.functions.geo import planar_to_edge, with_utm32
 from strom.operators.sizes import is_small, salted_join
+from strom.session import cut_lineage
 
 
 def line_edges(lines: DataFrame, line_id: Sequence[str], geometry: str = "geometry") -> DataFrame:
@@ -64,6 +65,7 @@ def with_cells(points: DataFrame, size: float, latitude: str = "latitude", longi
 
 def cell_join(points: DataFrame, cover: DataFrame, cfg: Config) -> DataFrame:
     """Equi-join on the cell. Hot cells are split: by broadcasting a small cover, else by salting."""
+    cover = cut_lineage(cover)  # written once, then counted and joined
     if is_small(cover, cfg.broadcast_rows):
         return points.join(F.broadcast(cover), ["cx", "cy"])
     return salted_join(points, cover, ["cx", "cy"], F.struct("px", "py"), cfg.salt_buckets)

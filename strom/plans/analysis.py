@@ -16,7 +16,7 @@ from strom.config import DEFAULT, Config
 from strom.functions import energy, lookups
 from strom.functions.energy import Drive, with_segment_energy
 from strom.operators.sizes import is_small, salted_join
-from strom.session import reuse
+from strom.session import cut_lineage
 
 REFERENCE_TEMPERATURE_C = 20.0  # fixed value
 MIN_SPEED_KMH = 5.0  # fixed value
@@ -151,7 +151,7 @@ def route_analysis(
     requests: DataFrame, conditions: DataFrame, models: DataFrame, min_arrival_soc: float = 10.0, cfg: Config = DEFAULT
 ) -> DataFrame:
     """One answer per request: energy, arrival charge, deficit, consumption, penalties, whether to charge."""
-    totals = reuse(pair_totals(for_vehicles(conditions, requests, models)))
+    totals = cut_lineage(pair_totals(for_vehicles(conditions, requests, models)))
     answers = meet_requests(requests, totals, cfg)
     arrival = F.col("start_soc_percent") - F.col("kwh") / F.col("usable_capacity_kwh") * 100.0
     deficit = F.greatest(F.lit(0.0), (F.lit(min_arrival_soc) - arrival) / 100.0 * F.col("usable_capacity_kwh"))
@@ -176,7 +176,7 @@ def prefix_energy(driven: DataFrame) -> DataFrame:
 
 def soc_trajectory(requests: DataFrame, conditions: DataFrame, models: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """State of charge at the end of every segment of every request; clamped only for display."""
-    known = reuse(prefix_energy(for_vehicles(conditions, requests, models)))
+    known = cut_lineage(prefix_energy(for_vehicles(conditions, requests, models)))
     rows = meet_requests(requests, known, cfg)
     soc = F.col("start_soc_percent") - F.col("kwh_upto") / F.col("usable_capacity_kwh") * 100.0
     return rows.select(

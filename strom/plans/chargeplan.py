@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strom.config import DEFAULT, Config
 from strom.functions.energy import charge_time_batch
 from strom.operators.sizes import is_small, salted_join
-from strom.session import cut_lineage, reuse
+from strom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -88,10 +88,10 @@ def plan_charging(
     station_id, offset_km, detour_km, max_power_kw, lateral_m.
     """
     s, pair = settings, ["route_id", "vehicle_model_id"]
-    driven = reuse(with_prefix(segments))
+    driven = cut_lineage(with_prefix(segments))
     totals = driven.where("is_last").select(*pair, "route_km", "route_kwh", "drive_min").dropDuplicates(pair)
     profile = models.select("vehicle_model_id", "usable_capacity_kwh", "nominal_consumption_kwh_100km", "max_dc_power_kw")
-    sites = reuse(energy_at(thin_candidates(candidates, ["route_id"], cap=s.max_candidates), driven))
+    sites = cut_lineage(energy_at(thin_candidates(candidates, ["route_id"], cap=s.max_candidates), driven))
     searches = requests.select(*pair, "start_soc_percent").distinct()
     start = searches.join(totals, pair).join(F.broadcast(profile), "vehicle_model_id").withColumns({
         "at_km": F.lit(0.0), "at_kwh": F.lit(0.0), "soc": F.col("start_soc_percent"), "charge_min": F.lit(0.0), "detour_km": F.lit(0.0),
@@ -141,7 +141,7 @@ def plan_charging(
             F.least("lowest_soc", "_arrival").alias("lowest_soc"), F.array_append("stops", F.col("station_id")).alias("stops"),
             F.array_append("targets", F.col("_target")).alias("targets"),
         )
-        expanded = reuse(expanded)
+        expanded = cut_lineage(expanded)
         counted = expanded.groupBy(*search).agg(F.count(F.lit(1)).alias("n"))
         considered = counted if considered is None else considered.unionByName(counted)
         best = best.unionByName(finished(expanded))
@@ -149,8 +149,8 @@ def plan_charging(
         open_kwh = F.col("route_kwh") - F.col("at_kwh") - (F.col("soc") - s.target_arrival_soc) / 100.0 * usable
         score = F.round(spent + F.greatest(F.lit(0.0), open_kwh) / (F.col("max_dc_power_kw") * 0.6) * 60.0, 6)
         order = W.partitionBy(*search).orderBy("_score", "stops", "targets")
-        beam = cut_lineage(
-            expanded.withColumn("_score", score).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= s.beam_width).drop("_score", "_r"))
+        ranked = expanded.withColumn("_score", score).withColumn("_r", F.row_number().over(order))
+        beam = ranked.where(F.col("_r") <= s.beam_width).drop("_score", "_r")
     rank = F.struct(F.round("objective", 6).alias("o"), F.size("stops").alias("n"), "stops", "targets")
     chosen = best.groupBy(*search).agg(F.min_by(F.struct("objective", "arrival_soc", "charge_min", "detour_km", "lowest_soc", "stops", "targets"), rank).alias("_p"))
     tries = considered.groupBy(*search).agg((F.sum("n") + 1).alias("alternatives_considered"))

@@ -12,7 +12,7 @@ from strom.operators.quantiles import exact_percentiles
 from strom.operators.sliced import with_history
 from strom.operators.spatial import distance_join, line_edges
 from strom.plans.stations import count_where
-from strom.session import reuse
+from strom.session import cut_lineage
 
 _GAP_SLICE_M = 25_000.0
 SCORE_GAP_WEIGHT = 0.6  # fixed value
@@ -107,7 +107,7 @@ def corridor_coverage(routes: DataFrame, corridor: DataFrame, cfg: Config = DEFA
         "fast_charging_point_count": F.sum("fast_connector_count"),
         "ultra_fast_charging_point_count": F.sum("ultra_fast_connector_count"),
     }
-    corridor = reuse(corridor)
+    corridor = cut_lineage(corridor)
     rollup = corridor.groupBy("route_id").agg(
         *(c.alias(n) for n, c in counts.items()),
         F.sum(F.coalesce("effective_total_power_kw", "effective_max_power_kw")).alias("_power"),
@@ -123,8 +123,8 @@ def corridor_coverage(routes: DataFrame, corridor: DataFrame, cfg: Config = DEFA
     )
     lengths = route_lengths(demo).select("route_id", km(F.col("geometry_length_m")).alias("route_geometry_length_km"))
     fast = corridor.where("is_fast_charger").select("route_id", "station_id", "route_offset_km")
-    lengths = reuse(lengths)
-    gaps = reuse(gaps_along(fast, lengths, "route_offset_km", "route_geometry_length_km", _GAP_SLICE_M / 1000.0))
+    lengths = cut_lineage(lengths)
+    gaps = cut_lineage(gaps_along(fast, lengths, "route_offset_km", "route_geometry_length_km", _GAP_SLICE_M / 1000.0))
     gap_rollup = gaps.groupBy("route_id").agg(
         F.count(F.lit(1)).alias("gap_count"), F.round(F.sum("gap"), 3).alias("gap_total_km"),
         F.round(F.max("gap"), 3).alias("max_gap_km"), round_decimal(F.avg("gap"), 3).alias("mean_gap_km"),
@@ -170,17 +170,17 @@ def coverage_query(
     up to ``top_gaps`` of them.
     """
     rated = stations.withColumn("_kw", F.coalesce(F.col(power_col), F.lit(0.0)))
-    near = reuse(distance_join(
+    near = cut_lineage(distance_join(
         rated, routes, ["station_id"], ["route_id"], buffer_km * 1000.0, cfg, keep=["_kw", "is_fast_charger"]
     ))
-    lengths = reuse(route_lengths(routes))
+    lengths = cut_lineage(route_lengths(routes))
     sites = near.groupBy("route_id").agg(
         F.count(F.lit(1)).alias("stations_in_corridor"),
         F.count_if("is_fast_charger").alias("fast_stations_in_corridor"),
         count_where(F.col("_kw") >= min_power_kw).alias("qualifying_stations"),
     )
     qualifying = near.where(F.col("_kw") >= min_power_kw).select("route_id", "station_id", "offset_m")
-    gaps = reuse(gaps_along(qualifying, lengths, "offset_m", "geometry_length_m", _GAP_SLICE_M))
+    gaps = cut_lineage(gaps_along(qualifying, lengths, "offset_m", "geometry_length_m", _GAP_SLICE_M))
     totals = gaps.groupBy("route_id").agg(
         F.count(F.lit(1)).alias("gap_count"), F.max("gap").alias("max_gap_m"), F.avg("gap").alias("mean_gap_m"),
         F.sum("gap").alias("gap_total_m"),

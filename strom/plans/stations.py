@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strom.config import DEFAULT, Config
 from strom.functions.lookups import charging_category, share_percent
 from strom.operators.quantiles import exact_percentiles
-from strom.session import reuse
+from strom.session import cut_lineage
 
 
 def count_where(condition: Column) -> Column:
@@ -104,7 +104,7 @@ def charging_infrastructure(
     dim_station: DataFrame, states: DataFrame, as_of: datetime, cfg: Config = DEFAULT
 ) -> DataFrame:
     """Per-state infrastructure report. All sixteen states appear, empty ones with zeros."""
-    sites = reuse(dim_station.where(F.col("bundesland").isNotNull()))
+    sites = cut_lineage(dim_station.where(F.col("bundesland").isNotNull()))
     dated = F.col("commissioned_on")
     counted = {
         "station_count": F.count(F.lit(1)),

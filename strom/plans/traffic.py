@@ -14,7 +14,7 @@ from strom.operators.sizes import is_small, salted_join
 from strom.operators.spatial import distance_join, edge_cover, line_edges, segments_distance
 from strom.plans.fleet import active_at
 from strom.plans.stations import distinct_text
-from strom.session import reuse
+from strom.session import cut_lineage
 
 BIN_M = 500.0  # fixed value
 
@@ -76,7 +76,7 @@ def event_lines_on_segments(
         return cover.select(*keys, "cx", "cy", *(F.col(c).alias(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1")))
 
     event_cells = prefixed(line_edges(live, ["traffic_event_id"]), "a", ["traffic_event_id"], 0.0)
-    segment_cells = prefixed(line_edges(segments, ["route_segment_id"]), "b", ["route_segment_id"], buffer_m)
+    segment_cells = cut_lineage(prefixed(line_edges(segments, ["route_segment_id"]), "b", ["route_segment_id"], buffer_m))
     if is_small(segment_cells, cfg.broadcast_rows):
         pairs = event_cells.join(F.broadcast(segment_cells), ["cx", "cy"])
     else:
@@ -88,7 +88,7 @@ def traffic_impact(facts: DataFrame, segments: DataFrame, cfg: Config = DEFAULT)
     """Per road, type and severity: how many events, how long, and which corridor stretches they touch."""
     group = ["road_name", "event_type", "severity"]
     near = events_on_segments(facts, segments, cfg.traffic_buffer_m, cfg).select("traffic_event_id", "route_segment_id")
-    matches = reuse(
+    matches = cut_lineage(
         near.join(facts.select("traffic_event_id", *group), "traffic_event_id")
         .join(segments.select("route_segment_id", "route_id", "segment_distance_km"), "route_segment_id")
     )

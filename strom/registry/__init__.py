@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fleet_models", "stations", "analytics", "quality", "corridors", "energy", "feeds", "streams")
+MODULES = ("fleet_models", "stations", "analytics", "quality", "corridors", "energy", "feeds", "streams", "basics")
 
 
 def registries():

@@ -13,7 +13,7 @@ from strom.registry import corridors as C
 from strom.registry.analytics import tele, weather
 from strom.registry.fleet_models import models
 from strom.registry.oracle import Registry, relation
-from strom.session import reuse
+from strom.session import cut_lineage, reuse
 from strom.sources.driver import TRAFFIC_NOW, Tables
 
 REG = Registry()
@@ -144,13 +144,13 @@ relation("event_line_segment", C.EVENT_LINE_SEGMENT)
 
 def conditions(t: Tables):
     """Conditions on the demo corridors at the fixed analysis time."""
-    demo_segments = reuse(C.segments(t).join(F.broadcast(C.demo(t).select("route_id")), "route_id"))
+    demo_segments = cut_lineage(C.segments(t).join(F.broadcast(C.demo(t).select("route_id")), "route_id"))
     events = staging.traffic_events(t.traffic_events)
     pairs = traffic.event_lines_on_segments(events, demo_segments, C.AT, 1500.0)
     middles = demo_segments.select("route_segment_id", ((F.col("geometry")[0].latitude + F.col("geometry")[1].latitude) / 2).alias("latitude"),
                                    ((F.col("geometry")[0].longitude + F.col("geometry")[1].longitude) / 2).alias("longitude"))
     readings = weather_plans.nearest_observation(middles, ["route_segment_id"], weather(t), C.AT, 150_000.0)
-    return reuse(analysis.segment_conditions(demo_segments, pairs, events, readings, C.AT))
+    return cut_lineage(analysis.segment_conditions(demo_segments, pairs, events, readings, C.AT))
 
 
 _COND = ("distance_km", "free_flow_speed_kmh", "speed_kmh", "duration_s", "temperature_c", "precipitation_mm", "wind_speed_ms")
@@ -281,7 +281,7 @@ REG.add("window_features", lambda t: rounded(windows(t), 4),
 
 def dirty(t: Tables):
     """The windows twice over, so that every repeated window is dropped again."""
-    rows = reuse(windows(t))
+    rows = cut_lineage(windows(t))
     return rows.withColumn("copy", F.lit(0)).unionByName(rows.withColumn("copy", F.lit(1)))
 
 
@@ -294,7 +294,7 @@ REG.add("feature_problems", lambda t: learning.feature_problems(windows(t)), " u
 
 
 def training_rows(t: Tables):
-    return learning.clean_training_windows(windows(t).withColumn("copy", F.lit(0)), "copy")[0]
+    return learning.clean_training_windows(cut_lineage(windows(t)).withColumn("copy", F.lit(0)), "copy")[0]
 
 
 REG.add("project_features", lambda t: rounded(learning.project_features(reuse(training_rows(t))), 4),
@@ -308,7 +308,7 @@ relation("baseline_raw", "select *, kwh / distance_km * 100 as baseline from " +
 
 
 def baseline(t: Tables):
-    return learning.baseline_predictions(training_rows(t), models(t))
+    return cut_lineage(learning.baseline_predictions(training_rows(t), models(t)))
 
 
 REG.add("baseline_predictions", lambda t: rounded(baseline(t).select("trip_id", "window_start", "baseline"), 4),
@@ -333,7 +333,7 @@ REG.add("reconstruct_profile", lambda t: analysis.reconstruct_profile(
 
 
 def _trained(t: Tables):
-    rows = reuse(learning.grouped_split(training_rows(t)))
+    rows = cut_lineage(learning.grouped_split(training_rows(t)))
     return rows, learning.train_energy_model(rows, max_iter=20)
 
 

@@ -14,7 +14,7 @@ from strom.registry import corridors as C
 from strom.registry.energy import conditions
 from strom.registry.fleet_models import models
 from strom.registry.oracle import Registry, relation
-from strom.session import checkpoint_root, reuse
+from strom.session import checkpoint_root
 from strom.sources.driver import Tables
 from strom.streaming import messages, state, telemetry
 
@@ -186,9 +186,9 @@ REG.add("thin_candidates", lambda t: rounded(chargeplan.thin_candidates(_candida
 
 
 def _plans(t: Tables) -> DataFrame:
-    driven = reuse(analysis.segment_energies(analysis.for_vehicles(conditions(t), t.requests, models(t))))
+    driven = analysis.segment_energies(analysis.for_vehicles(conditions(t), t.requests, models(t)))
     segments = driven.select("route_id", "vehicle_model_id", (F.col("start_offset_m") / 1000.0).alias("start_km"), "distance_km", "kwh", "duration_s")
-    return chargeplan.plan_charging(t.requests, segments, reuse(_candidates(t)), models(t))
+    return chargeplan.plan_charging(t.requests, segments, _candidates(t), models(t))
 
 
 REG.add("plan_charging", lambda t: rounded(_plans(t), 4))

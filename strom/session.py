@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -52,10 +53,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+    """Writes an intermediate to the shared folder and reads it back.
+
+    Everything behind it drops out of later plans, and losing executors costs no recomputation.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/strom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _REUSED: list[DataFrame] = []
