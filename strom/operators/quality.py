@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strom.functions.lookups import in_germany
-from strom.operators.sizes import salted_join
 from strom.operators.sliced import with_history
 
 DUPLICATE = "no_duplicate_key"
@@ -77,15 +76,18 @@ def timestamp_not_future(field: str, as_of: datetime, tolerance_s: float = 3600.
     return Rule(f"timestamp_not_future[{field}]", ahead > tolerance_s, _about(field, "is in the future"))
 
 
-def mark_duplicates(df: DataFrame, key: Sequence[str], order: str, flag: str = "is_duplicate", buckets: int = 16) -> DataFrame:
+def mark_duplicates(df: DataFrame, key: Sequence[str], order: str, flag: str = "is_duplicate") -> DataFrame:
     """Flags every row but the first of its key. A row with a NULL in its key is never a duplicate.
 
-    The first occurrence is a map-side-combined minimum; hot keys are split by the salted join.
+    ``order`` is unique within a key. The first occurrence is a map-side-combined minimum, and rows meet
+    it on (key, order): that pair spreads evenly however often a key repeats.
     """
-    present = df.where(F.concat(*(F.col(k).isNull().cast("int").cast("string") for k in key)) == "0" * len(key))
-    first = present.groupBy(*key).agg(F.min(order).alias("_first"))
-    marked = salted_join(df, first, list(key), F.col(order), buckets, "left")
-    return marked.withColumn(flag, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).select(*df.columns, flag)
+    has_key = F.lit(True)
+    for k in key:
+        has_key = has_key & F.col(k).isNotNull()
+    first = df.where(has_key).groupBy(*key).agg(F.min(order).alias(order)).withColumn("_first", F.lit(True))
+    marked = df.join(first, [*key, order], "left")
+    return marked.withColumn(flag, has_key & F.col("_first").isNull()).select(*df.columns, flag)
 
 
 def monotonic_violations(df: DataFrame, key: str, ts: str, sequence: str) -> DataFrame:

@@ -16,7 +16,7 @@ from strom.functions import energy, lookups
 from strom.functions.energy import Drive, with_segment_energy
 from strom.operators.quality import mark_duplicates
 from strom.operators.quantiles import exact_percentiles
-from strom.operators.sizes import salted_join
+from strom.operators.sliced import with_history
 from strom.plans.analysis import default_speed
 
 # fixed values: the model's inputs in order, its target, and the limits of plausible rows
@@ -41,8 +41,10 @@ def window_features(steps: DataFrame, models: DataFrame, cfg: Config = DEFAULT)
     ``steps`` are telemetry samples with the distance, energy and seconds since the sample before.
     Windows with a sample that is not driving, without distance or time, are dropped.
     """
-    starts = steps.groupBy("trip_id").agg(F.min("recorded_at").alias("_first"))
-    placed = salted_join(steps, starts, ["trip_id"], F.col("telemetry_id"), cfg.salt_buckets)
+    # in time order the latest of the negated earlier times is the first one
+    placed = with_history(steps, ["trip_id"], "recorded_at", ["telemetry_id"], cfg.slice_seconds,
+                          running_max={"_minus_first": -F.unix_micros("recorded_at")})
+    placed = placed.withColumn("_first", F.coalesce(F.timestamp_micros(-F.col("_minus_first")), F.col("recorded_at")))
     index = F.floor(lookups.seconds_between(F.col("_first"), F.col("recorded_at")) / WINDOW_SECONDS)
     speed = F.col("speed_kmh")
     classes = {c: F.count_if(F.col("road_class") == c) for c in lookups.ROAD_CLASS_ORDINAL}

@@ -275,8 +275,8 @@ _WD = ("distance_km duration_s energy_kwh speed_kmh avg_speed_kmh speed_std_kmh
        "wind_speed_ms gradient_percent soc_percent speed_limit_kmh segment_distance_km hvac_load_kw energy_consumption_kwh_100km").split()
 relation("window_row", """select *, case road_class when 'motorway' then 6 when 'trunk' then 5 when 'primary' then 4 when 'secondary' then 3 when 'tertiary' then 2 when 'residential' then 1 when 'service' then 1 else 0 end as road_class_ordinal,
     (road_class = 'motorway')::int as is_motorway from window_raw""")
-REG.add("window_features", lambda t: rounded(windows(t), 4),
-        "select * replace (" + ", ".join(f"round({c}, 4) + 0 as {c}" for c in _WD) + ") from window_row")
+REG.add("window_features", lambda t: rounded(windows(t), 8),
+        "select * replace (" + ", ".join(f"round({c}, 8) + 0 as {c}" for c in _WD) + ") from window_row")
 
 
 def dirty(t: Tables):
@@ -297,8 +297,8 @@ def training_rows(t: Tables):
     return learning.clean_training_windows(cut_lineage(windows(t)).withColumn("copy", F.lit(0)), "copy")[0]
 
 
-REG.add("project_features", lambda t: rounded(learning.project_features(reuse(training_rows(t))), 4),
-        "select " + ", ".join(f"round({f}, 4)::double + 0 as {f}" for f in learning.FEATURES) + f" from window_row where ({_RULE}) is null")
+REG.add("project_features", lambda t: rounded(learning.project_features(reuse(training_rows(t))), 8),
+        "select " + ", ".join(f"round({f}, 8)::double + 0 as {f}" for f in learning.FEATURES) + f" from window_row where ({_RULE}) is null")
 _FOLD = "case when p < 0.7 then 'train' when p < 0.85 then 'validation' else 'test' end"
 REG.add("grouped_split", lambda t: learning.grouped_split(training_rows(t)).groupBy("trip_id", "fold").agg(F.count("*").alias("rows")),
         f"select trip_id, {_FOLD} as fold, count(*) as rows from (select trip_id, ('0x' || substr(md5('42:' || trip_id), 1, 7))::bigint / 268435456 as p from window_row where ({_RULE}) is null) group by 1, 2")

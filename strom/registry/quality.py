@@ -118,8 +118,8 @@ REG.add("monotonic_violations", lambda t: q.monotonic_violations(
 # ---- table checks
 REG.add("check_not_null", lambda t: checks.not_null(stg_stations(t), "bundesland").select("station_id"),
         "select station_id from stg_station where bundesland is null")
-REG.add("check_unique", lambda t: checks.unique(stg_stations(t), "postal_code"),
-        "select postal_code, count(*) as occurrences from stg_station where postal_code is not null group by 1 having count(*) > 1")
+REG.add("check_unique", lambda t: checks.unique(stg_stations(t), "city"),
+        "select city, count(*) as occurrences from stg_station where city is not null group by 1 having count(*) > 1")
 REG.add("check_unique_combination", lambda t: checks.unique(events(t), "road_name", "direction", "severity"),
         "select road_name, direction, severity, count(*) as occurrences from stg_traffic group by all having count(*) > 1")
 REG.add("check_accepted_values", lambda t: checks.accepted_values(stg_points(t), "connector_type", ["ccs", "type2", "chademo"]),
