@@ -13,15 +13,6 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def join_to_dimension(
-    facts: DataFrame, dimension: DataFrame, on: Sequence[str], how: str, max_rows: int
-) -> DataFrame:
-    """Fact-to-dimension join: broadcast if measured small, else a shuffle join AQE may split on skew."""
-    if is_small(dimension, max_rows):
-        return facts.join(F.broadcast(dimension), list(on), how)
-    return facts.join(dimension.hint("merge"), list(on), how)
-
-
 def salted_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, buckets: int, how: str = "inner"
 ) -> DataFrame:
@@ -35,3 +26,12 @@ def salted_join(
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def join_to_dimension(
+    facts: DataFrame, dimension: DataFrame, on: Sequence[str], how: str, max_rows: int, spread: Column, buckets: int = 16
+) -> DataFrame:
+    """Fact-to-dimension join: broadcast if the dimension is measured small, else salted, so no key is one task's."""
+    if is_small(dimension, max_rows):
+        return facts.join(F.broadcast(dimension), list(on), how)
+    return salted_join(facts, dimension, on, spread, buckets, how)

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strom.operators.sizes import join_to_dimension
+
 
 def _same_columns(target: DataFrame, source: DataFrame) -> None:
     if sorted(target.columns) != sorted(source.columns):
@@ -57,7 +59,7 @@ def close_vanished(target: DataFrame, polled: DataFrame, answered: DataFrame, ke
         return target
     present = polled.select(key).distinct().withColumn("_present", F.lit(True))
     roads = answered.select(road).distinct().withColumn("_answered", F.lit(True))
-    marked = target.join(present, key, "left").join(roads, road, "left")
+    marked = join_to_dimension(target.join(present, key, "left"), roads, [road], "left", 200_000, F.col(key))
     gone = F.col("ends_at").isNull() & F.col("_answered").isNotNull() & F.col("_present").isNull()
     return marked.withColumn("ends_at", F.when(gone, F.lit(as_of)).otherwise(F.col("ends_at"))).select(*target.columns)
 

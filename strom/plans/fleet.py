@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strom.config import DEFAULT, Config
 from strom.functions.lookups import lookup
 from strom.operators.quantiles import exact_percentiles
-from strom.operators.sizes import join_to_dimension
+from strom.operators.sizes import salted_join
 from strom.operators.sliced import with_history
 from strom.plans.station_queries import bbox
 from strom.plans.stations import count_where
@@ -112,7 +112,7 @@ def trip_series(telemetry: DataFrame, max_points: int = 2000, cfg: Config = DEFA
     )
     stride = F.greatest(F.lit(1), F.ceil(F.col("total") / max_points))
     return (
-        placed.join(whole, "trip_id")
+        salted_join(placed, whole, ["trip_id"], F.col("telemetry_id"), cfg.salt_buckets)
         .where((F.col("position") % stride == 0) | (F.col("position") == F.col("total")))
         .withColumn("offset_km", F.greatest(F.lit(0.0), (F.col("odometer_m") - F.col("_start_m")) / 1000.0))
         .drop("_start_m", "odometer_m", "telemetry_id")

@@ -16,6 +16,7 @@ from strom.functions import energy, lookups
 from strom.functions.energy import Drive, with_segment_energy
 from strom.operators.quality import mark_duplicates
 from strom.operators.quantiles import exact_percentiles
+from strom.operators.sizes import join_to_dimension
 from strom.operators.sliced import with_history
 from strom.plans.analysis import default_speed
 
@@ -73,7 +74,8 @@ def window_features(steps: DataFrame, models: DataFrame, cfg: Config = DEFAULT)
         "nominal_consumption_kwh_100km",
     )
     micros = F.unix_micros("_first") + (F.col("window_index") * int(WINDOW_SECONDS * 1e6))
-    return windows.where(usable).join(profile, "vehicle_id").withColumns({
+    driven = join_to_dimension(windows.where(usable), profile, ["vehicle_id"], "inner", cfg.broadcast_rows, F.col("window_index"), cfg.salt_buckets)
+    return driven.withColumns({
         "window_start": F.timestamp_micros(micros),
         "window_end": F.timestamp_micros(micros + int(WINDOW_SECONDS * 1e6)),
         "avg_speed_kmh": F.col("distance_km") / (F.col("duration_s") / 3600.0),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strom.config import DEFAULT, Config
 from strom.operators.quantiles import exact_percentiles
+from strom.operators.sliced import with_history
 from strom.plans.stations import count_where
 
 CATEGORIES = ("normal", "fast", "ultra_fast")  # fixed values
@@ -83,14 +84,28 @@ def geojson_features(stations: DataFrame, cap: int = 20_000) -> DataFrame:
     }).withColumn("truncated", F.col("total_matching") > cap)
 
 
-def stations_with_points(stations: DataFrame, points: DataFrame) -> DataFrame:
-    """Sites with their connectors nested in ordinal order. A site's connectors fit into one row."""
-    nested = points.groupBy("station_id").agg(
+def stations_with_points(stations: DataFrame, points: DataFrame, per_row: int = 1000) -> DataFrame:
+    """Sites with their connectors nested in ordinal order, at most ``per_row`` of them in one row.
+
+    A site with more goes on in further rows (``part`` 1, 2, ...), so no row or task grows with one site.
+    """
+    numbered = with_history(
+        points.select("station_id", "connector_ordinal", "connector_type", "current_type", "power_kw"), ["station_id"],
+        "connector_ordinal", [], 1_000_000.0, number="_n")
+    nested = numbered.groupBy("station_id", F.floor((F.col("_n") - 1) / per_row).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("connector_ordinal", "connector_type", "current_type", "power_kw"))).alias("points")
     )
-    return stations.join(nested, "station_id", "left").withColumn(
-        "points", F.coalesce("points", F.array().cast(nested.schema["points"].dataType))
-    )
+    return stations.join(nested, "station_id", "left").withColumns({
+        "part": F.coalesce("part", F.lit(0)), "points": F.coalesce("points", F.array().cast(nested.schema["points"].dataType)),
+    })
+
+
+def connectors_by_state(sites: DataFrame, points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Connectors and fast connectors per state, summed up per site before the join."""
+    per_site = points.groupBy("station_id").agg(
+        F.count(F.lit(1)).alias("_points"), count_where(F.col("power_kw") >= cfg.fast_kw).alias("_fast"))
+    return per_site.join(sites.select("station_id", "bundesland"), "station_id").groupBy("bundesland").agg(
+        F.sum("_points").alias("charging_points"), F.sum("_fast").alias("fast_charging_points"))
 
 
 def statistics_by_state(stations: DataFrame, points: DataFrame, states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -99,10 +114,7 @@ def statistics_by_state(stations: DataFrame, points: DataFrame, states: DataFram
     by_state = sites.groupBy("bundesland").agg(
         F.count(F.lit(1)).alias("stations"), F.round(F.coalesce(F.sum(power), F.lit(0.0)), 1).alias("total_kw")
     )
-    fast = (
-        points.where(F.col("power_kw") >= cfg.fast_kw).join(sites.select("station_id", "bundesland"), "station_id")
-        .groupBy("bundesland").agg(F.count(F.lit(1)).alias("fast_points"))
-    )
+    fast = connectors_by_state(sites, points, cfg).select("bundesland", F.nullif("fast_charging_points", F.lit(0)).alias("fast_points"))
     labels = F.broadcast(states.select("bundesland", "label_de"))  # 16 fixed rows
     return by_state.join(labels, "bundesland").join(fast, "bundesland", "left").withColumn(
         "fast_points", F.coalesce("fast_points", F.lit(0))
@@ -142,12 +154,7 @@ def region_comparison(stations: DataFrame, points: DataFrame, states: DataFrame,
         F.max("max_power_kw").alias("max_power_kw"),
     )
     median = exact_percentiles(sites, ["bundesland"], F.col("max_power_kw"), {"_median": 0.5}, few_groups=True)
-    per_point = (
-        points.join(sites.select("station_id", "bundesland"), "station_id").groupBy("bundesland").agg(
-            F.count(F.lit(1)).alias("charging_points"),
-            count_where(F.col("power_kw") >= cfg.fast_kw).alias("fast_charging_points"),
-        )
-    )
+    per_point = connectors_by_state(sites, points, cfg)
     zeros = ("stations", "fast_stations", "ultra_fast_stations", "operators", "charging_points", "fast_charging_points")
     resolved = stations.agg(F.count("bundesland")).scalar()
     total = stations.agg(F.count(F.lit(1))).scalar()

@@ -104,9 +104,10 @@ def fct_trips(
     reported = trips.withColumnsRenamed({
         "start_soc_percent": "reported_start_soc_percent", "end_soc_percent": "reported_end_soc_percent",
     })
-    joined = reported.join(measured, "trip_id", "left").join(fleet, "vehicle_uuid", "left")
-    joined = joined.join(F.broadcast(profile), "vehicle_model_id", "left")  # five fixed profiles
-    joined = join_to_dimension(joined, corridor, ["route_id"], "left", cfg.broadcast_rows)
+    who = fleet.join(F.broadcast(profile), "vehicle_model_id", "left")  # five fixed profiles
+    joined = reported.join(measured, "trip_id", "left")
+    for dimension, key in ((who, "vehicle_uuid"), (corridor, "route_id")):
+        joined = join_to_dimension(joined, dimension, [key], "left", cfg.broadcast_rows, F.col("trip_id"), cfg.salt_buckets)
     measured_kwh, reported_kwh = F.col("measured_energy_kwh"), F.col("reported_energy_kwh")
     nominal, usable = F.col("nominal_consumption_kwh_100km"), F.col("usable_capacity_kwh")
     rate = F.col("measured_avg_consumption_kwh_100km")
@@ -138,7 +139,8 @@ def fct_vehicle_telemetry(
         "usable_capacity_kwh",
     )
     who = fleet.join(F.broadcast(profile), "vehicle_model_id", "left")  # five fixed profiles
-    joined = join_to_dimension(telemetry, who, ["vehicle_id"], "left", cfg.broadcast_rows)
+    joined = join_to_dimension(
+        telemetry, who, ["vehicle_id"], "left", cfg.broadcast_rows, F.col("telemetry_id"), cfg.salt_buckets)
     rate, nominal = F.col("energy_consumption_kwh_100km"), F.col("nominal_consumption_kwh_100km")
     return joined.withColumns({
         "recorded_date": F.to_date("recorded_at"),

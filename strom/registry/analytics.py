@@ -75,7 +75,7 @@ REG.add("geojson_features", lambda t: rounded(sq.geojson_features(stg_stations(t
            round((select max(longitude) from kept), 6) as east, round((select max(latitude) from kept), 6) as north,
            (select count(*) from stg_station) > 20000 as truncated from kept""")
 REG.add("stations_with_points", lambda t: _nested(t), """
-    select s.station_id, coalesce(n, 0)::int as point_count, coalesce(kinds, '') as points from stg_station s left join (
+    select s.station_id, 0::bigint as part, coalesce(n, 0)::int as point_count, coalesce(kinds, '') as points from stg_station s left join (
         select station_id, count(*) as n, string_agg(connector_ordinal || ':' || connector_type, ',' order by connector_ordinal) as kinds
         from stg_point group by 1) using (station_id)""")
 
@@ -83,7 +83,7 @@ REG.add("stations_with_points", lambda t: _nested(t), """
 def _nested(t: Tables):
     text = F.transform("points", lambda p: F.concat_ws(":", p.connector_ordinal.cast("string"), p.connector_type))
     return sq.stations_with_points(stg_stations(t), stg_points(t)).select(
-        "station_id", F.size("points").alias("point_count"), F.array_join(text, ",").alias("points"))
+        "station_id", "part", F.size("points").alias("point_count"), F.array_join(text, ",").alias("points"))
 
 
 REG.add("statistics_by_state", lambda t: sq.statistics_by_state(stg_stations(t), stg_points(t), t.states), """
