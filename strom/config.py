@@ -24,6 +24,7 @@ class Config:
     slice_seconds: int = 86_400
     broadcast_rows: int = 200_000
     salt_buckets: int = 16
+    hot_rows: int = 1_000_000
 
 
 DEFAULT = Config()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strom.config import DEFAULT, Config
 from strom.functions.geo import with_utm32
-from strom.operators.sizes import is_small, salted_join
+from strom.operators.sizes import is_small, skew_join
 from strom.operators.spatial import cell
 from strom.session import cut_lineage
 
@@ -40,7 +40,7 @@ def nearest(
         keyed = here.select(*point_id, "px", "py").withColumns({"cx": cell(F.col("px"), size), "cy": cell(F.col("py"), size)})
         pairs = (
             keyed.join(F.broadcast(around), ["cx", "cy"]) if small
-            else salted_join(keyed, around, ["cx", "cy"], F.struct("px", "py"), cfg.salt_buckets)
+            else skew_join(keyed, around, ["cx", "cy"], F.struct("px", "py"), cfg.salt_buckets, hot_rows=cfg.hot_rows)
         )
         distance = F.hypot(F.col("sx") - F.col("px"), F.col("sy") - F.col("py"))
         best = pairs.groupBy(*point_id).agg(F.min(F.struct(distance.alias("distance_m"), F.col(site_id))).alias("_b"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strom.session import cut_lineage
+
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """Counts at most ``max_rows + 1`` rows."""
@@ -28,10 +30,32 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def skew_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, buckets: int, how: str = "inner",
+    hot_rows: int = 1_000_000, max_hot_keys: int = 100_000,
+) -> DataFrame:
+    """Equi-join of two large sides that splits only the keys that need it.
+
+    Rows of ``big`` are counted per key (combined on the map side); a key with more than ``hot_rows`` of them
+    is dealt into as many parts as that takes, and only its rows of ``small`` are repeated. Should there be
+    more hot keys than may be broadcast, every key is salted instead.
+    """
+    counted = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = cut_lineage(counted.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts")))
+    if not is_small(hot, max_hot_keys):
+        return salted_join(big, small, on, spread, buckets, how)
+    if hot.isEmpty():
+        return big.join(small.hint("merge"), list(on), how)
+    parts = F.coalesce("_parts", F.lit(1))
+    left = big.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    right = small.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("_parts").join(right.drop("_parts").hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def join_to_dimension(
     facts: DataFrame, dimension: DataFrame, on: Sequence[str], how: str, max_rows: int, spread: Column, buckets: int = 16
 ) -> DataFrame:
-    """Fact-to-dimension join: broadcast if the dimension is measured small, else salted, so no key is one task's."""
+    """Fact-to-dimension join: broadcast if the dimension is measured small, else with its hot keys split."""
     if is_small(dimension, max_rows):
         return facts.join(F.broadcast(dimension), list(on), how)
-    return salted_join(facts, dimension, on, spread, buckets, how)
+    return skew_join(facts, dimension, on, spread, buckets, how)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strom.config import DEFAULT, Config
 from strom.functions.geo import planar_to_edge, with_utm32
-from strom.operators.sizes import is_small, salted_join
+from strom.operators.sizes import is_small, salted_join, skew_join
 from strom.session import cut_lineage
 
 
@@ -64,11 +64,13 @@ def with_cells(points: DataFrame, size: float, latitude: str = "latitude", longi
 
 
 def cell_join(points: DataFrame, cover: DataFrame, cfg: Config) -> DataFrame:
-    """Equi-join on the cell. Hot cells are split: by broadcasting a small cover, else by salting."""
+    """Equi-join on the cell. Hot cells are split: by broadcasting a small cover, else by dealing them out."""
     cover = cut_lineage(cover)  # written once, then counted and joined
     if is_small(cover, cfg.broadcast_rows):
         return points.join(F.broadcast(cover), ["cx", "cy"])
-    return salted_join(points, cover, ["cx", "cy"], F.struct("px", "py"), cfg.salt_buckets)
+    if is_small(cover, cfg.broadcast_rows * 25):  # repeating it costs less than counting the points
+        return salted_join(points, cover, ["cx", "cy"], F.struct("px", "py"), cfg.salt_buckets)
+    return skew_join(points, cover, ["cx", "cy"], F.struct("px", "py"), cfg.salt_buckets, hot_rows=cfg.hot_rows)
 
 
 def edge_matches(
@@ -76,7 +78,8 @@ def edge_matches(
 ) -> DataFrame:
     """Every (point, edge) pair within the buffer, with distance and offset along the line."""
     size = max(cell_m or buffer_m, 1.0)
-    pairs = cell_join(with_cells(points, size), edge_cover(edges, buffer_m, size), cfg)
+    slim = edges.drop("lat0", "lon0", "lat1", "lon1")
+    pairs = cell_join(with_cells(points, size), edge_cover(slim, buffer_m, size), cfg)
     run, rise = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     along = ((F.col("px") - F.col("x0")) * run + (F.col("py") - F.col("y0")) * rise) / F.greatest(F.col("edge_m"), F.lit(1e-9))
     pairs = pairs.withColumn("_along_m", F.greatest(F.lit(0.0), F.least(F.col("edge_m"), along)))

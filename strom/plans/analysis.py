@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strom.config import DEFAULT, Config
 from strom.functions import energy, lookups
 from strom.functions.energy import Drive, with_segment_energy
-from strom.operators.sizes import is_small, salted_join
+from strom.operators.sizes import is_small, skew_join
 from strom.session import cut_lineage
 
 REFERENCE_TEMPERATURE_C = 20.0  # fixed value
@@ -138,7 +138,7 @@ def meet_requests(requests: DataFrame, per_pair: DataFrame, cfg: Config = DEFAUL
     keys = ["route_id", "vehicle_model_id"]
     if is_small(per_pair, cfg.broadcast_rows):
         return requests.join(F.broadcast(per_pair), keys)
-    return salted_join(requests, per_pair, keys, F.col("request_id"), cfg.salt_buckets)
+    return skew_join(requests, per_pair, keys, F.col("request_id"), cfg.salt_buckets, hot_rows=cfg.hot_rows)
 
 
 def mean_soc(start: Column, kwh: Column, usable: Column) -> Column:

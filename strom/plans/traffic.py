@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strom.config import DEFAULT, Config
 from strom.functions import lookups
 from strom.functions.lookups import round_decimal, seconds_between, share_percent
-from strom.operators.sizes import is_small, salted_join
+from strom.operators.sizes import is_small, skew_join
 from strom.operators.spatial import distance_join, edge_cover, line_edges, segments_distance
 from strom.plans.fleet import active_at
 from strom.plans.stations import distinct_text
@@ -80,7 +80,7 @@ def event_lines_on_segments(
     if is_small(segment_cells, cfg.broadcast_rows):
         pairs = event_cells.join(F.broadcast(segment_cells), ["cx", "cy"])
     else:
-        pairs = salted_join(event_cells, segment_cells, ["cx", "cy"], F.col("traffic_event_id"), cfg.salt_buckets)
+        pairs = skew_join(event_cells, segment_cells, ["cx", "cy"], F.col("traffic_event_id"), cfg.salt_buckets, hot_rows=cfg.hot_rows)
     return pairs.where(segments_distance(pairs) <= buffer_m).select("traffic_event_id", "route_segment_id").distinct()
 
 

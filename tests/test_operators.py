@@ -13,7 +13,7 @@ from strom.functions.geo import with_utm32
 from strom.operators import checks, quality, upsert
 from strom.operators.nearest import interval_join, nearest
 from strom.operators.quantiles import exact_percentiles
-from strom.operators.sizes import salted_join
+from strom.operators.sizes import salted_join, skew_join
 from strom.operators.sliced import with_history
 from strom.operators.spatial import distance_join
 
@@ -77,6 +77,15 @@ def test_salted_join_equals_join(skewed):
         assert got.count() == skewed.join(small, ["key"], how).count()
 
 
+def test_skew_join_equals_join_and_splits_only_hot_keys(skewed):
+    small = skewed.groupBy("key").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        for limits in ({"hot_rows": 100}, {"hot_rows": 10_000}, {"hot_rows": 1, "max_hot_keys": 1}):
+            got = skew_join(skewed, small, ["key"], F.col("id"), 8, how, **limits).select("key", "id", "n")
+            want = skewed.join(small, ["key"], how).select("key", "id", "n")
+            assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
 def _edge_distance(px, py, a, b):
     dx, dy = b[0] - a[0], b[1] - a[1]
     t = max(0.0, min(1.0, ((px - a[0]) * dx + (py - a[1]) * dy) / (dx * dx + dy * dy)))
@@ -93,7 +102,7 @@ def test_distance_join_against_brute_force(spark):
     got = {(r.pid, r.lid): r for r in distance_join(p, lines_df, ["pid"], ["lid"], 5000.0).collect()}
     from strom.config import Config
 
-    salted = {(r.pid, r.lid) for r in distance_join(p, lines_df, ["pid"], ["lid"], 5000.0, Config(broadcast_rows=0, salt_buckets=4)).collect()}
+    salted = {(r.pid, r.lid) for r in distance_join(p, lines_df, ["pid"], ["lid"], 5000.0, Config(broadcast_rows=0, hot_rows=40)).collect()}
     xy = {r.pid: (r.x, r.y) for r in with_utm32(p, "latitude", "longitude", "x", "y").collect()}
     flat = spark.createDataFrame([(lid, k, la, lo) for lid, vs in lines for k, la, lo in vs], "lid string, k int, la double, lo double")
     vertices = {}
