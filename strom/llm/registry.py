@@ -5,16 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strom.llm import chat, decontaminate, exact_dedup, licenses, mixing, oracles, secrets
-from strom.llm.shared import documents
+from strom.llm import chat, decontaminate, exact_dedup, language_id, licenses, mixing, near_dedup, oracles, pii, secrets, toxicity
+from strom.llm.shared import documents, held_out
 from strom.session import checkpoint_root, configure
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs, labels.where(~out))
+    return toxicity.score(docs, model, ["doc_id", out.alias("held_out")]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(documents(spark, folder, "doc_id", "text"))
+
+
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = language_id.train(docs.where(~out))
+    return language_id.predict(docs, model, ["doc_id", out.alias("held_out")])
+
+
 def op4_license(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(documents(spark, folder, "doc_id", "text"))
 
 
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, folder, "doc_id", "text"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, folder, "doc_id", "text"))
 
@@ -41,7 +65,9 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_digests(found)
 
 
-_OPERATORS = (op4_license, op6_exact_dedup, op7_mixing, op8_chat, op9_decontaminate, op10_secrets)
+_OPERATORS = (
+    op1_toxicity, op2_pii, op3_language, op4_license, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_chat, op9_decontaminate, op10_secrets,
+)
 
 
 def _configured(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
