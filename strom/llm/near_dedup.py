@@ -18,8 +18,8 @@ _MANTISSA = 10
 SKETCH_SQL = "doc_id bigint, n bigint, set_a bigint, set_b bigint, registers binary"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SHORT = mix(np.arange(1, 64, dtype=np.uint64) * _B)  # tells sequences shorter than a shingle apart by length
-# rows of one bucket that meet in one task, and members of one centre that do
-_BLOCK, _MEMBERS = 512, 2000
+# rows of one bucket that meet in one task, members of one centre that do, and shingles of one block of a neighbourhood
+_BLOCK, _MEMBERS, _SHINGLES = 512, 2000, 150_000
 
 
 def shingle_sets(words: Words, width: int = 3) -> Iterator[np.ndarray]:
@@ -191,56 +191,118 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return _beside_centre(pairs, texts, compare)
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame, least: float, height: int) -> DataFrame:
-    """Pairs of different components that share a bucket and may link, each once.
+class _Sets:
+    """Disjoint sets of the labels one task has met; tells which edges joined two of them."""
+
+    def __init__(self):
+        self.over: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.over.get(x, x)) != x:
+            self.over[x] = self.over.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        self.over[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], n: int, work: Callable[[list], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Hands sorted rows to ``work`` group by group; the first ``n`` columns are the key."""
+    group: list = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if group and row[:n] != group[0][:n]:
+                yield from work(group)
+                group = []
+            group.append(row)
+    if group:
+        yield from work(group)
+
+
+def _neighbourhoods(buckets: DataFrame, labels: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Links (centre, doc_id) that tie together components with a pair that shares a bucket and may be linked.
 
     Only buckets that still hold several components are looked at. A large one is cut into blocks, each pair of which meets in a task
-    of its own; there registers are compared as arrays, and only pairs that pass the estimate leave it.
+    of its own, where registers are compared as arrays. A task gives out a link only where it joins two components it has not
+    joined before, so never more than it has rows.
     """
-    bands = REGISTERS // height
-    rows = buckets.select("key", "band", "doc_id").join(labels, "doc_id")
+    rows = buckets.select("key", "doc_id").join(labels, "doc_id")
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
     rows = rows.join(mixed.select("key", F.ceil(F.col("_rows") / _BLOCK).cast("int").alias("_blocks")), "key")
     rows = rows.join(reps.select("doc_id", "n", "registers"), "doc_id").withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    rows = rows.withColumn("_other", other).withColumns({"low": F.least("_own", "_other"), "high": F.greatest("_own", "_other")})
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("_own", "_other"), "high": F.greatest("_own", "_other")})
     rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    rows = rows.select("key", "low", "high", "band", "doc_id", "component", "n", (F.col("_own") == F.col("low")).alias("first"), "registers")
-
-    def pairs_of(group: list) -> Iterator[pa.RecordBatch]:
-        band, low, high = group[0][3], group[0][1], group[0][2]
-        ids, parts, sizes = (np.array([g[i] for g in group], np.int64) for i in (4, 5, 6))
-        first = np.array([g[7] for g in group], bool)
-        held = np.frombuffer(b"".join(g[8] for g in group), np.uint16).reshape(-1, REGISTERS)
-        left = np.flatnonzero(first)
-        centres, others = [], []
-        for i in left:
-            # in one block each pair once; between two blocks the first against the second
-            against = np.flatnonzero((ids > ids[i]) if low == high else ~first)
-            against = against[parts[against] != parts[i]]
-            if not len(against):
-                continue
-            same = held[against] == held[i]
-            good = may_link(same.sum(axis=1), sizes[against], np.full(len(against), sizes[i]), least)
-            # a pair that shares several bands is told by the first of them
-            good &= same[:, : bands * height].reshape(len(against), bands, height).all(axis=2).argmax(axis=1) == band
-            at = against[good]
-            centres += np.minimum(ids[at], ids[i]).tolist()
-            others += np.maximum(ids[at], ids[i]).tolist()
-        yield _kept(centres, others)
+    rows = rows.select("key", "low", "high", "doc_id", "component", "n", "registers")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[:3] != group[0][:3]:
-                    yield from pairs_of(group)
-                    group = []
-                group.append(row)
-        if group:
-            yield from pairs_of(group)
+    def tied(group: list) -> Iterator[pa.RecordBatch]:
+        ids, parts, sizes = (np.array([g[i] for g in group], np.int64) for i in (3, 4, 5))
+        held = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(-1, REGISTERS)
+        sets, out = _Sets(), ([], [])
+        for i in range(len(group) - 1):
+            against = np.flatnonzero(parts[i + 1 :] != parts[i]) + i + 1
+            good = may_link((held[against] == held[i]).sum(axis=1), sizes[against], np.full(len(against), sizes[i]), least)
+            near, first = np.unique(parts[against[good]], return_index=True)
+            for part, at in zip(near.tolist(), against[good][first].tolist()):
+                if sets.join(int(parts[i]), part):
+                    out[0].append(int(ids[i]))
+                    out[1].append(int(ids[at]))
+        yield _kept(*out)
+
+    return rows.mapInArrow(lambda batches: _grouped(batches, 3, tied), "centre bigint, doc_id bigint")
+
+
+def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
+    return rows.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int"))
 
-    return rows.mapInArrow(run, "centre bigint, doc_id bigint")
+
+def _links_between(labels: DataFrame, around: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join components of one neighbourhood, by full sets.
+
+    ``around`` gives a neighbourhood to each document that is in one. The documents outside of its largest component are compared with all
+    others, in blocks of bounded size, each pair of which meets in a task. Given out are only links that join components.
+    """
+    rows = labels.join(around, "doc_id").join(reps.select("doc_id", "n"), "doc_id")
+    parts = rows.groupBy("place", "component").agg(F.sum("n").alias("_n"))
+    places = parts.groupBy("place").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_main"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    places = cut_lineage(places.select("place", F.col("_main.component").alias("_main"),
+                                       F.ceil(F.col("_all") / _SHINGLES).cast("int").alias("_right"), F.ceil((F.col("_all") - F.col("_main._n")) / _SHINGLES).cast("int").alias("_left")))
+    rows = rows.join(places, "place")
+    left = _dealt(rows.where("component <> _main"), "_left").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("_right") - 1)))
+    right = _dealt(rows, "_right").withColumn("l", F.explode(F.sequence(F.lit(0), F.col("_left") - 1)))
+    both = left.select("place", F.col("_own").alias("l"), "r", F.lit(True).alias("asks"), "doc_id", "component").unionByName(
+        right.select("place", "l", F.col("_own").alias("r"), F.lit(False).alias("asks"), "doc_id", "component"))
+    both = both.join(texts, "doc_id").repartition("place", "l", "r").sortWithinPartitions("place", "l", "r")
+    both = both.select("place", "l", "r", "asks", "doc_id", "component", "text")
+
+    def linked(group: list) -> Iterator[pa.RecordBatch]:
+        data, offsets = utf8(pa.array([g[6] for g in group], pa.string()))
+        found = list(shingle_sets(Words(data, offsets, SPACE_WORDS), width))
+        asks = np.array([g[3] for g in group], bool)
+        others, owners = np.flatnonzero(~asks), np.array([g[5] for g in group], np.int64)
+        sizes = np.array([len(f) for f in found], np.int64)
+        postings = np.concatenate([np.zeros(0, np.uint64), *(found[i] for i in others)])
+        of = np.repeat(np.arange(len(others)), sizes[others])
+        order = np.argsort(postings, kind="stable")
+        postings, of = postings[order], of[order]
+        sets, out = _Sets(), ([], [])
+        for i in np.flatnonzero(asks).tolist():
+            low, high = np.searchsorted(postings, found[i], "left"), np.searchsorted(postings, found[i], "right")
+            size = high - low
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            shared = np.bincount(of[at], minlength=len(others))
+            good = (shared > 0) & (100 * shared >= percent * (sizes[i] + sizes[others] - shared)) & (owners[others] != owners[i])
+            near, first = np.unique(owners[others[good]], return_index=True)
+            for part, j in zip(near.tolist(), others[good][first].tolist()):
+                if sets.join(int(owners[i]), part):
+                    out[0].append(group[i][4])
+                    out[1].append(group[j][4])
+        yield _kept(*out)
+
+    return both.mapInArrow(lambda batches: _grouped(batches, 3, linked), "centre bigint, doc_id bigint")
 
 
 def near_dedup(docs: DataFrame, width: int = 3, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -249,7 +311,9 @@ def near_dedup(docs: DataFrame, width: int = 3, percent: int = 85, id_column: st
     Documents with equal sets form one class, whose smallest id stands for it. Classes meet in buckets of agreeing register bands: at
     the least similarity two miss each other in all bands with a probability below 1e-6. In each bucket all members are first tried
     against one centre (estimate from registers, then full sets). Buckets whose members are then still in several components
-    have all pairs across components tried, so no link between components is left out; pairs within one add nothing.
+    are looked at again: components with a pair that may link form a neighbourhood, in which all pairs across components are decided by
+    full sets, so no link between components is left out; pairs within one add nothing. That last step is quadratic in the documents of
+    a neighbourhood outside its largest component, block by block, and gives out no more links than components.
 
     Columns: id, n_shingles, component_id (smallest id reachable), kept. Null and empty texts have no shingles and stand alone. Rows that
     repeat an id share its component; rows without id stand alone, with a null component, and are kept. Other columns are not read.
@@ -267,11 +331,11 @@ def near_dedup(docs: DataFrame, width: int = 3, percent: int = 85, id_column: st
     links = cut_lineage(_verified(tried, texts, width, percent))
     labels = connect(links)
     members = buckets.select("doc_id").distinct().join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rest = _open_pairs(buckets, cut_lineage(members), reps, least, height)
-    both = tried.select(F.least("centre", "doc_id").alias("centre"), F.greatest("centre", "doc_id").alias("doc_id"))
-    rest = cut_lineage(rest.distinct().join(both, ["centre", "doc_id"], "left_anti"))
-    more = cut_lineage(_verified(rest, texts, width, percent))
-    labels = connect(labels.select(F.col("component").alias("centre"), "doc_id").where("centre <> doc_id").unionByName(more))
+    members = cut_lineage(members)
+    known = members.select(F.col("component").alias("centre"), "doc_id").where("centre <> doc_id")
+    around = connect(known.unionByName(cut_lineage(_neighbourhoods(buckets, members, reps, least))))
+    more = cut_lineage(_links_between(members, around.withColumnRenamed("component", "place"), reps, texts, width, percent))
+    labels = connect(known.unionByName(more))
     found = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     alone = sketches.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     joined = salted_lookup(full.select("doc_id", "n", "set_a", "set_b"), found, ["set_a", "set_b", "n"], F.col("doc_id"), how="inner")
