@@ -178,7 +178,7 @@ def instantaneous_power_kw(d: Drive) -> Column:
 
 
 def consumption_kwh_per_100km(kwh: Column, distance_km: Column) -> Column:
-    return F.when(distance_km > 0, kwh / distance_km * 100.0)
+    return F.when(distance_km > 0, kwh / distance_km * 100.0).when(distance_km == 0, F.lit(0.0))
 
 
 def charging_power_kw(max_dc_kw: Column, soc: Column, battery_temperature_c: Column) -> Column:

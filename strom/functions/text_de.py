@@ -103,7 +103,7 @@ def state_code(text: Column) -> Column:
     """Two-letter state for a name in any known spelling; a ``DE-`` prefix is tolerated."""
     table = F.create_map(*(F.lit(part) for item in _state_table().items() for part in item))
     key = place_key(text)
-    stripped = F.when(key.startswith("de"), F.substring(key, 3, 100))
+    stripped = F.when(key.startswith("de"), key.substr(F.lit(3), F.length(key)))
     return F.coalesce(F.try_element_at(table, key), F.try_element_at(table, stripped))
 
 

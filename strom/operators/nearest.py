@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,15 @@ from strom.session import cut_lineage
 _RINGS_M = (15_000.0, 90_000.0, 600_000.0)
 
 
+def _extent(points: DataFrame, sites: DataFrame) -> float:
+    """No two of them are farther apart; 1 m if there are none."""
+    def sides(df: DataFrame, x: str, y: str):
+        return df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+
+    low_x, high_x, low_y, high_y = ([v for v in pair if v is not None] for pair in zip(sides(points, "px", "py"), sides(sites, "sx", "sy")))
+    return math.hypot(max(high_x) - min(low_x), max(high_y) - min(low_y)) + 1.0 if low_x else 1.0
+
+
 def nearest(
     points: DataFrame, sites: DataFrame, point_id: Sequence[str], site_id: str, radius_m: float | None = None,
     cfg: Config = DEFAULT, rings_m: Sequence[float] = _RINGS_M,
@@ -24,14 +34,15 @@ def nearest(
 
     Search widens ring by ring: a point looks into its own and the eight neighbouring cells, which is
     conclusive once the best distance is no longer than the cell side; only inconclusive points go on
-    to the next, larger cells. ``radius_m`` bounds the search, else the last ring does.
+    to the next, larger cells. ``radius_m`` bounds the search; without it the last cells are as large as all points and sites
+    together, so every point finds its site however far away.
     """
-    limit = radius_m if radius_m is not None else rings_m[-1]
-    sizes = [r for r in rings_m if r < limit] + [limit]
     spots = cut_lineage(with_utm32(sites.select(site_id, "latitude", "longitude"), "latitude", "longitude", "sx", "sy").select(
         site_id, "sx", "sy"))
     small = is_small(spots, cfg.broadcast_rows // 9)
     open_points = cut_lineage(with_utm32(points, "latitude", "longitude", "px", "py"))
+    limit = radius_m if radius_m is not None else _extent(open_points, spots)
+    sizes = [r for r in rings_m if r < limit] + [limit]
     done = None
     for i, size in enumerate(sizes):
         around = spots.withColumn("cx", F.explode(F.sequence(cell(F.col("sx"), size) - 1, cell(F.col("sx"), size) + 1)))

@@ -6,13 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from strom.session import cut_lineage
 
 
+# no side above this is broadcast, whatever its number of rows
+MAX_BROADCAST_BYTES = 256 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how much a row takes: text, binary and arrays by their length, all else at a fixed width."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, ArrayType):
+            total = total + 16 * F.greatest(F.size(field.name), F.lit(0))
+        else:
+            total = total + 16
+    return total
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether there are at most ``max_rows`` rows of ``MAX_BROADCAST_BYTES`` in all; every task sends on two sums."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df).cast("bigint"))).first()
+    return rows <= max_rows and (size or 0) <= MAX_BROADCAST_BYTES
 
 
 def salted_join(

@@ -69,13 +69,13 @@ def incremental_delete_insert(
 ) -> DataFrame:
     """New state after re-reading the source from the look-back point and replacing the rows it yields.
 
-    The first run loads everything. A change of the columns is an error. ``build`` derives the target
+    The first run loads everything, and so does one that finds the target empty. A change of the columns is an error. ``build`` derives the target
     rows from the re-read part only.
     """
     if target is None:
         return build(source)
     since = target.agg((F.max(ts) - F.expr(f"interval {lookback_minutes} minutes")).alias("t")).scalar()
-    recent = build(source.where(F.col(ts) >= since))
+    recent = build(source.where(F.coalesce(F.col(ts) >= since, since.isNull())))
     _same_columns(target, recent)
     return target.join(recent.select(key), key, "left_anti").unionByName(recent)
 

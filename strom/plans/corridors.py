@@ -188,7 +188,7 @@ def coverage_query(
     # the filter on the rank lets Spark keep only ``top_gaps`` rows per route before the shuffle
     worst_first = W.partitionBy("route_id").orderBy(F.col("gap").desc(), F.col("gap_start"))
     ranked = gaps.withColumn("rank_in_route", F.row_number().over(worst_first)).where(F.col("rank_in_route") <= top_gaps)
-    reported = ranked.where((F.col("rank_in_route") == 1) | (F.col("gap") > min_reported_gap_km * 1000.0))
+    reported = ranked.where((F.col("rank_in_route") == 1) | (F.col("gap") >= min_reported_gap_km * 1000.0))
     head = routes.select(
         "route_id", F.col("slug").alias("route_slug"), F.col("name").alias("route_name"),
         F.col("distance_m").alias("_driving_m"),

@@ -53,7 +53,12 @@ def live_vehicles(
     telemetry: DataFrame, vehicles: DataFrame, models: DataFrame, *, since: datetime | None = None,
     box: tuple[float, float, float, float] | None = None, vehicle_ids: Sequence[str] | None = None, cap: int = 1000,
 ) -> DataFrame:
-    """Newest matching sample per vehicle; filters apply before the newest is picked."""
+    """Newest matching sample per vehicle; filters apply before the newest is picked.
+
+    At most ``cap`` vehicles in the order of their ids, 1000 being the most that may be asked for; more is an error.
+    """
+    if not 1 <= cap <= 1000:
+        raise ValueError("cap must be between 1 and 1000")
     rows = telemetry
     if since is not None:
         rows = rows.where(F.col("recorded_at") > F.lit(since))
@@ -65,7 +70,7 @@ def live_vehicles(
     code = vehicles.select("vehicle_id", "vehicle_model_id").join(
         F.broadcast(models.select("vehicle_model_id", "vehicle_model_code")), "vehicle_model_id", "left"
     ).select("vehicle_id", "vehicle_model_code")
-    top = newest.drop("telemetry_id").orderBy("vehicle_id").limit(min(max(cap, 1), 1000))
+    top = newest.drop("telemetry_id").orderBy("vehicle_id").limit(cap)
     return top.join(code, "vehicle_id", "left").withColumn(
         "model_code", F.coalesce("vehicle_model_code", F.lit("unknown"))
     ).drop("vehicle_model_code")

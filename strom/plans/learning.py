@@ -257,31 +257,31 @@ def gain_importance(model: Model, spark) -> DataFrame:
 
 
 def permutation_importance(
-    df: DataFrame, model: Model, row_id: str, features: Sequence[str] = FEATURES, seed: int = 42, buckets: int = 64
+    df: DataFrame, model: Model, row_id: str, features: Sequence[str] = FEATURES, seed: int = 42, repeats: int = 5, rows_per_bucket: int = 2000
 ) -> DataFrame:
-    """Rise of the mean absolute error when one feature's values are shuffled between rows.
+    """Rise of the mean absolute error when one feature's values are shuffled between rows, over several shuffles.
 
-    Rows are dealt into random buckets and a feature is permuted inside each, which needs no global order.
+    Rows are dealt into random buckets of bounded size and a feature is permuted inside each, which needs no global order.
+    All features of one shuffle are scored in one pass: a row appears once per feature with that feature's value replaced.
     """
-    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(buckets)))
-    inside = W.partitionBy("_bucket")
-    rows = rows.withColumns({
-        "_n": F.row_number().over(inside.orderBy(row_id)),
-        "_m": F.row_number().over(inside.orderBy(F.xxhash64(F.lit(seed + 1), row_id), row_id)),
-    })
-
-    def error(frame: DataFrame, name: str) -> DataFrame:
-        scored = model.transform(with_vector(frame))
-        return scored.agg(F.avg(F.abs(F.col("predicted") - F.col(TARGET))).alias("mae")).select(F.lit(name).alias("feature"), "mae")
-
-    base = error(rows, "none").select("mae").scalar()
-    out = None
-    for feature in features:
-        donor = rows.select("_bucket", F.col("_m").alias("_n"), F.col(feature).alias("_other"))
-        shuffled = rows.join(donor, ["_bucket", "_n"]).withColumn(feature, F.col("_other")).drop("_other")
-        part = error(shuffled, feature)
+    count, base = df.count(), model.transform(with_vector(df)).agg(F.avg(F.abs(F.col("predicted") - F.col(TARGET)))).scalar()
+    spread = F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(max(1, count // rows_per_bucket)))
+    rows = df.select(row_id, F.col(TARGET), *FEATURES, spread.alias("_bucket"))
+    inside, out = W.partitionBy("_bucket"), None
+    for repeat in range(repeats):
+        dealt = rows.withColumns({
+            "_n": F.row_number().over(inside.orderBy(row_id)),
+            "_m": F.row_number().over(inside.orderBy(F.xxhash64(F.lit(seed + 1 + repeat), row_id), row_id)),
+        })
+        donor = dealt.select("_bucket", F.col("_m").alias("_n"), F.struct(*features).alias("_other"))
+        each = dealt.join(donor, ["_bucket", "_n"]).withColumn("_feature", F.explode(F.array(*map(F.lit, features))))
+        swapped = each.withColumns({f: F.when(F.col("_feature") == f, F.col(f"_other.{f}")).otherwise(F.col(f)) for f in features})
+        part = model.transform(with_vector(swapped)).groupBy(F.col("_feature").alias("feature")).agg(
+            F.avg(F.abs(F.col("predicted") - F.col(TARGET))).alias("mae"))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("importance", F.col("mae") - base)
+    rise = out.groupBy("feature").agg(F.avg("mae").alias("mae"), F.stddev_pop("mae").alias("std")).withColumn("importance", F.col("mae") - base)
+    total = F.sum(F.greatest("importance", F.lit(0.0))).over(W.partitionBy(F.lit(0)))  # a row per feature
+    return rise.withColumns({"importance_normalised": F.when(total > 0, F.greatest("importance", F.lit(0.0)) / total).otherwise(F.lit(0.0)), "method": F.lit("permutation")})
 
 
 def features_from_conditions(driven: DataFrame, soc: Column | None = None) -> DataFrame:

@@ -86,7 +86,7 @@ REG.add("segment_energy", lambda t: rounded(with_segment_energy(drive_rows(t)).s
         f"select telemetry_id, {_ROUNDED} from drive_energy")
 REG.add("consumption", lambda t: rounded(with_segment_energy(drive_rows(t)).select(
     "telemetry_id", energy.consumption_kwh_per_100km(F.col("kwh"), F.col("distance_km")).alias("kwh_per_100km")), 4),
-    "select telemetry_id, round(case when distance_km > 0 then kwh / distance_km * 100 end, 4) as kwh_per_100km from drive_energy")
+    "select telemetry_id, round(case when distance_km > 0 then kwh / distance_km * 100 when distance_km = 0 then 0 end, 4) as kwh_per_100km from drive_energy")
 _WHEEL = "(w_roll + w_aero + w_grade + w_inert)"
 REG.add("instantaneous_power", lambda t: rounded(drive_rows(t).select("telemetry_id", energy.instantaneous_power_kw(Drive.of()).alias("power_kw"))), f"""
     select telemetry_id, round(case when speed_kmh > 0 then (case when {_WHEEL} >= 0 then {_WHEEL} / 0.9::double * cold
@@ -334,7 +334,7 @@ REG.add("reconstruct_profile", lambda t: analysis.reconstruct_profile(
 
 def _trained(t: Tables):
     rows = cut_lineage(learning.grouped_split(training_rows(t)))
-    return rows, learning.train_energy_model(rows, max_iter=20)
+    return rows, learning.train_energy_model(rows)
 
 
 def training_report(t: Tables):
@@ -351,9 +351,9 @@ REG.add("train_energy_model", training_report)
 def _importances(t: Tables):
     rows, model = _trained(t)
     gains = learning.gain_importance(model, t.spark)
-    test = reuse(rows.where("fold = 'test'").withColumn("row_key", F.concat_ws("|", "trip_id", F.col("window_index").cast("string"))))
-    shuffled = learning.permutation_importance(test, model, "row_key", ("speed_kmh", "speed_std_kmh", "mass_kg", "gradient_percent"))
-    return gains.join(shuffled.select("feature", F.col("importance").alias("permutation")), "feature", "left")
+    held = reuse(rows.where("fold = 'validation'").withColumn("row_key", F.concat_ws("|", "trip_id", F.col("window_index").cast("string"))))
+    shuffled = learning.permutation_importance(held, model, "row_key").withColumnRenamed("importance", "permutation")
+    return gains.join(shuffled, "feature", "left")
 
 
 REG.add("feature_importance", _importances)

@@ -263,7 +263,7 @@ def _ranked_sql(top: int, min_gap_km: float) -> str:
     left join (select route_id, count(*) as n, count(*) filter (is_fast_charger) as fast,
                       count(*) filter (coalesce(max_power_kw, 0) >= 50) as q
                from station_near join stg_station using (station_id) group by 1) s using (route_id)
-    where k <= {top} and (k = 1 or gap > {min_gap_km * 1000})"""
+    where k <= {top} and (k = 1 or gap >= {min_gap_km * 1000})"""
 
 
 REG.add("coverage_query", lambda t: ranked_gaps(t), _ranked_sql(25, 0))

@@ -89,7 +89,7 @@ relation("newest_published", "select * from published where reject_reason is nul
 _STATE = "vehicle_id, recorded_at, trip_id, state, speed_kmh, round(battery_soc_percent, 6) as battery_soc_percent"
 REG.add("stream_vehicle_state", lambda t: rounded(_vehicle_state(t)), f"select {_STATE} from newest_published")
 REG.add("stream_delta_feed", lambda t: rounded(telemetry.delta_feed(_vehicle_state(t), CURSOR)),
-        f"select {_STATE} from newest_published where recorded_at > timestamp '2024-01-28 00:00:30' order by vehicle_id limit 1000")
+        f"select {_STATE} from newest_published where recorded_at > timestamp '2024-01-28 00:00:30' order by recorded_at, vehicle_id limit 1000")
 
 
 def trip_rows(t: Tables, stream: DataFrame) -> DataFrame:
@@ -129,23 +129,26 @@ REG.add("stream_trip_totals", lambda t: rounded(_trip_totals(t), 5), """
 
 
 def _trip_windows(t: Tables) -> DataFrame:
-    """All trips' closed windows; the last window of a trip stays open until its timeout."""
+    """All trips' windows, each in its newest version."""
     path = _folder(t)
     rows = messages.good(parsed_stream(t)).select(
         "trip_id", "recorded_at", F.substring("event_id", 2, 20).cast("bigint").alias("sequence"), "speed_kmh", "odometer_m")
-    telemetry.run_to_end(state.trip_windows(rows), telemetry.update_batch(f"{path}/windows"), f"{path}/checkpoint")
-    return t.spark.read.parquet(f"{path}/windows").drop("batch")
+    telemetry.run_to_end(state.trip_windows(rows), telemetry.update_batch(f"{path}/windows"), f"{path}/checkpoint", "update")
+    return telemetry.latest_version(t.spark, f"{path}/windows", "trip_id", "window_index")
 
 
-REG.add("stream_trip_windows", lambda t: rounded(_trip_windows(t)))
+REG.add("stream_trip_windows", lambda t: rounded(_trip_windows(t)), """
+    with good as (select *, min(recorded_at) over (partition by trip_id) as first from published where reject_reason is null and trip_id is not null),
+    w as (select *, (epoch_us(recorded_at) - epoch_us(first)) // 60000000 as window_index from good)
+    select trip_id, window_index, any_value(first) + to_microseconds(60000000 * window_index) as window_start, count(*) as samples, round(avg(speed_kmh), 6) as mean_speed_kmh,
+           round(arg_min(odometer_m, (recorded_at, telemetry_id)), 6) as first_odometer_m, round(arg_max(odometer_m, (recorded_at, telemetry_id)), 6) as last_odometer_m
+    from w group by trip_id, window_index""")
 
 
 def _counters(t: Tables) -> DataFrame:
     path = _folder(t)
-    query = telemetry.run_to_end(telemetry.counted(parsed_stream(t, files=2)), telemetry.append_batch(path), f"{path}/checkpoint")
-    rows = telemetry.progress_rows(query)
-    return t.spark.createDataFrame(rows, "batch bigint, consumed bigint, rejected bigint").agg(
-        F.sum("consumed").alias("consumed"), F.sum("rejected").alias("rejected"))
+    totals = telemetry.run_counted(parsed_stream(t, files=2), telemetry.append_batch(path), f"{path}/checkpoint")
+    return t.spark.createDataFrame([(totals.consumed, totals.rejected)], "consumed bigint, rejected bigint")
 
 
 REG.add("stream_counters", _counters, "select count(*) as consumed, count(reject_reason) as rejected from published")

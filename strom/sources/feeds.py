@@ -37,14 +37,21 @@ PLACE = (
 _FILE, _AT, _BAD = "_file", "_at", "_corrupt_record"
 
 
-def read_register_csv(spark: SparkSession, path: str, width: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Register rows by column name, and per file how many rows were too short.
+def _register_width(spark: SparkSession, path: str) -> int:
+    """Number of cells of the widest header line."""
+    value = F.replace(F.col("value"), F.lit("\ufeff"), F.lit(""))
+    header = spark.read.text(path).where(F.ltrim(F.replace(value, F.lit('"'), F.lit(""))).startswith(REGISTER_COLUMNS[0]))
+    return header.agg(F.max(F.size(F.split("value", ";")))).first()[0] or 1
+
+
+def read_register_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Register rows by column name, and per file how many rows were too short. As many columns are read as the header has.
 
     The header is found by its first cell, whatever precedes it; columns are then taken by name, so their
     order may differ between editions. Cells may hold line breaks, hence whole-file parsing: one task
     per edition file.
     """
-    names = [f"c{i}" for i in range(width)]
+    names = [f"c{i}" for i in range(_register_width(spark, path))]
     schema = ", ".join(f"{n} string" for n in names)
     raw = spark.read.schema(schema).csv(path, sep=";", multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8")
     raw = raw.select(F.input_file_name().alias(_FILE), F.monotonically_increasing_id().alias(_AT), F.array(*names).alias("cells"))

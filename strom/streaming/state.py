@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ EVENT_STATE = {"started": "driving", "finished": "completed", "charging_started"
 TRIP_SCHEMA = "trip_id string, state string, distance_m double, energy_kwh double, avg_consumption_kwh_100km double, soc_percent double, ended_at timestamp"
 _TRIP_STATE = "state string, distance_m double, energy_kwh double, soc_percent double, ended_us bigint"
 WINDOW_SCHEMA = "trip_id string, window_index bigint, window_start timestamp, samples bigint, mean_speed_kmh double, first_odometer_m double, last_odometer_m double"
-_WINDOW_STATE = "first_us bigint, open_index bigint, samples bigint, speed_sum double, first_odometer double, last_odometer double, last_us bigint"
+_WINDOW_STATE = "first_us bigint, last_us bigint, windows string"
 WINDOW_US = 60_000_000
 
 
@@ -68,38 +69,37 @@ def trip_totals(rows: DataFrame) -> DataFrame:
         advance_trip, TRIP_SCHEMA, _TRIP_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def close_windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """60 s windows counted from the trip's first sample; a window closes when a later one opens, or on timeout."""
-    fields = state.get if state.exists else None
-    out = []
-
-    def emit(f):
-        first, index, samples, speed, o1, o2, _ = f
-        out.append((key[0], index, pd.Timestamp(first + index * WINDOW_US, unit="us"), samples, speed / samples, o1, o2))
+def update_windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """60 s windows counted from the trip's first sample; every window that gets samples is given out as it then stands.
 
+    A window stays in the state until the watermark has passed its end, so late samples still count. Ends of a
+    window are told by time, then sequence.
+    """
+    columns = ["trip_id", "window_index", "window_start", "samples", "mean_speed_kmh", "first_odometer_m", "last_odometer_m"]
     if state.hasTimedOut:
-        emit(fields)
         state.remove()
-    else:
-        rows = pd.concat(list(batches)).sort_values(["recorded_at", "sequence"], kind="stable")
-        for at, speed, odometer in zip(rows.recorded_at, rows.speed_kmh, rows.odometer_m):
-            us = int(at.value // 1000)
-            if fields is None:
-                fields = (us, 0, 0, 0.0, odometer, odometer, us)
-            first, index, samples, total, o1, o2, last = fields
-            if us < first + index * WINDOW_US:
-                continue  # late for a window already closed; the batch look-back picks it up
-            current = (us - first) // WINDOW_US
-            if current != index:
-                emit(fields)
-                index, samples, total, o1 = current, 0, 0.0, odometer
-            fields = (first, index, samples + 1, total + speed, o1, odometer, max(last, us))
-        state.update(fields)
-        state.setTimeoutTimestamp(max(fields[6] // 1000 + 30 * 60 * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["trip_id", "window_index", "window_start", "samples", "mean_speed_kmh", "first_odometer_m", "last_odometer_m"])
+        yield pd.DataFrame([], columns=columns)
+        return
+    rows = pd.concat(list(batches)).sort_values(["recorded_at", "sequence"], kind="stable")
+    rows["us"] = rows.recorded_at.astype("datetime64[us]").astype("int64")
+    first, last, held = state.get if state.exists else (int(rows.us.iloc[0]), 0, "{}")
+    windows, out = {int(k): v for k, v in json.loads(held).items()}, []
+    parts = rows.groupby((rows.us - first) // WINDOW_US).agg(
+        samples=("us", "size"), speed=("speed_kmh", "sum"), at1=("us", "first"), seq1=("sequence", "first"), odo1=("odometer_m", "first"),
+        at2=("us", "last"), seq2=("sequence", "last"), odo2=("odometer_m", "last"))
+    for index, p in zip(parts.index.tolist(), parts.itertuples(index=False)):
+        low, high = [int(p.at1), int(p.seq1), float(p.odo1)], [int(p.at2), int(p.seq2), float(p.odo2)]
+        known = windows.get(index)
+        windows[index] = w = [int(p.samples), float(p.speed), low, high] if known is None else [
+            known[0] + int(p.samples), known[1] + float(p.speed), min(known[2], low), max(known[3], high)]
+        out.append((key[0], index, pd.Timestamp(first + index * WINDOW_US, unit="us"), w[0], w[1] / w[0], w[2][2], w[3][2]))
+    last, passed = max(last, int(rows.us.iloc[-1])), state.getCurrentWatermarkMs() * 1000
+    state.update((first, last, json.dumps({k: w for k, w in windows.items() if first + (k + 1) * WINDOW_US > passed})))
+    state.setTimeoutTimestamp(max(last // 1000 + 30 * 60 * 1000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(out, columns=columns)
 
 
 def trip_windows(rows: DataFrame, watermark: str = "30 minutes") -> DataFrame:
-    """Closed windows per trip. ``rows``: trip_id, recorded_at, sequence, speed_kmh, odometer_m."""
+    """Windows per trip, in a new version whenever samples arrive. ``rows``: trip_id, recorded_at, sequence, speed_kmh, odometer_m."""
     return rows.where(F.col("trip_id").isNotNull()).withWatermark("recorded_at", watermark).groupBy("trip_id").applyInPandasWithState(
-        close_windows, WINDOW_SCHEMA, _WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        update_windows, WINDOW_SCHEMA, _WINDOW_STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +41,11 @@ def update_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest_version(spark: SparkSession, path: str, key: str) -> DataFrame:
+def latest_version(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """The newest version of every key written by ``update_batch``."""
     rows = spark.read.parquet(path)
-    others = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("_r")).select(key, "_r.*")
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_r")).select(*keys, "_r.*")
 
 
 def dedupe_events(parsed: DataFrame, watermark: str = "30 minutes") -> DataFrame:
@@ -58,9 +59,15 @@ def vehicle_state(telemetry: DataFrame) -> DataFrame:
     return telemetry.groupBy("vehicle_id").agg(newest.alias("_r")).select("vehicle_id", "_r.*")
 
 
-def delta_feed(states: DataFrame, since, cap: int = 1000) -> DataFrame:
-    """Vehicles seen strictly after the cursor, at most ``cap`` per poll."""
-    return states.where(F.col("recorded_at") > F.lit(since)).orderBy("vehicle_id").limit(cap)
+def delta_feed(states: DataFrame, since, cap: int = 1000, after: str | None = None) -> DataFrame:
+    """Vehicles seen after the cursor, at most ``cap`` per poll, in the order of time and id.
+
+    The cursor of the next poll is the last row's time and, as ``after``, its vehicle: nothing beyond a full poll is skipped.
+    """
+    newer = F.col("recorded_at") > F.lit(since)
+    if after is not None:
+        newer = newer | ((F.col("recorded_at") == F.lit(since)) & (F.col("vehicle_id") > after))
+    return states.where(newer).orderBy("recorded_at", "vehicle_id").limit(cap)
 
 
 def counted(parsed: DataFrame, name: str = "stream_counters") -> DataFrame:
@@ -70,7 +77,7 @@ def counted(parsed: DataFrame, name: str = "stream_counters") -> DataFrame:
 
 
 def progress_rows(query: StreamingQuery, name: str = "stream_counters") -> list[tuple[int, int, int]]:
-    """(batch, consumed, rejected) from a query's own progress reports."""
+    """(batch, consumed, rejected) from a query's own progress reports, which are those of its last batches only."""
     rows = []
     for progress in query.recentProgress:
         metrics = progress.observedMetrics.get(name) if hasattr(progress, "observedMetrics") else progress["observedMetrics"].get(name)
@@ -83,7 +90,7 @@ class Counters(StreamingQueryListener):
     """Totals over all batches of the observed queries."""
 
     def __init__(self, name: str = "stream_counters"):
-        self.name, self.batches, self.consumed, self.rejected = name, 0, 0, 0
+        self.name, self.batches, self.consumed, self.rejected, self.last_batch = name, 0, 0, 0, -1
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -94,6 +101,7 @@ class Counters(StreamingQueryListener):
             self.batches += 1
             self.consumed += int(metrics["consumed"])
             self.rejected += int(metrics["rejected"])
+        self.last_batch = max(self.last_batch, int(event.progress.batchId))
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -109,6 +117,23 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return query
 
 
+def run_counted(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, name: str = "stream_counters") -> Counters:
+    """``run_to_end`` with counts over all batches of the run, however many."""
+    spark, totals = stream.sparkSession, Counters(name)
+    spark.streams.addListener(totals)
+    try:
+        query = run_to_end(counted(stream, name), sink, checkpoint)
+        # events come after the query's end; the last report names the batch to wait for
+        last = query.lastProgress
+        for _ in range(600):
+            if last is None or totals.last_batch >= int(last.batchId if hasattr(last, "batchId") else last["batchId"]):
+                break
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(totals)
+    return totals
+
+
 def run_continuously(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Micro-batches every second, as long as the query runs."""
     return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(
