@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strom.llm.shared import SPACES, salt, salted_lookup
 
-_SCALE = 10**19  # above any 64-bit id
+_SCALE, _NULL_ID = 10**20, 10**19  # a null id counts as one above any 64-bit id
 
 
 def _number(value: int, digits: int) -> Column:
@@ -35,8 +35,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     norm = without_spaces(F.col(text_column))
     # longest first, then smallest id, as one number of fixed width: such buffers stay in the hash aggregate
-    rank = (F.length(F.coalesce(F.col(text_column), F.lit(""))) + 1).cast("decimal(10,0)") * _number(_SCALE, 20)
-    order = (rank - F.coalesce(F.col(id_column).cast("decimal(19,0)"), _number(_SCALE - 1, 19))).cast("decimal(38,0)")
+    length = (F.length(F.coalesce(F.col(text_column), F.lit(""))) + 1).cast("decimal(10,0)") * _number(_SCALE, 21)
+    order = (length - F.coalesce(F.col(id_column).cast("decimal(20,0)"), _number(_NULL_ID, 20))).cast("decimal(38,0)")
     rows = docs.select(F.col(id_column).cast("bigint").alias("_id"), norm.alias("_norm"), order.alias("_best")).withColumns(
         {"_digest": F.sha2("_norm", 256), "_salt": salt(F.col("_id"), salts)}
     )
@@ -44,10 +44,9 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     contents = salted.groupBy("_digest", "_norm").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
     classes = contents.groupBy("_digest").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
     scale = _number(_SCALE, 38)
-    minus_id = F.col("_best") % scale  # rank is a multiple of the scale
-    found = F.when(minus_id == 0, F.lit(0)).otherwise(scale - minus_id).cast("decimal(38,0)")
-    # ids below zero wrap to the upper half of the scale
-    winner = F.when(found > _number(_SCALE // 2, 38), F.when(found == _number(_SCALE - 1, 38), None).otherwise(found - scale)).otherwise(found).cast("bigint")
+    over = F.col("_best") % scale  # the length is a multiple of the scale, ids reach less than half of it either way
+    found = F.when(over > _number(_SCALE // 2, 38), scale - over).otherwise(-over).cast("decimal(38,0)")
+    winner = F.when(found != _number(_NULL_ID, 38), found).cast("bigint")
     winners = classes.select(
         "_digest",
         F.when(F.col("_texts") > 1, F.raise_error(F.lit("two texts under one digest")).cast("bigint")).otherwise(winner).alias("keep_id"),
