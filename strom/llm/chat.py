@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strom.llm.shared import small_batches
+from strom.llm.shared import map_arrow, small_batches
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,7 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     def run(batches):
         return _segments(template, batches)
 
-    return rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), "role", "text").mapInArrow(run, SEGMENTS_SQL)
+    return map_arrow(rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), "role", "text"), run, SEGMENTS_SQL)
 
 
 READ_SQL = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, roles_valid boolean"
@@ -155,4 +155,4 @@ def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
     def run(batches):
         return _read(template, batches)
 
-    return rows.mapInArrow(run, READ_SQL)
+    return map_arrow(rows, run, READ_SQL)

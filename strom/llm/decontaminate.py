@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strom.llm.shared import ALNUM_WORDS, Words, blocks, small_batches, utf8
+from strom.llm.shared import ALNUM_WORDS, Words, blocks, map_arrow, small_batches, utf8
 from strom.session import cut_lineage
 
 INDEX_SQL = "n_words bigint, doc_ids binary, doc_first binary, terms binary, first binary, positions binary"
 MATCH_SQL = "doc_id bigint, item_id string, kind string, start bigint, stop bigint"
-_SHARD_BYTES = 4 << 20
+_SHARD_BYTES = 2 << 20
 # words of benchmark items that one pass over the index carries along (12 bytes each); more items make more passes
 BLOCK_WORDS = 500_000
 
@@ -25,7 +25,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     A shard numbers its words in order, one number left free after each document so that no phrase crosses two. It
     holds the distinct terms (64-bit hashes, sorted), where each one's list begins, and all positions by term, beside the
-    documents' ids and first positions. Shards are some 4 MB of text or one longer document. Written to the shared folder.
+    documents' ids and first positions. Shards are some 2 MB of text or one longer document. Written to the shared folder.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -37,7 +37,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             for low, high in blocks(offsets, _SHARD_BYTES):
                 yield _shard(ids.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
 
-    return cut_lineage(rows.mapInArrow(run, INDEX_SQL))
+    return cut_lineage(map_arrow(rows, run, INDEX_SQL))
 
 
 def _shard(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -238,7 +238,7 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = 13, rare:
                     shard = Shard(batch.column(0)[row].as_py(), *(batch.column(i)[row].as_buffer() for i in range(1, 6)))
                     yield pa.RecordBatch.from_arrays(_search(shard, phrases, rare, slop), names=[c.split()[0] for c in MATCH_SQL.split(", ")])
 
-        part = index.select(*[c.split()[0] for c in INDEX_SQL.split(", ")]).mapInArrow(run, MATCH_SQL)
+        part = map_arrow(index.select(*[c.split()[0] for c in INDEX_SQL.split(", ")]), run, MATCH_SQL)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], MATCH_SQL)
 
@@ -252,7 +252,7 @@ def _lengths(index: DataFrame) -> DataFrame:
                 first = np.frombuffer(batch.column(1)[row].as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == -(1 << 63)), pa.array(np.diff(first) - 1, pa.int64())], names=["doc_id", "n_words"])
 
-    return index.select("doc_ids", "doc_first").mapInArrow(run, "doc_id bigint, n_words bigint")
+    return map_arrow(index.select("doc_ids", "doc_first"), run, "doc_id bigint, n_words bigint")
 
 
 def _covered(ranges: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strom.llm.shared import blocks, small_batches, utf8
+from strom.llm.shared import blocks, give_back, map_arrow, small_batches, utf8
 
 _BUCKETS, _CODES = 4096, 96
 FEATURES = _BUCKETS + _CODES
@@ -105,11 +105,12 @@ def fit(features: np.ndarray, labels: np.ndarray, languages: list[str], ridge: f
         return Model(languages, code, np.zeros((FEATURES, bits), np.float32), np.zeros(bits, np.float32), np.ones(bits, np.float32))
     share = np.bincount(labels, minlength=len(languages)).astype(np.float64)
     weight = (1 / share[labels]) / (1 / share[labels]).mean()  # languages count alike
-    wanted, x = code[labels].astype(np.float64), np.hstack((features, np.ones((len(features), 1), np.float32))).astype(np.float64)
-    root = np.sqrt(weight)[:, None]
-    inner = (x * root) @ (x * root).T
-    solved = (x * root).T @ np.linalg.solve(inner + ridge * np.eye(len(x)), wanted * root)
-    weights, bias = solved[:-1].astype(np.float32), solved[-1].astype(np.float32)
+    wanted, root = code[labels], np.sqrt(weight).astype(np.float32)[:, None]
+    scaled = features * root  # the bias is one more feature, always 1
+    inner = (scaled @ scaled.T + root @ root.T).astype(np.float64)
+    inner[np.diag_indices(len(inner))] += ridge
+    solved = np.linalg.solve(inner, (wanted * root).astype(np.float64)).astype(np.float32)
+    weights, bias = scaled.T @ solved, (root.T @ solved)[0]
     right = ((features @ weights + bias) * wanted > 0).mean(axis=0)
     return Model(languages, code, weights, bias, np.maximum(2 * right - 1, 0.05).astype(np.float32))
 
@@ -131,20 +132,25 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for low, high in blocks(offsets, 1 << 20):
+            for low, high in blocks(offsets, 1 << 20, 256):
                 x = profiles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = sorted((r[0], bytes(r[1])) for r in chosen.select("_lang", text_column).mapInArrow(run, "lang string, x binary").collect())
+    got = sorted((r[0], bytes(r[1])) for r in map_arrow(chosen.select("_lang", text_column), run, "lang string, x binary").collect())
     number = {name: i for i, name in enumerate(languages)}
     x = np.frombuffer(b"".join(v for _, v in got), np.float16).reshape(-1, FEATURES).astype(np.float32)
-    return fit(x, np.array([number[name] for name, _ in got], np.int64), languages)
+    named = np.array([number[name] for name, _ in got], np.int64)
+    del got
+    model = fit(x, named, languages)
+    del x
+    give_back()
+    return model
 
 
 def _predicted(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, class or -1, score, ambiguous) block by block."""
     data, offsets = utf8(texts)
-    for low, high in blocks(offsets, 1 << 20):
+    for low, high in blocks(offsets, 1 << 20, 256):
         part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         best, score, close = model.decode(profiles(part, at))
         known = has_letter(part, at) & (best >= 0)
@@ -166,7 +172,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column | str], text_column
                     [*arrays, pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], names=[*names, "lang_pred", "score", "ambiguous"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}lang_pred string, score double, ambiguous boolean")
+    return map_arrow(rows, run, f"{fields}lang_pred string, score double, ambiguous boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -179,4 +185,4 @@ def accepted(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
             keep = [best >= 0 and not c for _, _, found, _, close in _predicted(model, batch.column(place)) for best, c in zip(found, close)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strom.llm.components import connect
-from strom.llm.shared import SPACE_WORDS, Words, mix, salted_lookup, small_batches, utf8
+from strom.llm.shared import SPACE_WORDS, Words, mix, salted_lookup, map_arrow, small_batches, utf8
 from strom.session import cut_lineage
 
 REGISTERS = 120
@@ -105,7 +105,7 @@ def sketch(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_colu
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(registers, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SKETCH_SQL.split(", ")])
 
-    return cut_lineage(rows.mapInArrow(run, SKETCH_SQL))
+    return cut_lineage(map_arrow(rows, run, SKETCH_SQL))
 
 
 def band_rows(least: float, missed: float = 1e-6) -> int:
@@ -146,7 +146,7 @@ def _beside_centre(pairs: DataFrame, payload: DataFrame, compare: Callable[[Iter
     rows = members.unionByName(own).join(payload, "doc_id").withColumn("member", F.col("doc_id") != F.col("centre"))
     rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
     data = [c for c in payload.columns if c != "doc_id"]
-    return rows.select("centre", "doc_id", "member", *data).mapInArrow(compare, "centre bigint, doc_id bigint")
+    return map_arrow(rows.select("centre", "doc_id", "member", *data), compare, "centre bigint, doc_id bigint")
 
 
 def _kept(centres: list, ids: list) -> pa.RecordBatch:
@@ -252,7 +252,7 @@ def _neighbourhoods(buckets: DataFrame, labels: DataFrame, reps: DataFrame, leas
                     out[1].append(int(ids[at]))
         yield _kept(*out)
 
-    return rows.mapInArrow(lambda batches: _grouped(batches, 3, tied), "centre bigint, doc_id bigint")
+    return map_arrow(rows, lambda batches: _grouped(batches, 3, tied), "centre bigint, doc_id bigint")
 
 
 def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
@@ -302,7 +302,7 @@ def _links_between(labels: DataFrame, around: DataFrame, reps: DataFrame, texts:
                     out[1].append(group[j][4])
         yield _kept(*out)
 
-    return both.mapInArrow(lambda batches: _grouped(batches, 3, linked), "centre bigint, doc_id bigint")
+    return map_arrow(both, lambda batches: _grouped(batches, 3, linked), "centre bigint, doc_id bigint")
 
 
 def near_dedup(docs: DataFrame, width: int = 3, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

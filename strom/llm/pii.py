@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strom.llm.shared import SPACE_WORDS, small_batches, utf8
+from strom.llm.shared import SPACE_WORDS, map_arrow, small_batches, utf8
 
 # fixed values: kinds in the contract's order; label 0 of the field is "none"
 KINDS = ("email", "ip", "card", "phone")
@@ -342,7 +342,7 @@ def find(docs: DataFrame, field: Field, id_column: str = "doc_id", text_column:
             yield _scan_batch(batch, field)
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, {FOUND_SQL}").withColumnRenamed("doc_id", id_column)
+    return map_arrow(rows, run, f"doc_id {kind}, {FOUND_SQL}").withColumnRenamed("doc_id", id_column)
 
 
 def scan(docs: DataFrame, field: Field | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 # ASCII white space as the contracts list it: blank and \t \n \v \f \r
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -17,7 +18,26 @@ SPACES = " \t\n\x0b\x0c\r"
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes, since one text may be as long as thousands of others."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def give_back() -> None:
+    """Hands memory that Python no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow``, after which the worker, which Spark keeps for later tasks, hands its freed memory back."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -70,7 +90,7 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-        inside = table[data] != 0
+        inside = (table != 0)[data]
         begin, end = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         end[:-1] &= ~inside[1:]
@@ -138,10 +158,11 @@ SPACE_WORDS = byte_table([ord(c) for c in SPACES])
 ALNUM_WORDS = byte_table([b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)])
 
 
-def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``limit`` bytes each, one text at least."""
+def blocks(offsets: np.ndarray, limit: int, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``limit`` bytes and ``most`` texts each, one text at least."""
     low, n = 0, len(offsets) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
-        yield low, min(high, n)
+        high = min(high, low + most, n)
+        yield low, high
         low = high

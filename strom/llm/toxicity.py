@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strom.llm.shared import ALNUM_WORDS, Words, small_batches, utf8
+from strom.llm.shared import ALNUM_WORDS, Words, map_arrow, small_batches, utf8
 
 # labelled rows of each class that are fitted on, and terms that may take part
 PER_CLASS, MOST_TERMS = 3000, 2048
@@ -66,7 +66,7 @@ def _telling_terms(rows: list[np.ndarray], labels: np.ndarray, least_rows: int =
     return np.sort(terms[good[np.argsort(-g[good], kind="stable")][:MOST_TERMS]])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, steps: int = 200, seed: int = 3) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float = 1e-5, seed: int = 3) -> Model:
     """Adam on the weighted logistic loss; ``rows`` hold each text's distinct terms."""
     terms = _telling_terms(rows, labels)
     rng, m = np.random.default_rng(seed), len(terms)
@@ -87,7 +87,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, steps: i
         z = bias[0] + x @ w.astype(np.float32) + ((sums**2).sum(axis=1) - x @ (v32**2).sum(axis=1)) / 2
         error = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - wish) * pull).astype(np.float32)
         pulled = x.T @ error
-        slopes = [np.array([error.sum()]), pulled + 1e-4 * w, x.T @ (error[:, None] * sums) - pulled[:, None] * v + 1e-4 * v]
+        slopes = [np.array([error.sum()]), pulled + ridge * w, x.T @ (error[:, None] * sums) - pulled[:, None] * v + ridge * v]
         for value, slope, (first, second) in zip(values, slopes, moments):
             first += 0.1 * (slope - first)
             second += 0.001 * (slope**2 - second)
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["id", "label", "terms"])
 
     kind = dict(known.dtypes)["_id"]
-    got = sorted((str(r[0]), r[1], bytes(r[2])) for r in rows.mapInArrow(run, f"id {kind}, label int, terms binary").collect())
+    got = sorted((str(r[0]), r[1], bytes(r[2])) for r in map_arrow(rows, run, f"id {kind}, label int, terms binary").collect())
     label = np.array([g[1] for g in got], np.int64)
     picked_of = np.bincount(label, minlength=2) if len(label) else np.ones(2)
     weight = np.array([counts.get(c, 0) / max(1, picked_of[c]) for c in (0, 1)])[label] if len(label) else np.zeros(0)
@@ -139,4 +139,4 @@ def score(docs: DataFrame, model: Model, keep: list[Column | str], text_column:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "score"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}score double")
+    return map_arrow(rows, run, f"{fields}score double")
