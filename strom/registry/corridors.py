@@ -28,8 +28,9 @@ def segments(t: Tables):
     return staging.route_segments(t.route_segments)
 
 
-def demo(t: Tables):
-    return stg_routes(t).where("is_demo")
+def routed_segments(t: Tables, routes):
+    """Segments of the given routes; segments whose route is gone belong to none."""
+    return segments(t).join(routes.select("route_id").distinct(), "route_id", "left_semi")
 
 
 def traffic_facts(t: Tables):
@@ -189,18 +190,18 @@ REG.add("event_lines_on_segments", lambda t: traffic.event_lines_on_segments(
 
 
 def along(t: Tables):
-    return traffic.events_along_route(demo(t), staging.traffic_events(t.traffic_events), AT, 3000.0)
+    return traffic.events_along_route(stg_routes(t), staging.traffic_events(t.traffic_events), AT, 3000.0)
 
 
-relation("along_raw", nearest_sql(f"(select * from event_xy where {_ACTIVE})", "traffic_event_id", "route_edges", "route_id", 3000, "e.is_demo"))
+relation("along_raw", nearest_sql(f"(select * from event_xy where {_ACTIVE})", "traffic_event_id", "route_edges", "route_id", 3000))
 REG.add("events_along_route", lambda t: rounded(along(t), 3), """
     select a.route_id, a.traffic_event_id, severity, is_blocked, road_name, round(distance_m, 3) as distance_m, round(offset_m, 3) as offset_m,
            round(line_m, 3) as line_m from along_raw a join stg_traffic using (traffic_event_id)""")
 REG.add("paint_events", lambda t: traffic.paint_events(
-    along(t), line_edges(demo(t), ["route_id"]).select("route_id", "line_m").distinct()), """
+    along(t), line_edges(stg_routes(t), ["route_id"]).select("route_id", "line_m").distinct()), """
     with hit as (select route_id, floor(offset_m / 500)::bigint as c, case when is_blocked then 'severe' else severity end as sev
                  from along_raw join stg_traffic using (traffic_event_id)),
-    bins as (select route_id, unnest(range(ceil(line_m / 500)::bigint)) as bin from route_length where is_demo)
+    bins as (select route_id, unnest(range(ceil(line_m / 500)::bigint)) as bin from route_length)
     select b.route_id, b.bin, arg_max(sev, case sev when 'low' then 1 when 'moderate' then 2 when 'high' then 3 else 4 end) as severity
     from bins b left join hit h on h.route_id = b.route_id and b.bin between c - 4 and c + 4 group by 1, 2""")
 
@@ -220,15 +221,15 @@ def points_to_segments(t: Tables):
 REG.add("points_to_segments", points_to_segments, """
     select telemetry_id, arg_min(route_segment_id, (round(distance_m, 6), route_segment_id)) as route_segment_id, round(min(round(distance_m, 6)), 3) as distance_m
     from sample_segment group by 1""")
-relation("site_segment", nearest_sql("station_xy", "station_id", "segment_edge", "route_segment_id", 5000, "e.is_demo and " + _NEAR_BOX.format(b=5000)))
+relation("site_segment", nearest_sql("station_xy", "station_id", "segment_edge", "route_segment_id", 5000, _NEAR_BOX.format(b=5000)))
 
 
 def corridor_candidates(t: Tables, min_kw: float = 50.0, buffer_m: float = 5000.0):
     """Each strong enough site anchored to the nearest segment of each corridor it lies on."""
-    demo_segments = segments(t).join(F.broadcast(demo(t).select("route_id")), "route_id")
+    on_routes = routed_segments(t, stg_routes(t))
     strong = stg_stations(t).where(F.col("max_power_kw") >= min_kw)
-    near = distance_join(strong, demo_segments, ["station_id"], ["route_segment_id"], buffer_m, keep=["max_power_kw"])
-    placed = near.join(demo_segments.select("route_segment_id", "route_id", "start_offset_m", "segment_distance_m"), "route_segment_id")
+    near = distance_join(strong, on_routes, ["station_id"], ["route_segment_id"], buffer_m, keep=["max_power_kw"])
+    placed = near.join(on_routes.select("route_segment_id", "route_id", "start_offset_m", "segment_distance_m"), "route_segment_id")
     offset = F.col("start_offset_m") + F.col("offset_m") / F.col("line_m") * F.col("segment_distance_m")
     best = F.min(F.struct(F.round("distance_m", 6).alias("lateral_m"), "route_segment_id", offset.alias("offset_m"))).alias("b")
     return placed.groupBy("route_id", "station_id", "max_power_kw").agg(best).select(
@@ -326,8 +327,8 @@ REG.add("align_products", lambda t: rounded(_products(t)), """
 SINCE = AT - dt.timedelta(days=400)
 relation("weather_site_near", nearest_sql(
     duck_utm32("(select id as weather_station_id, latitude, longitude from weather_stations)", "latitude", "longitude", "px", "py"),
-    "weather_station_id", "route_edges", "route_id", 25000, "e.is_demo"))
-REG.add("route_weather", lambda t: rounded(weather_plans.route_weather(demo(t), weather(t), SINCE, 25_000.0)), f"""
+    "weather_station_id", "route_edges", "route_id", 25000))
+REG.add("route_weather", lambda t: rounded(weather_plans.route_weather(stg_routes(t), weather(t), SINCE, 25_000.0)), f"""
     select route_id, round(avg(temperature_c), 6) as temperature_c, round(avg(precipitation_mm), 6) as precipitation_mm,
            round(avg(wind_speed_ms), 6) as wind_speed_ms, max(observed_at) as observed_at, count(distinct weather_station_id) as station_count
     from weather_site_near join stg_weather using (weather_station_id)

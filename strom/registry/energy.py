@@ -142,15 +142,15 @@ REG.add("driver_ladder", lambda t: rounded(analysis.driver_ladder(ladder_rows(t)
 relation("event_line_segment", C.EVENT_LINE_SEGMENT)
 
 
-def conditions(t: Tables):
-    """Conditions on the demo corridors at the fixed analysis time."""
-    demo_segments = cut_lineage(C.segments(t).join(F.broadcast(C.demo(t).select("route_id")), "route_id"))
+def conditions(t: Tables, routes=None):
+    """Conditions on the segments of ``routes`` at the fixed analysis time; without them on the routes that requests name."""
+    on_routes = cut_lineage(C.routed_segments(t, t.requests if routes is None else routes))
     events = staging.traffic_events(t.traffic_events)
-    pairs = traffic.event_lines_on_segments(events, demo_segments, C.AT, 1500.0)
-    middles = demo_segments.select("route_segment_id", ((F.col("geometry")[0].latitude + F.col("geometry")[1].latitude) / 2).alias("latitude"),
+    pairs = traffic.event_lines_on_segments(events, on_routes, C.AT, 1500.0)
+    middles = on_routes.select("route_segment_id", ((F.col("geometry")[0].latitude + F.col("geometry")[1].latitude) / 2).alias("latitude"),
                                    ((F.col("geometry")[0].longitude + F.col("geometry")[1].longitude) / 2).alias("longitude"))
     readings = weather_plans.nearest_observation(middles, ["route_segment_id"], weather(t), C.AT, 150_000.0)
-    return cut_lineage(analysis.segment_conditions(demo_segments, pairs, events, readings, C.AT))
+    return cut_lineage(analysis.segment_conditions(on_routes, pairs, events, readings, C.AT))
 
 
 _COND = ("distance_km", "free_flow_speed_kmh", "speed_kmh", "duration_s", "temperature_c", "precipitation_mm", "wind_speed_ms")
@@ -163,14 +163,14 @@ relation("segment_reading", """
 relation("condition_raw", f"""
     with base as (select s.route_segment_id, s.route_id, s.segment_ordinal, s.start_offset_m, s.segment_distance_m / 1e3 as distance_km, s.road_class, s.speed_limit_kmh,
                          s.assumed_speed_kmh, coalesce(w.sev, 'low') as traffic_severity, coalesce(w.n, 0) as event_count, r.temperature_c as t_c, r.precipitation_mm as rain, r.wind_speed_ms as wind
-                  from stg_segment s join routes ro on ro.id = s.route_id and ro.is_demo
+                  from stg_segment s join routes ro on ro.id = s.route_id
                   left join (select route_segment_id, arg_max(severity, severity_ordinal) as sev, count(*) as n from event_line_segment join traffic_fact using (traffic_event_id) group by 1) w using (route_segment_id)
                   left join (select * from segment_reading where {_HOURS} <= 200) r using (route_segment_id))
     select * exclude (assumed_speed_kmh, t_c, rain, wind, ff), ff as free_flow_speed_kmh, greatest(5, ff / {_FACTOR}) as speed_kmh, distance_km / greatest(5, ff / {_FACTOR}) * 3600 as duration_s
     from (select *, coalesce(t_c, avg(t_c) over (partition by route_id), 20) as temperature_c, coalesce(rain, 0) as precipitation_mm, coalesce(wind, 0) as wind_speed_ms,
                  greatest(5, case when assumed_speed_kmh > 0 then assumed_speed_kmh else least(case road_class when 'motorway' then 130 when 'trunk' then 120 when 'tertiary' then 80
                      when 'residential' then 50 when 'service' then 30 else 100 end::double, speed_limit_kmh) end) as ff from base)""")
-REG.add("segment_conditions", lambda t: rounded(conditions(t)),
+REG.add("segment_conditions", lambda t: rounded(conditions(t, C.stg_routes(t))),
         "select * replace (" + ", ".join(f"round({c}, 6) + 0 as {c}" for c in _COND) + ") from condition_raw")
 _STEADY = {"battery_temperature_c": "temperature_c", "gradient_percent": "0", "headwind_ms": "0", "acceleration_ms2": "0"}
 relation("driven_raw", """

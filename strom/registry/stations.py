@@ -150,7 +150,7 @@ def nearest_sql(points: str, point_id: str, edges: str, line_id: str, buffer_m:
     where d <= {buffer_m} group by {point_id}, {line_id}"""
 
 
-relation("station_near", nearest_sql("station_xy", "station_id", "route_edges", "route_id", 5000, "e.is_demo"))
+relation("station_near", nearest_sql("station_xy", "station_id", "route_edges", "route_id", 5000))
 relation("corridor_raw", """
     select n.route_id, n.station_id, n.distance_m as distance_to_route_m, n.offset_m as route_offset_m,
            n.line_m as route_geometry_length_m, s.external_id, s.operator, s.city, s.bundesland, s.latitude, s.longitude,
@@ -159,7 +159,8 @@ relation("corridor_raw", """
            p.fast_connector_count, p.ultra_fast_connector_count, p.has_ccs, p.connector_types,
            round(n.distance_m / 1e3, 3) as distance_to_route_km, round(n.offset_m / 1e3, 3) as route_offset_km,
            round(n.line_m / 1e3, 3) as route_geometry_length_km, 5000::double as corridor_buffer_m
-    from station_near n join stg_station s using (station_id) left join station_power_raw p using (station_id)""")
+    from station_near n join stg_station s using (station_id) left join station_power_raw p using (station_id)
+    where n.route_id in (select id from routes where is_demo)""")
 
 
 def stg_routes(t: Tables):
@@ -178,11 +179,11 @@ REG.add("corridor_stations", lambda t: rounded(corridor(t), 3), round_all(
     "corridor_raw", ["distance_to_route_m", "route_offset_m", "route_geometry_length_m", "latitude", "longitude",
                      "effective_max_power_kw", "effective_total_power_kw"], 3))
 REG.add("distance_join", lambda t: rounded(distance_join(
-    stg_stations(t), stg_routes(t).where("is_demo"), ["station_id"], ["route_id"], 5000.0), 3),
+    stg_stations(t), stg_routes(t), ["station_id"], ["route_id"], 5000.0), 3),
     "select route_id, station_id, round(distance_m, 3) as distance_m, round(offset_m, 3) as offset_m, round(line_m, 3) as line_m from station_near")
 
 
-def gap_sql(stations_relation: str, offset: str, length: str, tag: str) -> None:
+def gap_sql(stations_relation: str, offset: str, length: str, tag: str, routes: str = "true") -> None:
     relation(f"gaps_{tag}", f"""
         select route_id, {offset} as gap_start, after as gap_end, after - {offset} as gap, 'between' as gap_kind
         from (select *, lead({offset}) over (partition by route_id order by {offset}, station_id) as after from {stations_relation})
@@ -194,14 +195,14 @@ def gap_sql(stations_relation: str, offset: str, length: str, tag: str) -> None:
         from (select route_id, max({offset}) as last from {stations_relation} group by 1) join route_length using (route_id)
         union all
         select route_id, 0, {length}, {length}, 'whole_route' from route_length
-        where is_demo and route_id not in (select route_id from {stations_relation})""")
+        where {routes} and route_id not in (select route_id from {stations_relation})""")
 
 
 relation("route_length", """
     select route_id, any_value(is_demo) as is_demo, any_value(line_m) as line_m, round(any_value(line_m) / 1e3, 3) as line_km
     from route_edges group by 1""")
 relation("fast_offsets", "select route_id, station_id, route_offset_km from corridor_raw where is_fast_charger")
-gap_sql("fast_offsets", "route_offset_km", "line_km", "fast")
+gap_sql("fast_offsets", "route_offset_km", "line_km", "fast", "is_demo")
 _TEXT = corridors.methodology(5.0, 50.0)
 relation("coverage_raw", f"""
     select r.route_id, r.slug as route_slug, r.name as route_name, r.origin_name, r.destination_name,
@@ -237,7 +238,7 @@ REG.add("corridor_coverage", lambda t: rounded(coverage(t)), "select * from cove
 
 
 def ranked_gaps(t: Tables, **options):
-    return corridors.coverage_query(stg_routes(t).where("is_demo"), stg_stations(t), **options)
+    return corridors.coverage_query(stg_routes(t), stg_stations(t), **options)
 
 
 relation("qualifying", """
