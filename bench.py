@@ -8,7 +8,7 @@ import sys
 import time
 
 from strom.registry import all_queries
-from strom.session import local_session
+from strom.session import drop_intermediates, local_session
 
 HEADLINES = (
     "trip_energy", "fct_vehicle_telemetry", "fct_trips", "station_power", "charging_infrastructure", "corridor_stations", "corridor_coverage",
@@ -29,6 +29,7 @@ def main() -> None:
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
+        drop_intermediates(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strom.functions.lookups import in_germany, seconds_between
-from strom.operators.sizes import salted_join
+from strom.operators.sizes import join_to_dimension
 
 
 def not_null(df: DataFrame, column: str) -> DataFrame:
@@ -82,7 +82,7 @@ def connector_provenance(points: DataFrame, stations: DataFrame) -> DataFrame:
     same = F.col("connector_source_system").eqNullSafe(F.col("station_source_system")) & F.col(
         "connector_data_origin"
     ).eqNullSafe(F.col("station_data_origin"))
-    return salted_join(child, parent, ["station_id"], F.col("charging_point_id"), 16).where(~same)
+    return join_to_dimension(child, parent, ["station_id"], "inner", 200_000, F.col("charging_point_id")).where(~same)
 
 
 def outside_germany(sources: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:

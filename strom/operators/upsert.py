@@ -1,14 +1,15 @@
-"""Snapshot upserts without a table format: each returns the new state of the target."""
+"""Upserts without a table format: most return the new state of the target, ``upsert_days`` rewrites the touched day folders in place."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strom.operators.sizes import join_to_dimension
+from strom.session import cut_lineage
 
 
 def _same_columns(target: DataFrame, source: DataFrame) -> None:
@@ -80,7 +81,53 @@ def incremental_delete_insert(
     return target.join(recent.select(key), key, "left_anti").unionByName(recent)
 
 
-def changed_days(target: DataFrame, recent: DataFrame, ts: str) -> Column:
-    """Condition on the target's date column: only days the incremental batch touches are rewritten."""
-    first = recent.agg(F.min(F.to_date(ts))).scalar()
-    return F.to_date(ts) >= first
+def upsert_days(
+    path: str, source: DataFrame, key: str, ts: str, lookback_minutes: int, build=lambda df: df, key_moves: bool = True
+) -> list:
+    """``incremental_delete_insert`` in place on a dataset stored in one folder per day (``dt``); returns the days rewritten.
+
+    Only the days that re-read rows fall into are read whole and written anew, all other folders keep their files. If ``key_moves``, rows
+    may come back on another day than they were stored on: the days of their old versions, found from the stored keys alone, are
+    rewritten as well. A day left without rows loses its folder. Rows without ``ts`` are stored under a null day. A run that dies
+    is simply run again.
+    """
+    spark = source.sparkSession
+    files = _folder(spark, path)
+    day = F.to_date(ts).alias("dt")
+    if not files.exists(""):
+        rows = build(source)
+        rows.select("*", day).write.partitionBy("dt").parquet(path)
+        return sorted((r.dt for r in spark.read.parquet(path).select("dt").distinct().collect()), key=str)
+    stored = spark.read.parquet(path)
+    stored = stored.withColumn("dt", F.col("dt").cast("date"))
+    since = stored.agg((F.max(ts) - F.expr(f"interval {lookback_minutes} minutes")).alias("t")).scalar()
+    recent = cut_lineage(build(source.where(F.coalesce(F.col(ts) >= since, since.isNull()))).select("*", day))
+    _same_columns(stored, recent)
+    touched = recent.select("dt")
+    if key_moves:
+        touched = touched.union(stored.select(key, "dt").join(recent.select(key), key, "left_semi").select("dt"))
+    days = sorted((r.dt for r in touched.distinct().collect()), key=str)  # as many as the increment has days
+    if not days:
+        return days
+    wanted = F.col("dt").isin([d for d in days if d is not None])
+    wanted = (F.coalesce(wanted, F.lit(False)) | F.col("dt").isNull()) if None in days else wanted
+    fresh = cut_lineage(stored.where(wanted).join(recent.select(key), key, "left_anti").unionByName(recent))
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    left = {r.dt for r in fresh.select("dt").distinct().collect()}
+    for gone in set(days) - left:
+        files.delete(f"dt={'__HIVE_DEFAULT_PARTITION__' if gone is None else gone.isoformat()}")
+    return days
+
+
+class _folder:
+    """Looks up and deletes below a folder of any file system Spark can reach."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._root, self._system = path, self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        return self._system.exists(self._path(f"{self._root}/{name}"))
+
+    def delete(self, name: str) -> None:
+        self._system.delete(self._path(f"{self._root}/{name}"), True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -57,9 +58,11 @@ def traffic_filter(
     return events.orderBy(F.col("starts_at").desc_nulls_last(), "traffic_event_id")
 
 
-def events_on_segments(events: DataFrame, segments: DataFrame, buffer_m: float, cfg: Config = DEFAULT) -> DataFrame:
-    """Pairs of event point and segment within the buffer."""
-    return distance_join(events, segments, ["traffic_event_id"], ["route_segment_id"], buffer_m, cfg)
+def events_on_segments(
+    events: DataFrame, segments: DataFrame, buffer_m: float, cfg: Config = DEFAULT, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Pairs of event point and segment within the buffer, with the event columns ``keep``."""
+    return distance_join(events, segments, ["traffic_event_id"], ["route_segment_id"], buffer_m, cfg, keep=keep)
 
 
 def event_lines_on_segments(
@@ -87,11 +90,8 @@ def event_lines_on_segments(
 def traffic_impact(facts: DataFrame, segments: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per road, type and severity: how many events, how long, and which corridor stretches they touch."""
     group = ["road_name", "event_type", "severity"]
-    near = events_on_segments(facts, segments, cfg.traffic_buffer_m, cfg).select("traffic_event_id", "route_segment_id")
-    matches = cut_lineage(
-        near.join(facts.select("traffic_event_id", *group), "traffic_event_id")
-        .join(segments.select("route_segment_id", "route_id", "segment_distance_km"), "route_segment_id")
-    )
+    near = events_on_segments(facts, segments, cfg.traffic_buffer_m, cfg, keep=group).select("traffic_event_id", "route_segment_id", *group)
+    matches = cut_lineage(near.join(segments.select("route_segment_id", "route_id", "segment_distance_km"), "route_segment_id"))
     # a stretch counts once per group however many events touch it
     stretches = matches.select(*group, "route_id", "route_segment_id", "segment_distance_km").distinct()
     corridor = stretches.groupBy(*group).agg(

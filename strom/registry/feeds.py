@@ -400,6 +400,22 @@ def _incremental(t: Tables):
     return upsert.incremental_delete_insert(stale, source, "telemetry_id", "recorded_at", 30, build).select("telemetry_id", "recorded_at", "vehicle_state", "road_class_ordinal")
 
 
-REG.add("incremental_delete_insert", _incremental, """
+def _by_days(t: Tables):
+    """The same top-up of a fact stored by day: only the days from the look-back on are written anew."""
+    def build(rows: DataFrame) -> DataFrame:
+        fact = trip_plans.fct_vehicle_telemetry(rows, t.vehicles, models(t))
+        return fact.select("telemetry_id", "recorded_at", "vehicle_state", "road_class_ordinal")
+
+    source = staging.telemetry(t.telemetry)
+    path = folder(t, "fact-by-day")
+    upsert.upsert_days(path, source.where("recorded_at < timestamp '2024-01-16 00:00:00'"), "telemetry_id", "recorded_at", 30,
+                       lambda rows: build(rows).withColumn("vehicle_state", F.lit("stale")))
+    upsert.upsert_days(path, source, "telemetry_id", "recorded_at", 30, build, key_moves=False)
+    return t.spark.read.parquet(path).drop("dt")
+
+
+_TOPPED_UP = """
     select telemetry_id, recorded_at, case when recorded_at >= (select max(recorded_at) - interval 30 minute from telemetry where recorded_at < timestamp '2024-01-16 00:00:00')
-           then vehicle_state else 'stale' end as vehicle_state, road_class_ordinal from fct_telemetry_raw""")
+           then vehicle_state else 'stale' end as vehicle_state, road_class_ordinal from fct_telemetry_raw"""
+REG.add("incremental_delete_insert", _incremental, _TOPPED_UP)
+REG.add("upsert_days", _by_days, _TOPPED_UP)

@@ -59,9 +59,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_root(df.sparkSession)}/strom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Deletes what ``cut_lineage`` wrote so far, and says how many folders. Only call it once all results are stored: they read from there."""
+    found = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        found += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found
+
+
 _REUSED: list[DataFrame] = []
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from strom.functions.energy import consumption_kwh_per_100km
 from strom.operators.nearest import nearest
 from strom.operators.sizes import is_small
-from strom.operators.upsert import incremental_delete_insert
+from strom.operators.spatial import distance_join
+from strom.operators.upsert import incremental_delete_insert, upsert_days
 from strom.plans.fleet import live_vehicles
+from strom.session import cut_lineage, drop_intermediates
 from strom.streaming import messages, telemetry
 from tests.test_streaming import at, deliver, message
 
@@ -28,6 +30,46 @@ def test_empty_target_loads_everything(spark):
     assert incremental_delete_insert(source.limit(0), source, "id", "at", 30).count() == 5
 
 
+def stored(path):
+    return {f.relative_to(path).as_posix(): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_only_touched_days_are_rewritten(spark, tmp_path):
+    path = tmp_path / "fact"
+    first = spark.sql("select id, timestamp '2024-01-01 12:00:00' + make_dt_interval(cast(id as int)) as at, 'old' as v from range(4)")
+    assert len(upsert_days(str(path), first, "id", "at", 60)) == 4
+    before = stored(path)
+    # key 3 comes again on its day, key 9 is new on the next day, key 0 lies before the look-back and is not read
+    more = spark.sql("select * from values (3, timestamp '2024-01-04 12:00:00', 'new'), (9, timestamp '2024-01-05 01:00:00', 'new'), (0, timestamp '2024-01-01 12:00:00', 'new') as t(id, at, v)")
+    more = more.withColumn("id", F.col("id").cast("bigint"))
+    assert [str(d) for d in upsert_days(str(path), more, "id", "at", 60, key_moves=False)] == ["2024-01-04", "2024-01-05"]
+    after = stored(path)
+    assert {k: v for k, v in before.items() if "01-04" not in k} == {k: v for k, v in after.items() if "01-04" not in k and "01-05" not in k}
+    assert {r.id: r.v for r in spark.read.parquet(str(path)).collect()} == {0: "old", 1: "old", 2: "old", 3: "new", 9: "new"}
+
+
+def test_a_key_that_moves_leaves_its_old_day(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    upsert_days(path, spark.sql("select 1 as id, timestamp '2024-01-01 12:00:00' as at"), "id", "at", 60)
+    upsert_days(path, spark.sql("select 1 as id, timestamp '2024-01-03 12:00:00' as at"), "id", "at", 60)
+    assert [str(r.dt) for r in spark.read.parquet(path).collect()] == ["2024-01-03"]
+    assert upsert_days(path, spark.sql("select 1 as id, timestamp '2023-01-03 12:00:00' as at"), "id", "at", 60) == []
+
+
+def test_points_without_a_position_match_nothing_and_are_projected_once(spark):
+    line = spark.sql("select 'l' as line, array(named_struct('ordinal', 0, 'latitude', 50.0D, 'longitude', 9.0D), named_struct('ordinal', 1, 'latitude', 50.1D, 'longitude', 9.0D)) as geometry")
+    points = spark.createDataFrame([("a", 50.05, 9.001), ("b", None, 9.0), ("c", 50.05, None)], "point string, latitude double, longitude double")
+    near = distance_join(points, line, ["point"], ["line"], 500.0)
+    assert [r.point for r in near.collect()] == ["a"]
+    filters = [x for x in near._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
+    assert not any("ATANH" in x for x in filters)
+
+
+def test_intermediates_are_deleted_when_asked(spark):
+    df = cut_lineage(spark.range(3))
+    assert df.count() == 3 and drop_intermediates(spark) >= 1 and drop_intermediates(spark) == 0
+
+
 def test_zero_distance_consumes_nothing_per_100km(spark):
     rows = spark.createDataFrame([(2.0, 10.0), (2.0, 0.0), (2.0, None)], "kwh double, km double")
     assert [r[0] for r in rows.select(consumption_kwh_per_100km(F.col("kwh"), F.col("km"))).collect()] == [20.0, 0.0, None]

@@ -13,9 +13,11 @@ CORE = (
     "energy_by_congestion", "dashboard_summary", "quality_by_source", "validate_station", "quality_report", "monotonic_violations",
     "check_orphan_segments", "mart_route_energy", "traffic_impact", "event_lines_on_segments", "nearest_observation", "segment_polyline",
     "dominant_class", "segment_energy", "driver_ladder", "route_analysis", "window_features", "clean_training_windows", "grouped_split",
-    "extract_validity", "read_register_csv", "read_traffic_json", "upsert_changed", "incremental_delete_insert", "stream_append",
+    "extract_validity", "read_register_csv", "read_traffic_json", "upsert_changed", "incremental_delete_insert", "upsert_days", "distance_join", "segment_conditions", "stream_append",
     "stream_trip_totals", "exact_percentiles", "sliced_history",
 )
+# every demo corridor has a fast charger in the given tables
+EMPTY = {"uncovered_routes"}
 NAMES = sorted(all_oracles()) if os.environ.get("STROM_ALL") else CORE
 
 
@@ -31,4 +33,4 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, duck, name):
     verdict, detail = compare(spark, duck, name, all_queries()[name], all_oracles()[name])
-    assert verdict in ("ok", "empty"), detail
+    assert verdict == "ok" or (verdict == "empty" and name in EMPTY), f"{verdict} {detail}"
