@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strom.config import DEFAULT, Config
 from strom.functions.lookups import km, round_decimal
+from strom.operators.lines import geojson_line, line_substring
 from strom.operators.quantiles import exact_percentiles
 from strom.operators.sliced import with_history
 from strom.operators.spatial import distance_join, line_edges
@@ -162,14 +163,18 @@ def corridor_coverage(routes: DataFrame, corridor: DataFrame, cfg: Config = DEFA
 
 def coverage_query(
     routes: DataFrame, stations: DataFrame, *, power_col: str = "max_power_kw", buffer_km: float = 5.0,
-    min_power_kw: float = 50.0, top_gaps: int = 25, min_reported_gap_km: float = 0.0, cfg: Config = DEFAULT,
+    min_power_kw: float = 50.0, top_gaps: int = 25, min_reported_gap_km: float = 0.0,
+    count_all_stations: bool = True, include_geometry: bool = False, cfg: Config = DEFAULT,
 ) -> DataFrame:
     """Parameterised gap analysis: the ranked gaps of every given route with the route figures repeated.
 
     The worst gap of a route is always reported, further ones down to ``min_reported_gap_km`` and
-    up to ``top_gaps`` of them.
+    up to ``top_gaps`` of them. Without ``count_all_stations`` only sites of the wanted power enter the distance join and the
+    totals over all sites are null. ``include_geometry`` adds each gap's stretch of the line as GeoJSON, null for gaps of no length.
     """
     rated = stations.withColumn("_kw", F.coalesce(F.col(power_col), F.lit(0.0)))
+    if not count_all_stations:
+        rated = rated.where(F.col("_kw") >= min_power_kw)
     near = cut_lineage(distance_join(
         rated, routes, ["station_id"], ["route_id"], buffer_km * 1000.0, cfg, keep=["_kw", "is_fast_charger"]
     ))
@@ -194,6 +199,15 @@ def coverage_query(
         F.col("distance_m").alias("_driving_m"),
     )
     per_100km = F.col("qualifying_stations") * 100.0 / F.nullif(F.col("_driving_m") / 1000.0, F.lit(0.0))
+    counted = ("stations_in_corridor", "fast_stations_in_corridor")
+    if not count_all_stations:
+        sites = sites.withColumns({c: F.lit(None).cast("bigint") for c in counted})
+    shape: list[Column] = []
+    if include_geometry:
+        pieces = reported.where("gap_end > gap_start").select(
+            "route_id", F.col("rank_in_route").alias("piece"), F.col("gap_start").alias("start_m"), F.col("gap_end").alias("end_m"))
+        lines = line_substring(routes, pieces).select("route_id", F.col("piece").alias("rank_in_route"), geojson_line(F.col("vertices")).alias("gap_geometry"))
+        reported, shape = reported.join(lines, ["route_id", "rank_in_route"], "left"), [F.col("gap_geometry")]
     return (
         reported.join(totals, "route_id").join(lengths, "route_id").join(head, "route_id")
         .join(sites, "route_id", "left")
@@ -201,15 +215,14 @@ def coverage_query(
         .select(
             "route_id", "route_slug", "route_name", F.lit(buffer_km).alias("buffer_km"),
             F.lit(min_power_kw).alias("min_power_kw"), km(F.col("_driving_m")).alias("route_distance_km"),
-            km(F.col("geometry_length_m")).alias("route_geometry_length_km"), "stations_in_corridor",
-            "fast_stations_in_corridor", "qualifying_stations",
+            km(F.col("geometry_length_m")).alias("route_geometry_length_km"), *counted, "qualifying_stations",
             F.round(per_100km, 2).alias("qualifying_stations_per_100km"), "gap_count",
             km(F.col("max_gap_m")).alias("max_gap_km"), km(F.col("mean_gap_m")).alias("mean_gap_km"),
             km(F.col("gap_total_m")).alias("gap_total_km"), "rank_in_route", "gap_kind",
             km(F.col("gap_start")).alias("start_offset_km"), km(F.col("gap_end")).alias("end_offset_km"),
             km(F.col("gap")).alias("gap_km"),
             coverage_score(F.col("max_gap_m") / 1000.0, per_100km, cfg).alias("coverage_score"),
-            F.lit(methodology(buffer_km, min_power_kw, cfg)).alias("methodology"),
+            F.lit(methodology(buffer_km, min_power_kw, cfg)).alias("methodology"), *shape,
         )
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strom.config import DEFAULT, Config
 from strom.functions import energy, geo, lookups
 from strom.functions.lookups import km, round_decimal, share_percent
+from strom.operators.lines import line_substring, on_edge
 from strom.operators.nearest import interval_join
 from strom.operators.spatial import line_edges
 from strom.plans.corridors import route_lengths
@@ -39,19 +40,13 @@ def geodesic_edges(routes: DataFrame) -> DataFrame:
     }).where(F.col("lat1").isNotNull())
 
 
-def _on_edge(offset: Column) -> tuple[Column, Column]:
-    t = F.when(F.col("edge_m") > 0, (offset - F.col("edge_start_m")) / F.col("edge_m")).otherwise(F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.col("lat0") + (F.col("lat1") - F.col("lat0")) * t, F.col("lon0") + (F.col("lon1") - F.col("lon0")) * t
-
-
 def point_at_offset(routes: DataFrame, offsets: DataFrame) -> DataFrame:
     """``offsets`` (route_id, offset_m) located on their line, clamped to its ends."""
     edges = geodesic_edges(routes)
     at = F.greatest(F.lit(0.0), F.least(F.col("offset_m"), F.col("line_m")))
     last = F.col("edge_start_m") + F.col("edge_m") >= F.col("line_m") - 1e-6
     hit = (at >= F.col("edge_start_m")) & ((at < F.col("edge_start_m") + F.col("edge_m")) | last)
-    lat, lon = _on_edge(at)
+    lat, lon = on_edge(at)
     return offsets.join(edges, "route_id").where(hit).select(*offsets.columns, lat.alias("latitude"), lon.alias("longitude"))
 
 
@@ -82,26 +77,6 @@ def sample_vertices(routes: DataFrame, n: int) -> DataFrame:
     )
 
 
-def line_substring(routes: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``pieces`` (route_id, piece, start_m, end_m in the metric grid) cut out of their lines as vertex lists."""
-    edges = line_edges(routes, ["route_id"])
-    overlaps = pieces.join(edges, "route_id").where(
-        (F.col("start_m") < F.col("edge_start_m") + F.col("edge_m")) & (F.col("end_m") > F.col("edge_start_m"))
-    )
-    begin = F.greatest("start_m", "edge_start_m")
-    finish = F.least(F.col("end_m"), F.col("edge_start_m") + F.col("edge_m"))
-    (lat_a, lon_a), (lat_b, lon_b) = _on_edge(begin), _on_edge(finish)
-    # every overlapped edge gives its first point; the last one also its end
-    closes = F.col("end_m") <= F.col("edge_start_m") + F.col("edge_m") + 1e-6
-    point = F.struct(begin.alias("at"), lat_a.alias("latitude"), lon_a.alias("longitude"))
-    end_point = F.struct(finish.alias("at"), lat_b.alias("latitude"), lon_b.alias("longitude"))
-    spots = F.when(closes, F.array(point, end_point)).otherwise(F.array(point))
-    return (
-        overlaps.select("route_id", "piece", F.inline(spots)).groupBy("route_id", "piece")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "latitude", "longitude"))).alias("vertices"))
-    )
-
-
 def extent(lines: DataFrame, pad_deg: float = 0.0) -> DataFrame:
     """Padded bounding box per route over its vertices."""
     v = lines.select("route_id", F.explode("geometry").alias("v"))
@@ -127,7 +102,7 @@ def segment_polyline(routes: DataFrame, target_m: float = TARGET_SEGMENT_M, min_
 
     cuts = numbers(F.floor(F.col("edge_start_m") / F.col("piece_m")) + 1, F.least(F.floor(end_m / F.col("piece_m")), F.col("n") - 1))
     at = F.col("k") * F.col("piece_m")
-    lat, lon = _on_edge(at)
+    lat, lon = on_edge(at)
     cut = edges.withColumn("k", F.explode(cuts)).select("route_id", "n", "piece_m", "k", lat.alias("lat"), lon.alias("lon"), at.alias("at"))
     ends = edges.where(first).select("route_id", "n", "piece_m", F.lit(0).cast("bigint").alias("k"), F.col("lat0").alias("lat"),
                                      F.col("lon0").alias("lon"), F.lit(0.0).alias("at")).unionByName(
@@ -145,7 +120,7 @@ def segment_polyline(routes: DataFrame, target_m: float = TARGET_SEGMENT_M, min_
     )
     half = F.col("piece_m") / 2
     middles = numbers(F.ceil((F.col("edge_start_m") - half) / F.col("piece_m")), F.least(F.ceil((end_m - half) / F.col("piece_m")) - 1, F.col("n") - 1))
-    middle_lat, middle_lon = _on_edge((F.col("ordinal") + 0.5) * F.col("piece_m"))
+    middle_lat, middle_lon = on_edge((F.col("ordinal") + 0.5) * F.col("piece_m"))
     midpoints = edges.withColumn("ordinal", F.explode(middles)).select(
         "route_id", "ordinal", middle_lat.alias("midpoint_latitude"), middle_lon.alias("midpoint_longitude"))
     return pieces.join(midpoints, ["route_id", "ordinal"], "left").withColumn("start_offset_m", F.col("ordinal") * F.col("distance_m"))

@@ -268,6 +268,15 @@ def _ranked_sql(top: int, min_gap_km: float) -> str:
 
 
 REG.add("coverage_query", lambda t: ranked_gaps(t), _ranked_sql(25, 0))
+REG.add("coverage_query_geometry", lambda t: ranked_gaps(t, count_all_stations=False, include_geometry=True).select(
+    "route_id", "rank_in_route", "gap_kind", "gap_km", "qualifying_stations", "stations_in_corridor", "gap_geometry"), f"""
+    with piece as (select route_id, gap_kind, gap, gap_start as s, gap_end as e, row_number() over (partition by route_id order by gap desc, gap_start) as k from gaps_declared),
+    cut as (select *, greatest(s, start_m) as b, least(e, start_m + m) as f from piece join route_edges using (route_id) where k <= 25 and least(e, start_m + m) - greatest(s, start_m) > 1e-6),
+    spot as (select route_id, k, b as at_, lat0 + (lat1 - lat0) * (b - start_m) / m as lat, lon0 + (lon1 - lon0) * (b - start_m) / m as lon from cut
+             union all select route_id, k, f, lat0 + (lat1 - lat0) * (f - start_m) / m, lon0 + (lon1 - lon0) * (f - start_m) / m from cut where e <= start_m + m + 1e-6),
+    shape as (select route_id, k, '{{"type": "LineString", "coordinates": [' || string_agg(printf('[%.6f, %.6f]', lon, lat), ', ' order by at_) || ']}}' as line from spot group by 1, 2)
+    select route_id, p.k::int as rank_in_route, gap_kind, round(gap / 1e3, 3) as gap_km, coalesce(q, 0) as qualifying_stations, null::bigint as stations_in_corridor, line as gap_geometry
+    from piece p left join shape using (route_id, k) left join (select route_id, count(*) as q from qualifying group by 1) using (route_id) where p.k <= 25""")
 relation("underserved_ranked", _ranked_sql(25, 30))
 REG.add("underserved", lambda t: corridors.underserved(ranked_gaps(t, min_reported_gap_km=30.0), 30.0), """
     select coalesce(any_value(route_slug), route_id) as route_slug, any_value(route_name) as name, max(max_gap_km) as worst_gap_km,

@@ -9,7 +9,7 @@ from strom.registry import all_oracles, all_queries
 
 CORE = (
     "trip_energy", "fct_trips", "fct_vehicle_telemetry", "stg_charging_stations", "station_power", "dim_charging_station", "charging_infrastructure",
-    "corridor_stations", "corridor_coverage", "coverage_query", "underserved", "region_comparison", "live_vehicles", "trip_series",
+    "corridor_stations", "corridor_coverage", "coverage_query", "coverage_query_geometry", "underserved", "region_comparison", "live_vehicles", "trip_series",
     "energy_by_congestion", "dashboard_summary", "quality_by_source", "validate_station", "quality_report", "monotonic_violations",
     "check_orphan_segments", "mart_route_energy", "traffic_impact", "event_lines_on_segments", "nearest_observation", "segment_polyline",
     "dominant_class", "segment_energy", "driver_ladder", "route_analysis", "window_features", "clean_training_windows", "grouped_split",
