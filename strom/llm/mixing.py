@@ -73,7 +73,7 @@ def _expected(bands: DataFrame, cap: float) -> DataFrame:
 
 
 def pareto_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-               share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+               share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, row_column: str | None = None) -> DataFrame:
     """Copies of each document in a mix that comes near every source's target in words.
 
     A document expects copies in proportion to its appeal, ``cap`` at most. The whole part of that is certain. For the
@@ -83,10 +83,16 @@ def pareto_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     Columns: id, source, size, source_size, target, copies, taken. Null texts are empty and take no part, null sources form a
     source of their own, rows that repeat an id share u and are ranked side by side. Other columns are not read.
+    With ``row_column``, a key of each row, that is a column more and decides between equal ranks, and rows without id draw u by their text.
     """
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).cast("string").alias("source"), word_count(F.col(text_column)).alias("size"))
+    row = F.lit(0).cast("bigint") if row_column is None else F.col(row_column)
+    drawn_by = F.col(id_column).cast("string")
+    if row_column is not None:
+        drawn_by = F.coalesce(drawn_by, F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_column), F.lit("")))))
+    rows = docs.select(F.col(id_column).alias("_id"), row.alias("_row"), F.col(source_column).cast("string").alias("source"),
+                       word_count(F.col(text_column)).alias("size"), _uniform(drawn_by, seed).alias("_u"))
     rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    rows = cut_lineage(rows.withColumns({"_appeal": appeal(F.col("size")), "_u": _uniform(F.col("_id"), seed)}))
+    rows = cut_lineage(rows.withColumn("_appeal", appeal(F.col("size"))))
     bands = cut_lineage(rows.groupBy("_key", "source", "_appeal").agg(F.sum("size").alias("_words")))
     sources = bands.groupBy("_key", "source").agg(F.sum("_words").alias("source_size"))
     targets = cut_lineage(source_targets(sources, share, cap, weights))
@@ -102,7 +108,8 @@ def pareto_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     edge, shift = wanted.select("_key", "_want", F.lit(0).cast("bigint").alias("_cell"), F.lit(0).cast("bigint").alias("_taken")), _RANK_BITS
     for _ in range(2):
         edge, shift = cut_lineage(_refine(ranked, edge, shift)), shift - _CELL_BITS
-    return _finish(ranked, edge, shift, id_column)
+    mix = _finish(ranked, edge, shift, id_column)
+    return mix.drop("_row") if row_column is None else mix.withColumnRenamed("_row", row_column)
 
 
 def _within(ranked: DataFrame, edge: DataFrame) -> DataFrame:
@@ -125,11 +132,11 @@ def _refine(ranked: DataFrame, edge: DataFrame, shift: int) -> DataFrame:
 def _finish(ranked: DataFrame, edge: DataFrame, shift: int, id_column: str) -> DataFrame:
     cell = F.shiftright("_rank", shift)
     rows = _within(ranked, edge)
-    columns = [F.col("_id").alias(id_column), "source", "size", "source_size", "target", "_whole"]
-    order = Window.partitionBy("_key").orderBy("_rank", F.col("_id").asc_nulls_last(), "size")
+    columns = [F.col("_id").alias(id_column), "_row", "source", "size", "source_size", "target", "_whole"]
+    order = Window.partitionBy("_key").orderBy("_rank", F.col("_id").asc_nulls_last(), "size", "_row")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     near = rows.where(cell == F.col("_cell")).select(*columns, (F.col("_taken") + upto - F.col("size") / 2 <= F.col("_want")).alias("_drawn"))
     rest = rows.where(cell.isNull() | (cell != F.col("_cell"))).select(*columns, F.coalesce(cell < F.col("_cell"), F.lit(False)).alias("_drawn"))
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.col("_drawn").cast("bigint")).otherwise(F.lit(0)).cast("bigint")
     return rest.unionByName(near).withColumn("copies", copies).select(
-        id_column, "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        id_column, "_row", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

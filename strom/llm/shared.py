@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strom.session import cut_lineage
+
 BATCH_BYTES = 2 << 20
 # ASCII white space as the contracts list it: blank and \t \n \v \f \r
 SPACES = " \t\n\x0b\x0c\r"
@@ -44,6 +46,23 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(*columns)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a bigint of each row's own, null and repeated ids or not.
+
+    Rows of a plain file scan are numbered by file and place in it, which every later scan of the same files gives again. All else
+    is written to the shared folder once with its numbers, since a plan that runs twice need not number its rows alike.
+    """
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    if plan != "LogicalRelation" or "_metadata" in docs.columns:
+        return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    names = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    # one row per file, of which the driver holds a list anyway
+    files = cut_lineage(names.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_number")))
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    row = F.shiftleft("_number", 40).bitwiseOR(F.col("_at"))
+    return rows.join(F.broadcast(files), "_file").select(*docs.columns, row.alias("_row"))
+
+
 def salt(spread: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
 

@@ -4,6 +4,7 @@ import itertools
 import re
 
 import corpus_pipeline
+from strom.session import cut_lineage
 from tests.harness import SF_DIR
 
 
@@ -59,3 +60,22 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
         assert docs.count() == 0
+
+
+def test_rows_that_repeat_an_id_are_judged_by_themselves(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40)
+    text = " ".join(f"own{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(20_001, text, "en", "s", 1)] * 3 + [(20_002, other, "en", "s", 1), (20_003, other, "en", "s", 1), (20_003, "a third text that nothing else is equal to", "en", "s", 1)]
+    rows += [(20_004, f"first of two texts {text} with more", "en", "s", 1), (20_004, f"second text of one id, {' '.join(f'new{i}' for i in range(40))}", "en", "s", 1)]
+    made = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for docs in (cut_lineage(made), made):  # numbered by file, and by a copy
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            docs = cut_lineage(stage(spark, docs, SF_DIR))
+            found = [r for r in docs.collect() if (r.doc_id or 0) > 20_000]
+            texts = sorted((r.doc_id, r.text.split()[0]) for r in found)
+            if name == "exact":
+                assert texts == [(20_001, "own0"), (20_002, "other0"), (20_003, "a"), (20_004, "first"), (20_004, "second")]
+            if name == "near":
+                assert texts == [(20_001, "own0"), (20_002, "other0"), (20_003, "a"), (20_004, "second")]
+        assert len(set(texts)) == len(texts) and all(r.mix_copies <= 2 for r in found)
