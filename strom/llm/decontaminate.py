@@ -14,7 +14,7 @@ from strom.llm.shared import ALNUM_WORDS, Words, blocks, map_arrow, small_batche
 from strom.session import cut_lineage
 
 INDEX_SQL = "n_words bigint, doc_ids binary, doc_first binary, terms binary, first binary, positions binary"
-MATCH_SQL = "doc_id bigint, item_id string, kind string, start bigint, stop bigint"
+MATCH_SQL = "shard bigint, place bigint, doc_id bigint, item_id string, kind string, start bigint, stop bigint"
 _SHARD_BYTES = 2 << 20
 # words of benchmark items that one pass over the index carries along (12 bytes each); more items make more passes
 BLOCK_WORDS = 500_000
@@ -25,7 +25,8 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     A shard numbers its words in order, one number left free after each document so that no phrase crosses two. It
     holds the distinct terms (64-bit hashes, sorted), where each one's list begins, and all positions by term, beside the
-    documents' ids and first positions. Shards are some 2 MB of text or one longer document. Written to the shared folder.
+    documents' ids and first positions. Shards are some 2 MB of text or one longer document. Written to the shared folder, where each
+    has a number, ``shard``; with its place in the shard that tells every row apart, whatever its id.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -37,7 +38,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             for low, high in blocks(offsets, _SHARD_BYTES):
                 yield _shard(ids.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
 
-    return cut_lineage(map_arrow(rows, run, INDEX_SQL))
+    return cut_lineage(map_arrow(rows, run, INDEX_SQL).withColumn("shard", F.monotonically_increasing_id()))
 
 
 def _shard(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -195,7 +196,7 @@ def _search(shard: Shard, phrases: Phrases, rare: int, slop: int) -> list[pa.Arr
     ids = shard.doc_ids[document]
     first = shard.doc_first[document]
     return [
-        pa.array(ids, pa.int64(), mask=ids == -(1 << 63)), pa.array([phrases.items[i] for i in items], pa.string()),
+        pa.array(document, pa.int64()), pa.array(ids, pa.int64(), mask=ids == -(1 << 63)), pa.array([phrases.items[i] for i in items], pa.string()),
         pa.array(["phrase"] * len(item) + ["near"] * len(near), pa.string()), pa.array(starts - first, pa.int64()), pa.array(stops - first, pa.int64()),
     ]
 
@@ -223,7 +224,7 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = 13, rare:
                  item_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """Exact phrase matches, and with ``rare`` > 0 proximity matches, of all items in the index.
 
-    Rows: doc_id, item_id (as text), kind (phrase or near), start and stop in words of the document; overlapping windows of one item
+    Rows: shard and place (of the document in it), doc_id, item_id (as text), kind (phrase or near), start and stop in words of the document; overlapping windows of one item
     are one row. Items go through in blocks of ``block_words`` words, which bounds what a task carries; each block is one
     pass over the index. An item longer than a block is a block by itself. Null items and items without words match nothing.
     """
@@ -236,9 +237,11 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = 13, rare:
             for batch in batches:
                 for row in range(batch.num_rows):
                     shard = Shard(batch.column(0)[row].as_py(), *(batch.column(i)[row].as_buffer() for i in range(1, 6)))
-                    yield pa.RecordBatch.from_arrays(_search(shard, phrases, rare, slop), names=[c.split()[0] for c in MATCH_SQL.split(", ")])
+                    found = _search(shard, phrases, rare, slop)
+                    number = pa.array(np.full(len(found[0]), batch.column(6)[row].as_py()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([number, *found], names=[c.split()[0] for c in MATCH_SQL.split(", ")])
 
-        part = map_arrow(index.select(*[c.split()[0] for c in INDEX_SQL.split(", ")]), run, MATCH_SQL)
+        part = map_arrow(index.select(*[c.split()[0] for c in INDEX_SQL.split(", ")], "shard"), run, MATCH_SQL)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], MATCH_SQL)
 
@@ -250,9 +253,11 @@ def _lengths(index: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 ids = np.frombuffer(batch.column(0)[row].as_buffer(), np.int64)
                 first = np.frombuffer(batch.column(1)[row].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == -(1 << 63)), pa.array(np.diff(first) - 1, pa.int64())], names=["doc_id", "n_words"])
+                arrays = [np.full(len(ids), batch.column(2)[row].as_py()), np.arange(len(ids)), np.diff(first) - 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64(), mask=ids == -(1 << 63)), *[pa.array(a, pa.int64()) for a in arrays]], names=["doc_id", "shard", "place", "n_words"])
 
-    return map_arrow(index.select("doc_ids", "doc_first"), run, "doc_id bigint, n_words bigint")
+    return map_arrow(index.select("doc_ids", "doc_first", "shard"), run, "doc_id bigint, shard bigint, place bigint, n_words bigint")
 
 
 def _covered(ranges: Column) -> Column:
@@ -272,15 +277,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, least
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. Contaminated: ``least_share`` times the words
     hit are at least all words. Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Null and empty texts have no
-    words; ids are taken as unique (rows that repeat one are judged together: their hits are united); other
-    columns are not read. An empty benchmark hits nothing.
+    words. Every row is judged by itself, also one without id or with an id that others have; other columns are not
+    read. An empty benchmark hits nothing.
     """
     index = build_index(docs, id_column, text_column)
     matches = search_index(index, benchmark, window)
-    hits = matches.groupBy("doc_id").agg(
+    hits = matches.groupBy("shard", "place").agg(
         F.collect_list(F.struct("start", "stop")).alias("_ranges"), F.array_sort(F.collect_set("item_id")).alias("_items"))
-    hits = hits.select("doc_id", _covered(F.col("_ranges")).alias("_hit"), F.size("_items").cast("bigint").alias("_n"), F.array_join("_items", ",").alias("_ids"))
-    rows = _lengths(index).join(hits, "doc_id", "left")
+    hits = hits.select("shard", "place", _covered(F.col("_ranges")).alias("_hit"), F.size("_items").cast("bigint").alias("_n"), F.array_join("_items", ",").alias("_ids"))
+    rows = _lengths(index).join(hits, ["shard", "place"], "left")
     n_hit = F.coalesce("_hit", F.lit(0).cast("bigint"))
     return rows.select(
         F.col("doc_id").alias(id_column), "n_words", n_hit.alias("n_hit"), F.coalesce("_n", F.lit(0).cast("bigint")).alias("n_items"),

@@ -119,6 +119,15 @@ def test_decontamination_edge_cases(spark, odd, none):
     assert decontaminate.contamination(none, items).count() == 0 and decontaminate.contamination(odd, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_judges_each_row(spark):
+    """Without id, or with an id that others have."""
+    rows = [(None, "one two three four", "s"), (None, "nothing of it", "s"), (None, None, "s"), (1, "one two three four", "s"), (1, "something else", "s")]
+    items = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
+    found = decontaminate.contamination(docs_of(spark, rows), items).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found) == [
+        (0, 0, 0, 0, False), (0, 3, 0, 0, False), (0, 4, 4, 1, True), (1, 2, 0, 0, False), (1, 4, 4, 1, True)]
+
+
 def test_index_search_against_brute_force_in_blocks(spark):
     draw = random.Random(2)
     texts = [" ".join(draw.choices("abcd", k=draw.randint(0, 60))) for _ in range(80)]

@@ -79,3 +79,18 @@ def test_rows_that_repeat_an_id_are_judged_by_themselves(spark):
             if name == "near":
                 assert texts == [(20_001, "own0"), (20_002, "other0"), (20_003, "a"), (20_004, "second")]
         assert len(set(texts)) == len(texts) and all(r.mix_copies <= 2 for r in found)
+
+
+def test_rows_without_id_are_judged_like_others(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40)
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("length(text) > 100").first().text
+    text, other, alone = (" ".join(f"{w}{i}" for i in range(60)) for w in ("own", "other", "alone"))
+    rows = [(None, text, "en", "s", 1), (None, text, "en", "s", 1), (None, item, "en", "s", 1), (None, f"{other} more", "en", "s", 1), (20_001, other, "en", "s", 1), (None, alone, "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = cut_lineage(stage(spark, docs, SF_DIR))
+        kept[name] = sorted((r.doc_id or 0, r.text.split()[0]) for r in docs.collect() if r.doc_id is None or r.doc_id > 20_000)
+    assert kept["exact"] == sorted([(0, "own0"), (0, item.split()[0]), (0, "other0"), (20_001, "other0"), (0, "alone0")])
+    assert kept["near"] == sorted([(0, "own0"), (0, item.split()[0]), (20_001, "other0"), (0, "alone0")])
+    assert kept["decontaminated"] == [(0, "alone0"), (0, "own0"), (20_001, "other0")]
