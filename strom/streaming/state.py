@@ -72,12 +72,14 @@ def trip_totals(rows: DataFrame) -> DataFrame:
 def update_windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """60 s windows counted from the trip's first sample; every window that gets samples is given out as it then stands.
 
-    A window stays in the state until the watermark has passed its end, so late samples still count. Ends of a
-    window are told by time, then sequence.
+    A window stays in the state until the watermark has passed its end, so late samples still count. The first sample's time
+    stays for good, two numbers a trip, so a trip that goes on after any pause goes on counting. Ends of a window are told by
+    time, then sequence.
     """
     columns = ["trip_id", "window_index", "window_start", "samples", "mean_speed_kmh", "first_odometer_m", "last_odometer_m"]
     if state.hasTimedOut:
-        state.remove()
+        first, last, _ = state.get
+        state.update((first, last, "{}"))
         yield pd.DataFrame([], columns=columns)
         return
     rows = pd.concat(list(batches)).sort_values(["recorded_at", "sequence"], kind="stable")

@@ -75,6 +75,19 @@ def test_trip_totals_are_monotone_and_close_once(spark, tmp_path):
     assert trip.avg_consumption_kwh_100km == pytest.approx(1.0 / 0.1) and trip.ended_at.minute == 9
 
 
+def test_a_trip_goes_on_counting_after_a_long_pause(spark, tmp_path):
+    source, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    batches = [[message("a", at(0, 30), speed_kmh=40.0)], [message("b", "2024-01-01T02:30:00.000Z", trip_id="other")], [message("c", "2024-01-01T02:31:00.000Z", trip_id="other")],
+               [message("d", "2024-01-01T02:32:30.000Z", speed_kmh=80.0)], [message("e", "2024-01-01T02:32:45.000Z", speed_kmh=60.0)]]
+    for i, lines in enumerate(batches):
+        deliver(source, i, *lines)
+        rows = messages.good(messages.parse_envelope(messages.read_messages(spark, str(source)), "telemetry")).selectExpr(
+            "trip_id", "recorded_at", "cast(ascii(event_id) as bigint) sequence", "speed_kmh", "odometer_m")
+        telemetry.run_to_end(state.trip_windows(rows), telemetry.update_batch(out), cp, "update")
+    rows = telemetry.latest_version(spark, out, "trip_id", "window_index").where("trip_id <> 'other'").collect()
+    assert sorted((r.window_index, r.samples, r.mean_speed_kmh) for r in rows) == [(0, 1, 40.0), (152, 2, 70.0)]
+
+
 def test_windows_are_anchored_at_the_first_sample(spark, tmp_path):
     source, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     batches = [[message("a", at(0, 30), speed_kmh=40.0), message("b", at(1, 20), speed_kmh=60.0)], [message("c", at(1, 40), speed_kmh=80.0), message("d", at(3, 40))],
