@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strom.llm import chat, decontaminate, exact_dedup, language_id, licenses, mixing, near_dedup, oracles, pii, secrets, toxicity
+from strom.llm import bpe, chat, decontaminate, exact_dedup, language_id, licenses, mixing, near_dedup, oracles, pii, runs, secrets, toxicity, vector_codes
 from strom.llm.shared import documents, held_out
 from strom.session import checkpoint_root, configure
 
@@ -65,8 +65,24 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_digests(found)
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # says where this machine keeps the vocabulary files
+
+    return bpe.token_digests(documents(spark, folder, "doc_id", "text"), bpe.VocabularyFile(spark, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_table(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    texts = runs.repeat_tails(F.col("doc_id"), F.col("text"))
+    return runs.run_digests(runs.periodic_runs(documents(spark, folder, "doc_id", "text"), ["doc_id"], texts))
+
+
 _OPERATORS = (
     op1_toxicity, op2_pii, op3_language, op4_license, op5_near_dedup, op6_exact_dedup, op7_mixing, op8_chat, op9_decontaminate, op10_secrets,
+    op11_bpe, op12_vector_codes, op13_runs,
 )
 
 
