@@ -150,17 +150,17 @@ def _vector_oracle(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
         return f"""
 n{k} as materialized (
   select r, part, min(away) as least from (
-    select x.r, x.part, sum((x.x - b.x) * (x.x - b.x)) * {entries} + b.entry as away from x join b{k} b on x.part = b.part and x.at = b.at group by x.r, x.part, b.entry)
+    select x.r, x.part, sum((x.x - b.x) * (x.x - b.x)) * {entries} + b.entry as away from x join b{k} b on x.part = b.part and x.pos = b.pos group by x.r, x.part, b.entry)
   group by r, part)"""
 
     def moved(k: int) -> str:
         return f"""
 b{k + 1} as materialized (
-  select b.part, b.entry, b.at, coalesce(m.x, b.x) as x
+  select b.part, b.entry, b.pos, coalesce(m.x, b.x) as x
   from b{k} b left join (
-    select part, entry, at, ((s - ((s % n) + n) % n) // n)::bigint as x
-    from (select x.part, n.least % {entries} as entry, x.at, sum(x.x) as s, count(*) as n from x join n{k} n on x.r = n.r and x.part = n.part group by all)) m
-  on b.part = m.part and b.entry = m.entry and b.at = m.at)"""
+    select part, entry, pos, ((s - ((s % n) + n) % n) // n)::bigint as x
+    from (select x.part, n.least % {entries} as entry, x.pos, sum(x.x) as s, count(*) as n from x join n{k} n on x.r = n.r and x.part = n.part group by all)) m
+  on b.part = m.part and b.entry = m.entry and b.pos = m.pos)"""
 
     steps = "".join(f",{nearest(k)},{moved(k)}" for k in range(rounds)) + f",{nearest(rounds)}"
     return f"""
@@ -168,14 +168,14 @@ with kept as (
   select row_number() over (order by vec_id) as r, vec_id, label, embedding as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
 x as materialized (
-  select r, (i - 1) // (len(v) // {parts}) as part, (i - 1) % (len(v) // {parts}) as at, floor(v[i]::double * 4096)::bigint as x
+  select r, (i - 1) // (len(v) // {parts}) as part, (i - 1) % (len(v) // {parts}) as pos, floor(v[i]::double * 4096)::bigint as x
   from (select r, v, unnest(generate_series(1, len(v))) as i from kept)),
-b0 as materialized (select part, r - 1 as entry, at, x from x where r <= {entries}){steps},
+b0 as materialized (select x.part, x.r - 1 as entry, x.pos, x.x as x from x where r <= {entries}){steps},
 coded as (
   select kept.vec_id, kept.label, string_agg(lpad(lower(hex(least % {entries})), 2, '0'), '' order by part) as code, sum(least // {entries})::bigint as error
   from n{rounds} n join kept using (r) group by kept.r, kept.vec_id, kept.label)
 select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
-       (select sha256(string_agg(x::varchar, ',' order by part, entry, at)) from b{rounds}) as codebooks_sha256
+       (select sha256(string_agg(x::varchar, ',' order by part, entry, pos)) from b{rounds}) as codebooks_sha256
 from coded"""
 
 
