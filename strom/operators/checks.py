@@ -202,3 +202,8 @@ MODE_RANK = ("live", "cache", "fixture")
 def weakest_mode(mode: str) -> Column:
     rank = F.array_position(F.array(*(F.lit(m) for m in MODE_RANK)), F.col(mode))
     return F.max_by(F.col(mode), rank)
+
+
+def stored_mode(mode: Column) -> Column:
+    """Mode of a row that was read from storage: it is no longer live, and test data stays test data."""
+    return F.when(mode == "fixture", "fixture").otherwise("cache")

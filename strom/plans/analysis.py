@@ -133,9 +133,9 @@ def pair_totals(driven: DataFrame) -> DataFrame:
     })
 
 
-def meet_requests(requests: DataFrame, per_pair: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Requests joined to what is known about their (route, vehicle) pair; popular pairs are split."""
-    keys = ["route_id", "vehicle_model_id"]
+def meet_requests(requests: DataFrame, per_pair: DataFrame, cfg: Config = DEFAULT, keys: tuple[str, ...] = ("route_id", "vehicle_model_id")) -> DataFrame:
+    """Requests joined to what is known about their ``keys``, the (route, vehicle) pair unless told otherwise; popular ones are split."""
+    keys = list(keys)
     if is_small(per_pair, cfg.broadcast_rows):
         return requests.join(F.broadcast(per_pair), keys)
     return skew_join(requests, per_pair, keys, F.col("request_id"), cfg.salt_buckets, hot_rows=cfg.hot_rows)
@@ -192,12 +192,8 @@ def rescale_to_model(rows: DataFrame, target: Column) -> DataFrame:
     return scaled.withColumns({f: F.col(f) * F.col("_factor") for f in energy.ENERGY_FIELDS}).drop("_factor")
 
 
-def driver_ladder(driven: DataFrame, keys: list[str], actual: str = "actual_kwh", min_delta: float = MIN_DELTA_PERCENT) -> DataFrame:
-    """Splits the deviation from nominal consumption into seven additive drivers, largest first.
-
-    Each driver is the step between two runs of the road-load model: reference conditions, then
-    gradient, traffic, temperature and wind switched on one after the other, then the served value.
-    """
+def ladder_totals(driven: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """Energy of each rung of the driver ladder by ``keys``, with the sums of the columns ``also``."""
     warm = F.lit(REFERENCE_TEMPERATURE_C)
     free = F.col("speed_kmh") * lookups.severity_delay_factor(F.col("traffic_severity"))
     free_s = F.col("distance_km") / free * 3600.0
@@ -214,10 +210,23 @@ def driver_ladder(driven: DataFrame, keys: list[str], actual: str = "actual_kwh"
     rows = driven
     for name, overrides in rungs:
         rows = with_segment_energy(rows, Drive.of(**(reference | overrides)), f"{name}_")
-    sums = [f"{name}_kwh" for name, _ in rungs] + ["reference_auxiliary_kwh", "reference_hvac_kwh", actual, "distance_km"]
+    sums = [f"{name}_kwh" for name, _ in rungs] + ["reference_auxiliary_kwh", "reference_hvac_kwh", *also, "distance_km"]
     totals = rows.groupBy(*keys).agg(
         *(F.sum(c).alias(c) for c in sums), F.first("nominal_consumption_kwh_100km").alias("_nominal"))
-    totals = totals.withColumn("nominal_kwh", F.col("_nominal") * F.col("distance_km") / 100.0)
+    return totals.withColumn("nominal_kwh", F.col("_nominal") * F.col("distance_km") / 100.0).drop("_nominal")
+
+
+def driver_ladder(driven: DataFrame, keys: list[str], actual: str = "actual_kwh", min_delta: float = MIN_DELTA_PERCENT) -> DataFrame:
+    """Splits the deviation from nominal consumption into seven additive drivers, largest first.
+
+    Each driver is the step between two runs of the road-load model: reference conditions, then
+    gradient, traffic, temperature and wind switched on one after the other, then the served value.
+    """
+    return rank_drivers(ladder_totals(driven, keys, (actual,)), keys, actual, min_delta)
+
+
+def rank_drivers(totals: DataFrame, keys: list[str], actual: str, min_delta: float = MIN_DELTA_PERCENT) -> DataFrame:
+    """The drivers of each row of ``ladder_totals`` whose served energy is ``actual``."""
     standing = F.col("reference_auxiliary_kwh") + F.col("reference_hvac_kwh")
     deltas = {
         "speed_profile": F.col("reference_kwh") - standing - F.col("nominal_kwh"),

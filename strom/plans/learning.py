@@ -284,7 +284,9 @@ def permutation_importance(
     return rise.withColumns({"importance_normalised": F.when(total > 0, F.greatest("importance", F.lit(0.0)) / total).otherwise(F.lit(0.0)), "method": F.lit("permutation")})
 
 
-def features_from_conditions(driven: DataFrame, soc: Column | None = None) -> DataFrame:
+def features_from_conditions(
+    driven: DataFrame, soc: Column | None = None, keep: Sequence[str] = ("route_segment_id", "vehicle_model_id")
+) -> DataFrame:
     """The twenty inputs for analysed segments; what a segment does not tell gets its neutral value."""
     speed = F.greatest(F.lit(0.0), F.col("speed_kmh"))
     values = {
@@ -301,4 +303,4 @@ def features_from_conditions(driven: DataFrame, soc: Column | None = None) -> Da
         "hvac_load_kw": energy.hvac_kw_physics(F.col("temperature_c")),
         "is_motorway": (F.col("road_class") == "motorway").cast("double"),
     }
-    return driven.select("route_segment_id", "vehicle_model_id", *(values[f].alias(f) for f in FEATURES))
+    return driven.select(*keep, *(values[f].alias(f) for f in FEATURES))

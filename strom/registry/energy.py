@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from strom.functions import energy
 from strom.functions.energy import Drive, with_segment_energy
-from strom.plans import analysis, fleet, learning, staging, traffic, trips
+from strom.plans import analysis, fleet, learning, route_model, staging, traffic, trips
 from strom.plans import weather as weather_plans
 from strom.plans.trips import rounded
 from strom.registry import corridors as C
 from strom.registry.analytics import tele, weather
 from strom.registry.fleet_models import models
 from strom.registry.oracle import Registry, relation
-from strom.session import cut_lineage, reuse
+from strom.session import checkpoint_root, cut_lineage, reuse
 from strom.sources.driver import TRAFFIC_NOW, Tables
 
 REG = Registry()
@@ -142,14 +146,20 @@ REG.add("driver_ladder", lambda t: rounded(analysis.driver_ladder(ladder_rows(t)
 relation("event_line_segment", C.EVENT_LINE_SEGMENT)
 
 
-def conditions(t: Tables, routes=None):
-    """Conditions on the segments of ``routes`` at the fixed analysis time; without them on the routes that requests name."""
+def condition_inputs(t: Tables, routes=None):
+    """Segments of ``routes`` (those that requests name, if not given), events, their pairs, and each segment's nearest reading at the fixed analysis time."""
     on_routes = cut_lineage(C.routed_segments(t, t.requests if routes is None else routes))
     events = staging.traffic_events(t.traffic_events)
     pairs = traffic.event_lines_on_segments(events, on_routes, C.AT, 1500.0)
     middles = on_routes.select("route_segment_id", ((F.col("geometry")[0].latitude + F.col("geometry")[1].latitude) / 2).alias("latitude"),
                                    ((F.col("geometry")[0].longitude + F.col("geometry")[1].longitude) / 2).alias("longitude"))
     readings = weather_plans.nearest_observation(middles, ["route_segment_id"], weather(t), C.AT, 150_000.0)
+    return on_routes, events, pairs, readings
+
+
+def conditions(t: Tables, routes=None):
+    """Conditions on the segments of ``condition_inputs``."""
+    on_routes, events, pairs, readings = condition_inputs(t, routes)
     return cut_lineage(analysis.segment_conditions(on_routes, pairs, events, readings, C.AT))
 
 
@@ -212,6 +222,96 @@ REG.add("features_from_conditions", lambda t: rounded(learning.features_from_con
            case traffic_severity when 'low' then 1 when 'moderate' then 2 when 'high' then 3 else 4 end::double as traffic_severity_ordinal, round(precipitation_mm, 4) as precipitation_mm,
            round(wind_speed_ms, 4) as wind_speed_ms, 0::double as gradient_percent, round(distance_km, 4) as segment_distance_km, mass_kg, drag_area_m2 as drag_area, nominal_consumption_kwh_100km,
            round({curve_sql(energy.HVAC_CURVE, "temperature_c")}, 4) + 0 as hvac_load_kw, (road_class = 'motorway')::int::double as is_motorway from driven_raw""")
+
+# ---- route analysis by a model: a fixed linear one stands for a trained pipeline, so that the oracle can work it out again
+LINEAR = ("4.0137e0 + 0.0703141e0 * speed_kmh + 0.1207397e0 * (25 - outside_temperature_c) + 0.0101377e0 * (100 - soc_percent) + 0.3011713e0 * traffic_severity_ordinal"
+          " + 0.2013931e0 * precipitation_mm + 0.0010173e0 * mass_kg + 0.4019773e0 * hvac_load_kw")
+
+
+def linear_model(t: Tables):
+    """Saved and loaded again, as a trained pipeline would be."""
+    path = f"{checkpoint_root(t.spark)}/strom-model-{uuid.uuid4().hex}"
+    route_model.save_model(PipelineModel(stages=[SQLTransformer(statement=f"select *, cast({LINEAR} as double) as predicted from __THIS__")]), path)
+    return route_model.load_model(t.spark, path)
+
+
+class ModelRun:
+    """Tables that the answers, drivers and segments of one model share."""
+
+    def __init__(self, t: Tables, model):
+        self.requests = t.requests
+        segments, events, pairs, readings = condition_inputs(t)
+        pairs, readings = cut_lineage(pairs), cut_lineage(readings)
+        told = cut_lineage(analysis.segment_conditions(segments, pairs, events, readings, C.AT))
+        self.driven = route_model.driven_energies(t.requests, told, models(t))
+        self.served = cut_lineage(route_model.served_segments(self.driven, route_model.charge_cases(t.requests, self.driven), model))
+        self.totals = cut_lineage(route_model.case_totals(self.served))
+        age = (F.unix_micros(F.lit(C.AT)) - F.unix_micros("observed_at")) / 3.6e9
+        used = readings.where((F.col("distance_m") <= 150_000.0) & (age <= 200.0))
+        event_modes = t.traffic_events.select(F.col("id").alias("traffic_event_id"), F.when(F.col("source") == "police", "fixture").otherwise("live").alias("provider_mode"))
+        # every seventh station's readings come from a test file
+        fixture = F.substring("id", 2, 20).cast("bigint") % 7 == 0
+        reading_modes = t.weather_stations.select(F.col("id").alias("weather_station_id"), F.when(fixture, "fixture").otherwise("live").alias("provider_mode"))
+        lines = t.routes.select(F.col("id").alias("route_id"), F.when(F.col("is_demo"), "cache").otherwise("live").alias("routing_mode"))
+        self.modes = route_model.source_modes(lines, pairs, event_modes, used, reading_modes, segments)
+
+
+relation("charge_case", """
+    select distinct route_id, vehicle_model_id, start_soc_percent, usable,
+           least(100, greatest(0, (start_soc_percent + greatest(0, start_soc_percent - kwh / usable * 100)) / 2)) as soc_percent
+    from requests join pair_total using (route_id, vehicle_model_id)""")
+relation("served_raw", f"""
+    select *, case when physical_kwh > 0 then greatest(0, {LINEAR}) * distance_km / 100 else physical_kwh end as served_kwh
+    from (select d.* exclude (kwh), d.kwh as physical_kwh, start_soc_percent, soc_percent, usable, temperature_c as outside_temperature_c,
+                 case traffic_severity when 'low' then 1 when 'moderate' then 2 when 'high' then 3 else 4 end as traffic_severity_ordinal,
+                 {curve_sql(energy.HVAC_CURVE, "temperature_c")} as hvac_load_kw
+          from driven_energy d join charge_case using (route_id, vehicle_model_id))""")
+relation("served_total", "select route_id, vehicle_model_id, start_soc_percent, sum(served_kwh) as served, any_value(usable) as usable, any_value(soc_percent) as soc, "
+         + ", ".join(f"sum(case when physical_kwh > 0 then {p} * served_kwh / physical_kwh else {p} end) as {p}" for p in energy.ENERGY_FIELDS if p != "kwh") + " from served_raw group by 1, 2, 3")
+relation("route_mode", f"""
+    select route_id, routing, coalesce(w.m, 3) as weather, coalesce(e.m, 3) as traffic
+    from (select id as route_id, case when is_demo then 2 else 1 end as routing from routes)
+    left join (select route_id, max(case when substr(s.weather_station_id, 2)::bigint % 7 = 0 then 3 else 2 end) as m
+               from (select p.route_segment_id, p.weather_station_id, f.observed_at from (
+                         select p.route_segment_id, s.weather_station_id, sqrt(power(px - sx, 2) + power(py - sy, 2)) as d from middle_xy p, freshest_xy s) p
+                     join freshest f using (weather_station_id) where d <= 150000 qualify row_number() over (partition by p.route_segment_id order by d, weather_station_id) = 1) s
+               join stg_segment g using (route_segment_id) where {_HOURS} <= 200 group by 1) w using (route_id)
+    left join (select route_id, max(case when source = 'police' then 3 else 2 end) as m
+               from event_line_segment l join traffic_events t on t.id = l.traffic_event_id join stg_segment g using (route_segment_id) group by 1) e using (route_id)""")
+_OTHER_PARTS = [p for p in energy.ENERGY_FIELDS if p != "kwh"]
+REG.add("route_analysis_model", lambda t: rounded((lambda run: route_model.answers(run.requests, run.totals, run.modes, "linear"))(ModelRun(t, linear_model(t))), 4), f"""
+    select request_id, route_id, vehicle_model_id, start_soc_percent, round(least(100, greatest(0, arr)), 4) as arrival_soc_percent, round(served, 4) as energy_kwh_total,
+           round(greatest(0, (10 - arr) / 100 * usable), 4) + 0 as energy_deficit_kwh, (10 - arr) > 0 as charging_required, round(distance_km, 4) as distance_km,
+           round(duration_s, 4) as estimated_duration_s, round(served / distance_km * 100, 4) as avg_consumption_kwh_100km, round(kwh / distance_km * 100, 4) as baseline_kwh_100km,
+           round(served / distance_km * 100, 4) as model_kwh_100km, 'linear' as model_name,
+           case when served / distance_km * 100 / nominal < 0.95 then 'low' when served / distance_km * 100 / nominal < 1.10 then 'medium' when served / distance_km * 100 / nominal < 1.30 then 'high' else 'critical' end as energy_intensity,
+           round((kwh - mild_kwh) / mild_kwh * 100, 4) + 0 as weather_penalty_percent, round((kwh - free_kwh) / free_kwh * 100, 4) + 0 as traffic_penalty_percent,
+           round((kwh - neutral_kwh) / neutral_kwh * 100, 4) + 0 as total_penalty_percent, round(soc, 4) as mean_soc_percent,
+           {", ".join(f"round({p}, 4) + 0 as {p}" for p in _OTHER_PARTS)},
+           names[routing] as routing_mode, names[weather] as weather_mode, names[traffic] as traffic_mode, names[greatest(routing, weather, traffic)] as data_mode
+    from (select q.request_id, q.route_id, q.vehicle_model_id, q.start_soc_percent, s.* exclude (route_id, vehicle_model_id, start_soc_percent, usable), p.* exclude (route_id, vehicle_model_id),
+                 m.* exclude (route_id), q.start_soc_percent - served / p.usable * 100 as arr, ['live', 'cache', 'fixture'] as names
+          from requests q join served_total s using (route_id, vehicle_model_id, start_soc_percent) join pair_total p using (route_id, vehicle_model_id) join route_mode m using (route_id))""")
+_d = energy_sql("driven_raw", "reference_", **dict(_MILD, speed_kmh=_FREE, duration_s=_FREE_S))
+_d = energy_sql(_d, "traffic_", **_MILD)
+_d = energy_sql(_d, "temperature_", **_STEADY)
+relation("pair_ladder", f"""
+    select route_id, vehicle_model_id, sum(reference_kwh) as r, sum(reference_auxiliary_kwh) + sum(reference_hvac_kwh) as st, sum(traffic_kwh) as t, sum(temperature_kwh) as c,
+           any_value(nominal_consumption_kwh_100km) * sum(distance_km) / 100 as nom from {_d} group by 1, 2""")
+REG.add("route_drivers", lambda t: rounded((lambda run: route_model.drivers(run.requests, run.driven, run.totals))(ModelRun(t, linear_model(t))), 4), """
+    with d as (select route_id, vehicle_model_id, start_soc_percent, nom, unnest([{'f': 'speed_profile', 'd': r - st - nom}, {'f': 'auxiliary', 'd': st}, {'f': 'gradient', 'd': 0::double},
+                      {'f': 'traffic', 'd': t - r}, {'f': 'temperature', 'd': c - t}, {'f': 'wind', 'd': 0::double}, {'f': 'model_correction', 'd': served - c}]) as x
+               from served_total join pair_ladder using (route_id, vehicle_model_id)),
+    k as (select *, x.d / nom * 100 as pct, row_number() over (partition by route_id, vehicle_model_id, start_soc_percent order by round(abs(x.d / nom * 100), 6) desc, x.f) as rank from d)
+    select request_id, route_id, vehicle_model_id, start_soc_percent, rank::int as rank, x.f as factor, round(x.d, 4) + 0 as delta_kwh, round(pct, 4) + 0 as delta_percent,
+           case when pct > 0.5 then 'increase' when pct < -0.5 then 'decrease' else 'neutral' end as direction
+    from requests join k using (route_id, vehicle_model_id, start_soc_percent) where rank = 1 or abs(pct) >= 0.5""")
+REG.add("route_segments_model", lambda t: rounded(route_model.segment_answers(ModelRun(t, linear_model(t)).served), 4), """
+    select route_id, vehicle_model_id, start_soc_percent, segment_ordinal, route_segment_id, round(served_kwh, 4) as kwh, round(served_kwh / distance_km * 100, 4) as kwh_per_100km,
+           round(physical_kwh / distance_km * 100, 4) as baseline_kwh_per_100km, round(least(100, greatest(0, start_soc_percent - upto / usable * 100)), 4) + 0 as soc_at_end_percent,
+           case when q < 0.95 then 'low' when q < 1.10 then 'medium' when q < 1.30 then 'high' else 'critical' end as energy_intensity
+    from (select *, served_kwh / distance_km * 100 / nominal_consumption_kwh_100km as q,
+                 sum(served_kwh) over (partition by route_id, vehicle_model_id, start_soc_percent order by segment_ordinal) as upto from served_raw)""")
 REG.add("free_flow_speed", lambda t: C.segments(t).select("route_segment_id", analysis.free_flow_speed(
     F.col("assumed_speed_kmh"), F.col("road_class"), F.col("speed_limit_kmh")).alias("free_flow_speed_kmh")), """
     select route_segment_id, greatest(5, case when assumed_speed_kmh > 0 then assumed_speed_kmh else least(case road_class when 'motorway' then 130 when 'trunk' then 120 when 'tertiary' then 80
