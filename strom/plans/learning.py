@@ -61,6 +61,12 @@ def window_features(steps: DataFrame, models: DataFrame, cfg: Config = DEFAULT)
         F.avg("severity_ordinal").alias("_severity"), F.bool_and(F.col("vehicle_state") == "driving").alias("_driving"),
         *(c.alias(f"_class_{name}") for name, c in classes.items()),
     )
+    return finish_windows(windows, models, cfg)
+
+
+def finish_windows(windows: DataFrame, models: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Training rows of windows given as sums and means, worked out in batch or kept up by a stream."""
+    classes, speed = lookups.ROAD_CLASS_ORDINAL, F.col("speed_kmh")
     usable = F.col("_driving") & (F.col("distance_km") >= MIN_WINDOW_KM) & (F.col("duration_s") > 0)
     # most samples win, the higher class on a tie
     dominant = F.greatest(*(

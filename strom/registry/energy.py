@@ -16,7 +16,7 @@ from strom.plans.trips import rounded
 from strom.registry import corridors as C
 from strom.registry.analytics import tele, weather
 from strom.registry.fleet_models import models
-from strom.registry.oracle import Registry, relation
+from strom.registry.oracle import RELATIONS, Registry, relation
 from strom.session import checkpoint_root, cut_lineage, reuse
 from strom.sources.driver import TRAFFIC_NOW, Tables
 
@@ -375,8 +375,8 @@ _WD = ("distance_km duration_s energy_kwh speed_kmh avg_speed_kmh speed_std_kmh
        "wind_speed_ms gradient_percent soc_percent speed_limit_kmh segment_distance_km hvac_load_kw energy_consumption_kwh_100km").split()
 relation("window_row", """select *, case road_class when 'motorway' then 6 when 'trunk' then 5 when 'primary' then 4 when 'secondary' then 3 when 'tertiary' then 2 when 'residential' then 1 when 'service' then 1 else 0 end as road_class_ordinal,
     (road_class = 'motorway')::int as is_motorway from window_raw""")
-REG.add("window_features", lambda t: rounded(windows(t), 8),
-        "select * replace (" + ", ".join(f"round({c}, 8) + 0 as {c}" for c in _WD) + ") from window_row")
+WINDOW_ROW_SQL = "select * replace (" + ", ".join(f"round({c}, 8) + 0 as {c}" for c in _WD) + f") from ({RELATIONS['window_row']})"
+REG.add("window_features", lambda t: rounded(windows(t), 8), WINDOW_ROW_SQL)
 
 
 def dirty(t: Tables):

@@ -8,15 +8,17 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strom.plans import analysis, chargeplan
+from strom.plans import analysis, chargeplan, fleet, learning
 from strom.plans.trips import rounded
 from strom.registry import corridors as C
-from strom.registry.energy import conditions
+from strom.registry.energy import WINDOW_ROW_SQL, conditions, vehicle_profiles
 from strom.registry.fleet_models import models
-from strom.registry.oracle import Registry, relation
+from strom.registry.oracle import RELATIONS, Registry, relation
 from strom.session import checkpoint_root
 from strom.sources.driver import Tables
 from strom.streaming import messages, state, telemetry
+from strom.streaming.commits import BatchLog, parts
+from strom.streaming.ordered import DAY_US
 
 REG = Registry()
 CURSOR = dt.datetime(2024, 1, 28, 0, 0, 30, tzinfo=dt.UTC)
@@ -92,19 +94,23 @@ REG.add("stream_delta_feed", lambda t: rounded(telemetry.delta_feed(_vehicle_sta
         f"select {_STATE} from newest_published where recorded_at > timestamp '2024-01-28 00:00:30' order by recorded_at, vehicle_id limit 1000")
 
 
+def finish_messages(t: Tables) -> DataFrame:
+    """The end of every closed trip as a JSON message, with its time."""
+    body = F.to_json(F.struct(
+        F.concat(F.lit("x"), "trip_id").alias("event_id"), F.lit("trip_event").alias("event_type"), F.lit(1).alias("schema_version"), F.col("ended_at").alias("occurred_at"),
+        F.lit("fleet").alias("producer"), "data_origin", F.struct(
+            F.lit("finished").alias("event_type"), "trip_id", F.substring_index("trip_id", "-", 1).alias("vehicle_id"), F.col("ended_at").alias("occurred_at"), F.col("end_soc_percent").alias("soc_percent"),
+            F.round("distance_m", 3).alias("distance_m")).alias("payload")), _MICROS)
+    return t.trips.where("ended_at is not null").select(body.alias("value"), F.col("ended_at").alias("at"))
+
+
 def trip_rows(t: Tables, stream: DataFrame) -> DataFrame:
     """Telemetry and trip events as one stream of rows keyed by trip."""
     samples = stream.select(
         "trip_id", F.lit("telemetry").alias("kind"), F.col("recorded_at").alias("at"), F.substring("event_id", 2, 20).cast("bigint").alias("sequence"), "state",
         F.col("odometer_m").alias("distance_m"), F.col("cumulative_energy_kwh").alias("energy_kwh"), F.col("battery_soc_percent").alias("soc_percent"))
     path = _folder(t)
-    ended = t.trips.where("ended_at is not null")
-    body = F.to_json(F.struct(
-        F.concat(F.lit("x"), "trip_id").alias("event_id"), F.lit("trip_event").alias("event_type"), F.lit(1).alias("schema_version"), F.col("ended_at").alias("occurred_at"),
-        F.lit("fleet").alias("producer"), "data_origin", F.struct(
-            F.lit("finished").alias("event_type"), "trip_id", "vehicle_id", F.col("ended_at").alias("occurred_at"), F.col("end_soc_percent").alias("soc_percent"),
-            F.round("distance_m", 3).alias("distance_m")).alias("payload")), _MICROS)
-    ended.select(body.alias("value")).write.text(path)
+    finish_messages(t).select("value").write.text(path)
     finished = messages.good(messages.parse_envelope(messages.read_messages(t.spark, path), "trip_event")).select(
         "trip_id", F.col("event_type").alias("kind"), F.col("occurred_at").alias("at"), F.lit(0).cast("bigint").alias("sequence"), F.lit(None).cast("string").alias("state"),
         "distance_m", "energy_kwh", "soc_percent")
@@ -145,6 +151,142 @@ REG.add("stream_trip_windows", lambda t: rounded(_trip_windows(t)), """
     from w group by trip_id, window_index""")
 
 
+# ---- the feed in three slices of time, each processed before the next one arrives
+
+
+_SLICES = 3
+
+
+def _slice_bounds(t: Tables) -> list[dt.datetime]:
+    span = t.telemetry.agg(F.min(F.unix_micros("recorded_at")).alias("a"), F.max(F.unix_micros("recorded_at")).alias("b")).first()
+    return [span.a + (span.b - span.a) * i // _SLICES for i in range(1, _SLICES)]
+
+
+def _slice(us, bounds: list[int]):
+    return sum((F.when(us > b, 1).otherwise(0) for b in bounds), F.lit(0))
+
+
+def telemetry_slices(t: Tables):
+    """Writes the published telemetry slice by slice into one folder, which it gives out after each."""
+    whole, path, bounds = t.spark.read.text(published(t)), _folder(t), _slice_bounds(t)
+    # cut-off messages have no time: they come last
+    at = F.unix_micros(F.to_timestamp(F.get_json_object("value", "$.payload.recorded_at")))
+    for i in range(_SLICES):
+        whole.where(F.coalesce(_slice(at, bounds), F.lit(_SLICES - 1)) == i).write.mode("append").text(path)
+        yield path
+
+
+def samples_of(t: Tables, stream: DataFrame) -> DataFrame:
+    """Good samples with what the windows need beyond the message."""
+    n = F.substring("event_id", 2, 20).cast("bigint")
+    congestion = fleet.congestion_class(F.col("speed_kmh"), F.col("speed_limit_kmh"), F.col("road_class"))
+    return stream.withColumns({
+        "sequence": n, "severity_ordinal": F.coalesce(congestion, F.lit(1)), "precipitation_mm": (n % 5) / 10.0,
+        "wind_speed_ms": (n % 12).cast("double"), "gradient_percent": (n % 13 - 6) / 2.0}).withColumnRenamed("state", "vehicle_state")
+
+
+def _window_features(t: Tables) -> DataFrame:
+    path = _folder(t)
+    for source in telemetry_slices(t):
+        stream = messages.good(messages.parse_envelope(messages.read_messages(t.spark, source), "telemetry"))
+        telemetry.run_to_end(state.window_sums(samples_of(t, stream)), telemetry.update_batch(f"{path}/sums"), f"{path}/checkpoint", "update")
+    return learning.finish_windows(state.stored_windows(telemetry.latest_version(t.spark, f"{path}/sums", "trip_id", "window_index")), vehicle_profiles(t))
+
+
+relation("good_steps", """
+    select t.*, case when p then epoch_us(t.recorded_at) - epoch_us(at0) end / 1e6 as dt, case when p then t.odometer_m - m0 end as dm, case when p then t.cumulative_energy_kwh - e0 end as de
+    from (select t.*, lag(t.recorded_at) over w as at0, lag(t.odometer_m) over w as m0, lag(t.cumulative_energy_kwh) over w as e0, lag(t.trip_id) over w is not null as p
+          from telemetry t join published p using (telemetry_id) where p.reject_reason is null and t.trip_id is not null
+          window w as (partition by t.trip_id order by t.recorded_at, t.telemetry_id)) t""")
+relation("good_window", RELATIONS["window_raw"].replace("from trip_steps st", "from good_steps st"))
+REG.add("stream_window_features", lambda t: rounded(_window_features(t), 8),
+        WINDOW_ROW_SQL.replace("window_raw", "good_window"))
+
+
+def fleet_rows(samples: DataFrame, events: DataFrame) -> DataFrame:
+    """Good telemetry and trip events as rows of one shape."""
+    a = samples.select(
+        "vehicle_id", "trip_id", F.lit("telemetry").alias("kind"), F.col("recorded_at").alias("at"), F.substring("event_id", 2, 20).cast("bigint").alias("sequence"), "state",
+        F.col("odometer_m").alias("distance_m"), F.col("cumulative_energy_kwh").alias("energy_kwh"), F.col("battery_soc_percent").alias("soc_percent"))
+    return a.unionByName(events.select(
+        "vehicle_id", "trip_id", F.col("event_type").alias("kind"), F.col("occurred_at").alias("at"), F.lit(0).cast("bigint").alias("sequence"), F.lit(None).cast("string").alias("state"),
+        "distance_m", "energy_kwh", "soc_percent"))
+
+
+_STATE_FIELDS = "vehicle_id string, state string"
+_TRIP_FIELDS = "trip_id string, state string, distance_m double, energy_kwh double, avg_consumption_kwh_100km double, soc_percent double, ended_at timestamp"
+_SAMPLE_FIELDS = "event_id string, vehicle_id string, trip_id string, recorded_at timestamp, speed_kmh double, odometer_m double"
+_REJECT_FIELDS = "raw string, event_id string, reject_reason string"
+
+
+def _ingested(t: Tables) -> BatchLog:
+    """Samples, rejects, trips and vehicles of the whole feed, written by one stream whose batches count as a unit."""
+    path, ended = _folder(t), _folder(t)
+    log = BatchLog(f"{path}/tables", {"telemetry": _SAMPLE_FIELDS, "rejects": _REJECT_FIELDS, "trips": _TRIP_FIELDS, "vehicles": _STATE_FIELDS})
+    finished = finish_messages(t).withColumn("_slice", _slice(F.unix_micros("at"), _slice_bounds(t)))
+    for i, source in enumerate(telemetry_slices(t)):
+        finished.where(F.col("_slice") == i).select("value").write.mode("append").text(ended)
+        parsed = messages.parse_envelope(messages.read_messages(t.spark, source), "telemetry")
+        events = messages.good(messages.parse_envelope(messages.read_messages(t.spark, ended), "trip_event"))
+        samples = messages.good(parsed)
+        changes = state.fleet_state(fleet_rows(samples, events), closed_us=90 * DAY_US, forget_us=90 * DAY_US)
+        both = parts({"telemetry": samples.select(*(f.split(" ")[0] for f in _SAMPLE_FIELDS.split(", "))), "rejects": messages.rejects(parsed), "changes": changes})
+        telemetry.run_to_end(both, commit_changes(log), f"{path}/checkpoint", "update")
+    return log
+
+
+def commit_changes(log: BatchLog):
+    """As ``commit_parts``, with the changes of the keyed state dealt to trips and vehicles."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            changes = batch.where("part = 'changes'").select("changes.*")
+            log.write({
+                "telemetry": batch.where("part = 'telemetry'").select("telemetry.*"), "rejects": batch.where("part = 'rejects'").select("rejects.*"),
+                "trips": state.trips_of(changes), "vehicles": state.vehicles_of(changes)}, batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+relation("finish", """
+    select trip_id, split_part(trip_id, '-', 1) as vehicle_id, ended_at, round(distance_m, 3) as m, end_soc_percent as soc from trips
+    where ended_at is not null and coalesce(end_soc_percent between 0 and 100, true)""")
+relation("fleet_trip", """
+    select coalesce(n.trip_id, f.trip_id) as trip_id, case when f.trip_id is not null then 'completed' else n.state end as state, coalesce(f.m, n.odometer_m) as m,
+           n.cumulative_energy_kwh as e, coalesce(f.soc, n.battery_soc_percent) as soc, f.ended_at
+    from (select p.* from published p left join finish f using (trip_id) where reject_reason is null and p.trip_id is not null and (f.ended_at is null or p.recorded_at <= f.ended_at)
+          qualify row_number() over (partition by p.trip_id order by odometer_m desc, recorded_at desc, telemetry_id desc) = 1) n
+    full join finish f on f.trip_id = n.trip_id""")
+REG.add("stream_fleet_trips", lambda t: rounded(_ingested(t).latest(t.spark, "trips", "trip_id"), 5), """
+    select trip_id, state, round(m, 5) as distance_m, round(e, 5) as energy_kwh, case when m > 0 then round(e / (m / 100000), 5) end as avg_consumption_kwh_100km,
+           round(soc, 5) as soc_percent, ended_at from fleet_trip""")
+REG.add("stream_fleet_vehicles", lambda t: _ingested(t).latest(t.spark, "vehicles", "vehicle_id"), """
+    select vehicle_id, state from (
+        select vehicle_id, recorded_at as seen_at, 0 as is_event, telemetry_id as seq, state from published where reject_reason is null
+        union all select vehicle_id, ended_at, 1, 0, 'idle' from finish)
+    qualify row_number() over (partition by vehicle_id order by seen_at desc, is_event desc, seq desc) = 1""")
+
+
+def _committed(t: Tables) -> DataFrame:
+    log, out = _ingested(t), None
+    for name, key in (("telemetry", "event_id"), ("rejects", "raw"), ("trips", "trip_id"), ("vehicles", "vehicle_id")):
+        rows = log.read(t.spark, name)
+        if name in ("trips", "vehicles"):
+            rows = rows.select(key).distinct()
+        part = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys")).select(F.lit(name).alias("table"), "rows", "keys")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+REG.add("stream_commit", _committed, """
+    select 'telemetry' as "table", count(*) as rows, count(*) as keys from published where reject_reason is null
+    union all select 'rejects', count(*), count(*) from published where reject_reason is not null
+    union all select 'trips', count(*), count(*) from fleet_trip
+    union all select 'vehicles', count(*), count(*) from (select vehicle_id from published where reject_reason is null union select vehicle_id from finish)""")
+
+
 def _counters(t: Tables) -> DataFrame:
     path = _folder(t)
     totals = telemetry.run_counted(parsed_stream(t, files=2), telemetry.append_batch(path), f"{path}/checkpoint")

@@ -1,32 +1,109 @@
-"""Keyed state of the telemetry stream: trip totals and per-trip training windows."""
+"""Keyed state of the telemetry stream: trips, vehicles and training windows, all replayed in event time."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# fixed values: what a trip event does to the trip
+from strom.functions.lookups import ROAD_CLASS_ORDINAL
+from strom.plans.learning import ACCELERATION_EVENT_MS2, UNRESTRICTED_KMH
+from strom.streaming.ordered import DAY_US, OrderedReplay, replay
+
+# fixed values: what a trip event does to the trip and to the vehicle that drives it
 EVENT_STATE = {"started": "driving", "finished": "completed", "charging_started": "charging", "charging_finished": "driving", "paused": "stopped"}
+VEHICLE_STATE = EVENT_STATE | {"finished": "idle"}
+WINDOW_US = 60_000_000
+FLEET_SCHEMA = ("entity string, vehicle_id string, trip_id string, state string, distance_m double, energy_kwh double, avg_consumption_kwh_100km double, "
+                "soc_percent double, ended_us bigint, us bigint")
 TRIP_SCHEMA = "trip_id string, state string, distance_m double, energy_kwh double, avg_consumption_kwh_100km double, soc_percent double, ended_at timestamp"
 _TRIP_STATE = "state string, distance_m double, energy_kwh double, soc_percent double, ended_us bigint"
-WINDOW_SCHEMA = "trip_id string, window_index bigint, window_start timestamp, samples bigint, mean_speed_kmh double, first_odometer_m double, last_odometer_m double"
-_WINDOW_STATE = "first_us bigint, last_us bigint, windows string"
-WINDOW_US = 60_000_000
+TRIP_COLUMNS = ("trip_id", "state", "distance_m", "energy_kwh", "avg_consumption_kwh_100km", "soc_percent", "ended_at")
 
 
 def _none(value):
     return None if value is None or pd.isna(value) else value
 
 
+class FleetState(OrderedReplay):
+    """Trips and vehicle of one key, advanced row by row in the order of time.
+
+    Counters are absolute: they are assigned, never added, and never go back. A finished trip stays closed; its totals are those of
+    the finish event, where it tells them. A trip event sets the vehicle's state as well: a finished trip leaves it idle.
+    A closed trip is forgotten after ``closed_us``, one that is never closed after ``forget_us`` without a sample.
+    """
+
+    columns = ("us", "is_event", "sequence", "vehicle_id", "trip_id", "kind", "state", "distance_m", "energy_kwh", "soc_percent")
+    order = ("us", "is_event", "sequence", "trip_id", "kind")
+    schema = FLEET_SCHEMA
+
+    def __init__(self, closed_us: int = DAY_US, forget_us: int = 7 * DAY_US):
+        self.closed_us, self.forget_us = closed_us, forget_us
+
+    def begin(self) -> dict[str, Any]:
+        return {"vehicle": None, "trips": {}}
+
+    def fold(self, state: dict[str, Any], rows: pd.DataFrame) -> None:
+        trips = state["trips"]
+        for r in rows.itertuples(index=False):
+            trip_id, at, soc = _none(r.trip_id), int(r.us), _none(r.soc_percent)
+            trip = trips.setdefault(trip_id, [None, None, None, None, None, at]) if trip_id is not None else None
+            distance, energy = _none(r.distance_m), _none(r.energy_kwh)
+            if trip is not None and trip[4] is None:
+                trip[5] = at
+                if not r.is_event:
+                    if trip[1] is None or (distance is not None and distance >= trip[1]):
+                        trip[:4] = [_none(r.state), distance, energy, soc]
+                else:
+                    trip[0] = EVENT_STATE[r.kind]
+                    if r.kind == "finished":
+                        known = trip[1:4]
+                        trip[1:5] = [*(old if new is None else new for new, old in zip((distance, energy, soc), known)), at]
+            state["vehicle"] = [VEHICLE_STATE[r.kind] if r.is_event else _none(r.state), _none(r.vehicle_id), trip_id, at]
+
+    def results(self, key: tuple, state: dict[str, Any]) -> Iterator[tuple[str, tuple]]:
+        vehicle = state["vehicle"]
+        for trip_id, (status, distance, energy, soc, ended, at) in state["trips"].items():
+            rate = energy / (distance / 100_000.0) if distance is not None and distance > 0 and energy is not None else None
+            yield f"t{trip_id}", ("trip", vehicle[1] if vehicle else None, trip_id, status, distance, energy, rate, soc, ended, at)
+        if vehicle is not None:
+            # only a change of state is news of a vehicle
+            yield "v", ("vehicle", vehicle[1], None, vehicle[0], None, None, None, None, None, None)
+
+    def expire(self, state: dict[str, Any], passed: int) -> None:
+        limits = {t: trip[4] + self.closed_us if trip[4] is not None else trip[5] + self.forget_us for t, trip in state["trips"].items()}
+        state["trips"] = {t: trip for t, trip in state["trips"].items() if limits[t] > passed}
+
+
+def fleet_state(rows: DataFrame, watermark: str = "30 minutes", key: str = "vehicle_id", **times: int) -> DataFrame:
+    """Changed trips and vehicles per micro-batch, one state for both.
+
+    ``rows``: vehicle_id, trip_id, kind (``telemetry`` or a trip event), at, sequence, state, distance_m, energy_kwh, soc_percent.
+    """
+    ready = rows.where(F.col(key).isNotNull() & F.col("at").isNotNull()).withWatermark("at", watermark).withColumns({
+        "us": F.unix_micros("at"), "is_event": F.col("kind") != "telemetry", "sequence": F.coalesce("sequence", F.lit(0).cast("bigint"))})
+    return replay(ready.select(F.col(key).alias("_key"), "at", *FleetState.columns), "_key", FleetState(**times))
+
+
+def trips_of(changes: DataFrame) -> DataFrame:
+    """The trips among the changes."""
+    return changes.where("entity = 'trip'").withColumn("ended_at", F.timestamp_micros("ended_us")).select(*TRIP_COLUMNS)
+
+
+def vehicles_of(changes: DataFrame) -> DataFrame:
+    """The vehicles among the changes."""
+    return changes.where("entity = 'vehicle'").select("vehicle_id", "state")
+
+
 def advance_trip(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Newest absolute counters, assigned and never added; a finished trip stays closed.
+    """Newest absolute counters of each micro-batch, assigned and never added; a finished trip stays closed.
 
-    A replay cannot move a trip backwards: counters below the known distance are ignored.
+    Of samples that are told together only the newest counts, so results depend on the batches; ``FleetState`` is free of that and forgets old trips. A replay cannot move a trip backwards: counters below the known distance are ignored.
     """
     if state.exists:
         status, distance, energy, soc, ended = state.get
@@ -69,39 +146,96 @@ def trip_totals(rows: DataFrame) -> DataFrame:
         advance_trip, TRIP_SCHEMA, _TRIP_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def update_windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """60 s windows counted from the trip's first sample; every window that gets samples is given out as it then stands.
+# measures of a window: sums first, then means; nulls count for neither
+_SUMS = ("distance_km", "duration_s", "energy_kwh")
+_MEANS = ("speed_kmh", "_square", "acceleration_abs_mean_ms2", "outside_temperature_c", "battery_temperature_c", "precipitation_mm", "wind_speed_ms",
+          "gradient_percent", "soc_percent", "speed_limit_kmh", "_severity")
+_CLASSES = tuple(ROAD_CLASS_ORDINAL)
+_SAMPLE = {
+    "vehicle_id": "string", "sequence": "bigint", "speed_kmh": "double", "acceleration_ms2": "double", "outside_temperature_c": "double",
+    "battery_temperature_c": "double", "precipitation_mm": "double", "wind_speed_ms": "double", "gradient_percent": "double", "battery_soc_percent": "double",
+    "speed_limit_kmh": "double", "severity_ordinal": "double", "vehicle_state": "string", "road_class": "string", "odometer_m": "double", "cumulative_energy_kwh": "double",
+}
+
+
+class TripWindows(OrderedReplay):
+    """60 s windows counted from the trip's first sample, as sums that add up minute by minute.
 
-    A window stays in the state until the watermark has passed its end, so late samples still count. The first sample's time
-    stays for good, two numbers a trip, so a trip that goes on after any pause goes on counting. Ends of a window are told by
-    time, then sequence.
+    A late sample that precedes the first one known moves all windows; results that such a move leaves without samples are taken back by a row of no samples.
+    Once the watermark has passed the first sample it stays for as long as the trip is known, so a trip that goes on after a pause goes on counting.
     """
-    columns = ["trip_id", "window_index", "window_start", "samples", "mean_speed_kmh", "first_odometer_m", "last_odometer_m"]
-    if state.hasTimedOut:
-        first, last, _ = state.get
-        state.update((first, last, "{}"))
-        yield pd.DataFrame([], columns=columns)
-        return
-    rows = pd.concat(list(batches)).sort_values(["recorded_at", "sequence"], kind="stable")
-    rows["us"] = rows.recorded_at.astype("datetime64[us]").astype("int64")
-    first, last, held = state.get if state.exists else (int(rows.us.iloc[0]), 0, "{}")
-    windows, out = {int(k): v for k, v in json.loads(held).items()}, []
-    parts = rows.groupby((rows.us - first) // WINDOW_US).agg(
-        samples=("us", "size"), speed=("speed_kmh", "sum"), at1=("us", "first"), seq1=("sequence", "first"), odo1=("odometer_m", "first"),
-        at2=("us", "last"), seq2=("sequence", "last"), odo2=("odometer_m", "last"))
-    for index, p in zip(parts.index.tolist(), parts.itertuples(index=False)):
-        low, high = [int(p.at1), int(p.seq1), float(p.odo1)], [int(p.at2), int(p.seq2), float(p.odo2)]
-        known = windows.get(index)
-        windows[index] = w = [int(p.samples), float(p.speed), low, high] if known is None else [
-            known[0] + int(p.samples), known[1] + float(p.speed), min(known[2], low), max(known[3], high)]
-        out.append((key[0], index, pd.Timestamp(first + index * WINDOW_US, unit="us"), w[0], w[1] / w[0], w[2][2], w[3][2]))
-    last, passed = max(last, int(rows.us.iloc[-1])), state.getCurrentWatermarkMs() * 1000
-    state.update((first, last, json.dumps({k: w for k, w in windows.items() if first + (k + 1) * WINDOW_US > passed})))
-    state.setTimeoutTimestamp(max(last // 1000 + 30 * 60 * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=columns)
+
+    columns = ("us", *_SAMPLE)
+    order = ("us", "sequence")
+    schema = ("trip_id string, vehicle_id string, first_us bigint, window_index bigint, samples bigint, " + ", ".join(f"{c} double" for c in (*_SUMS, *_MEANS))
+              + ", _events bigint, _driving boolean, " + ", ".join(f"_class_{c} bigint" for c in _CLASSES) + ", first_odometer_m double, last_odometer_m double")
+
+    def begin(self) -> dict[str, Any]:
+        return {"first": None, "vehicle": None, "last": None, "windows": {}}
+
+    def fold(self, state: dict[str, Any], rows: pd.DataFrame) -> None:
+        us = rows["us"].to_numpy()
+        if state["first"] is None:
+            state["first"], state["vehicle"] = int(us[0]), _none(rows["vehicle_id"].iloc[0])
+        before = state["last"] or [None, float("nan"), float("nan")]
+        odometer, energy = (rows[c].to_numpy(dtype=float, na_value=np.nan) for c in ("odometer_m", "cumulative_energy_kwh"))
+        step_m, step_kwh = np.diff(odometer, prepend=before[1]), np.diff(energy, prepend=before[2])
+        seconds = np.diff(us, prepend=us[0] if before[0] is None else before[0]) / 1e6
+        if before[0] is None:
+            seconds[0] = np.nan
+        state["last"] = [int(us[-1]), float(odometer[-1]), float(energy[-1])]
+        number = lambda c: rows[c].to_numpy(dtype=float, na_value=np.nan)
+        speed, push, limit = number("speed_kmh"), np.abs(number("acceleration_ms2")), number("speed_limit_kmh")
+        measures = np.stack([
+            np.where(step_m >= 0, step_m / 1000.0, np.nan), seconds, np.where(step_kwh >= 0, step_kwh, np.nan), speed, speed * speed, push,
+            *(number(c) for c in ("outside_temperature_c", "battery_temperature_c", "precipitation_mm", "wind_speed_ms", "gradient_percent", "battery_soc_percent")),
+            np.where(np.isnan(limit), UNRESTRICTED_KMH, limit), number("severity_ordinal")])
+        road, driving = rows["road_class"].to_numpy(dtype=object), rows["vehicle_state"].to_numpy(dtype=object) == "driving"
+        index = (us - state["first"]) // WINDOW_US
+        for k in np.unique(index).tolist():
+            here = index == k
+            own = measures[:, here]
+            sums, counts = np.nansum(own, axis=1), (~np.isnan(own)).sum(axis=1)
+            more = [int((push[here] > ACCELERATION_EVENT_MS2).sum()), int(here.sum()), *(int((road[here] == c).sum()) for c in _CLASSES)]
+            where = np.flatnonzero(here)
+            w = state["windows"].setdefault(str(k), {"sums": [0.0] * len(sums), "counts": [0] * len(sums), "more": [0] * len(more), "driving": True, "odometer": [float(odometer[where[0]]), None]})
+            w["sums"] = [a + float(b) for a, b in zip(w["sums"], sums)]
+            w["counts"] = [a + int(b) for a, b in zip(w["counts"], counts)]
+            w["more"] = [a + b for a, b in zip(w["more"], more)]
+            w["driving"] = bool(w["driving"] and driving[here].all())
+            w["odometer"][1] = float(odometer[where[-1]])
+
+    def results(self, key: tuple, state: dict[str, Any]) -> Iterator[tuple[str, tuple]]:
+        for k, w in state["windows"].items():
+            values = [(s if c else None) if i < len(_SUMS) else (s / c if c else None) for i, (s, c) in enumerate(zip(w["sums"], w["counts"]))]
+            events, samples, *classes = w["more"]
+            yield k, (key[0], state["vehicle"], state["first"], int(k), samples, *values, events, w["driving"], *classes, *map(_none, w["odometer"]))
+
+    def gone(self, key: tuple, name: str) -> tuple | None:
+        return (key[0], None, None, int(name), 0, *[None] * (len(_SUMS) + len(_MEANS)), 0, False, *[0] * len(_CLASSES), None, None)
+
+    def expire(self, state: dict[str, Any], passed: int) -> None:
+        if state["first"] is not None:
+            state["windows"] = {k: w for k, w in state["windows"].items() if state["first"] + (int(k) + 1) * WINDOW_US > passed}
+
+
+def window_sums(rows: DataFrame, watermark: str = "30 minutes") -> DataFrame:
+    """Windows of every trip, in a new version whenever they change; the newest version of a window with ``samples`` 0 says there is none.
+
+    ``rows``: trip_id, recorded_at and the columns of a sample; those a feed does not have are taken as null.
+    """
+    ready = rows.where(F.col("trip_id").isNotNull() & F.col("recorded_at").isNotNull()).withWatermark("recorded_at", watermark)
+    sample = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in _SAMPLE.items()]
+    return replay(ready.select("trip_id", "recorded_at", F.unix_micros("recorded_at").alias("us"), *sample), "trip_id", TripWindows())
 
 
 def trip_windows(rows: DataFrame, watermark: str = "30 minutes") -> DataFrame:
-    """Windows per trip, in a new version whenever samples arrive. ``rows``: trip_id, recorded_at, sequence, speed_kmh, odometer_m."""
-    return rows.where(F.col("trip_id").isNotNull()).withWatermark("recorded_at", watermark).groupBy("trip_id").applyInPandasWithState(
-        update_windows, WINDOW_SCHEMA, _WINDOW_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    """Samples, mean speed and odometer readings of ``window_sums``."""
+    start = F.timestamp_micros(F.col("first_us") + F.col("window_index") * WINDOW_US)
+    return window_sums(rows, watermark).select(
+        "trip_id", "window_index", start.alias("window_start"), "samples", F.col("speed_kmh").alias("mean_speed_kmh"), "first_odometer_m", "last_odometer_m")
+
+
+def stored_windows(versions: DataFrame) -> DataFrame:
+    """The newest versions of ``window_sums`` in the form that ``learning.finish_windows`` takes."""
+    return versions.where("samples > 0").withColumn("_first", F.timestamp_micros("first_us")).withColumnRenamed("samples", "_n").drop("first_us", "first_odometer_m", "last_odometer_m")
