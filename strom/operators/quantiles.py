@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strom.operators.sizes import is_small, salted_join
+from strom.operators.sizes import salted_join
+from strom.session import cut_lineage
 
 _ACCURACY = 2_000
 _MARGIN = 0.002
@@ -27,17 +28,16 @@ def exact_percentiles(
     """One row per group with a value: the keys and one column per named percentile (linear interpolation).
 
     ``few_groups`` states that the number of groups is fixed by definition (states, buckets), so the
-    brackets can be broadcast; otherwise rows meet them in a salted join. Input measured to hold no
-    more than ``one_task_rows`` rows cannot overload a task and takes the built-in aggregate.
+    brackets can be broadcast; otherwise rows meet them in a salted join. Keys and values are written once; if they
+    hold no more than ``one_task_rows`` rows, they cannot overload a task and take the built-in aggregate.
     """
-    if one_task_rows and is_small(df, one_task_rows):
-        simple = df.where(value.isNotNull()).groupBy(*keys)
-        return simple.agg(*(F.percentile(value.cast("double"), F.lit(p)).alias(n) for n, p in percentiles.items()))
     aliases = [f"_k{i}" for i in range(len(keys))]
+    # written once, narrow: both ways read it, and its number of rows is known without another run of the input
+    rows = df.select(*(F.col(k).alias(a) for k, a in zip(keys, aliases)), value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rows = cut_lineage(rows)
+    if one_task_rows and rows.count() <= one_task_rows:
+        return rows.groupBy(*(F.col(a).alias(k) for k, a in zip(keys, aliases))).agg(*(F.percentile("_v", F.lit(p)).alias(n) for n, p in percentiles.items()))
     # grouping by a struct-free text-safe key: NULL groups are kept through a null-marker column
-    rows = df.select(
-        *(F.col(k).alias(a) for k, a in zip(keys, aliases)), value.cast("double").alias("_v")
-    ).where(F.col("_v").isNotNull())
     group = F.xxhash64(*(F.coalesce(F.col(a).cast("string"), F.lit("\u0000")) for a in aliases)) if aliases else F.lit(0)
     probes = sorted({min(1.0, max(0.0, p + d)) for p in percentiles.values() for d in (-_MARGIN, _MARGIN)})
     rows = rows.withColumn("_g", group)
@@ -93,11 +93,10 @@ def exact_percentiles(
             at = holds(rounding(position(p)), "_start", "_end")
             aggregates.append(F.max(F.when(at, F.col("_v"))).alias(f"_{side}_{name}"))
     result = found.groupBy("_g", "_key", "_total").agg(*aggregates)
-    outs = [
-        (
-            F.col(f"_lo_{name}")
-            + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (position(p) - F.floor(position(p)))
-        ).alias(name)
-        for name, p in percentiles.items()
-    ]
+    # the arithmetic of the built-in percentile, so both ways agree to the last bit
+    outs = []
+    for name, p in percentiles.items():
+        low, high, at = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), position(p)
+        mixed = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        outs.append(F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise(mixed).alias(name))
     return result.select(*(F.col(f"_key.{a}").alias(k) for k, a in zip(keys, aliases)), *outs)

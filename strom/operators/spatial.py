@@ -59,13 +59,9 @@ def edge_cover(edges: DataFrame, buffer_m: float, size: float) -> DataFrame:
 
 
 def with_cells(points: DataFrame, size: float, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
-    """Points with metric position and cell; those without a position match nothing and are left out.
-
-    Position and cell are made columns that cannot be null: else a join on the cell would compute the projection again in a filter at the scan.
-    """
+    """Points with metric position and cell; those without a position match nothing and are left out."""
     points = with_utm32(points.where(F.col(latitude).isNotNull() & F.col(longitude).isNotNull()), latitude, longitude, "px", "py")
-    points = points.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in ("px", "py")})
-    return points.withColumns({c: F.coalesce(cell(F.col(p), size), F.lit(0).cast("bigint")) for c, p in (("cx", "px"), ("cy", "py"))})
+    return points.withColumns({"cx": cell(F.col("px"), size), "cy": cell(F.col("py"), size)})
 
 
 def cell_join(points: DataFrame, cover: DataFrame, cfg: Config) -> DataFrame:

@@ -47,9 +47,14 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="strom-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    # the setting is fixed once a session runs, so the folder is remembered here
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="strom-checkpoint-")
+    return _LOCAL_ROOTS[application]
+
+
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
