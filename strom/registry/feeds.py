@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strom.functions import text_de
 from strom.operators import quality as q
 from strom.operators import upsert
+from strom.operators.buckets import BucketTable
 from strom.plans import routes as R
 from strom.plans import staging
 from strom.plans import trips as trip_plans
@@ -379,6 +380,44 @@ REG.add("replace_children", _children, """
     from stg_point p left join state_pair using (station_id)""")
 
 
+# the same changes on tables kept in buckets, each in place and read back
+_SITE_FIELDS = "station_id string, operator string, city string, max_power_kw double"
+
+
+def _bucketed(t: Tables, name: str, rows: DataFrame, schema: str) -> BucketTable:
+    table = BucketTable(t.spark, folder(t, name), schema, ["station_id"], buckets=16)
+    table.upsert_all(rows)
+    return table
+
+
+def _bucket_upsert(t: Tables) -> DataFrame:
+    stored, incoming = _states(t)
+    sites = _bucketed(t, "sites", stored, _SITE_FIELDS)
+    sites.upsert_changed(incoming, ["operator", "max_power_kw"])
+    return sites.read()
+
+
+def _bucket_upsert_all(t: Tables) -> DataFrame:
+    stored, incoming = _states(t)
+    sites = _bucketed(t, "sites", stored, _SITE_FIELDS)
+    sites.upsert_all(incoming)
+    return sites.read()
+
+
+def _bucket_children(t: Tables) -> DataFrame:
+    stored, incoming = _states(t)
+    touched = _bucketed(t, "sites", stored, _SITE_FIELDS).upsert_changed(incoming, ["operator", "max_power_kw"])
+    points = stg_points(t).select("station_id", "charging_point_id", F.lit("old").alias("version"))
+    children = _bucketed(t, "points", points, "station_id string, charging_point_id string, version string")
+    children.replace_children(touched, points.withColumn("version", F.lit("new")))
+    return children.read()
+
+
+for _name, _build, _like in (("bucket_upsert", _bucket_upsert, "upsert_changed"), ("bucket_upsert_all", _bucket_upsert_all, "upsert_all"), ("bucket_children", _bucket_children, "replace_children")):
+    REG.add(_name, _build)
+    REG.oracles[_name] = REG.oracles[_like]
+
+
 def _closed(t: Tables):
     e = staging.traffic_events(t.traffic_events).select("traffic_event_id", "road_name", "ends_at", F.substring("traffic_event_id", 2, 20).cast("bigint").alias("n"))
     return upsert.close_vanished(e, e.where("n % 3 <> 0"), e.where("road_name <> 'A7'"), "traffic_event_id", "road_name", AT).drop("n")
