@@ -115,19 +115,24 @@ def fit(features: np.ndarray, labels: np.ndarray, languages: list[str], ridge: f
     return Model(languages, code, weights, bias, np.maximum(2 * right - 1, 0.05).astype(np.float32))
 
 
-def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang",
+def train(labelled: DataFrame, text_column: str = "text", label_column: str = "lang",
           per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
-    """Fits on some ``per_language`` rows of each language, ``most_rows`` in all, picked by a hash of the id; their texts are read whole."""
+    """Fits on about ``per_language`` different texts of each language, ``most_rows`` in all, picked by a hash of the text; they are read whole.
+
+    Ids play no part, so rows without one or with a repeated one are drawn like others, and copies of a text are fitted on once.
+    """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
-    counts = rows.groupBy(label_column).count().orderBy(label_column).limit(MOST_LANGUAGES + 1).collect()
+    rows = rows.select(F.col(label_column).alias("_lang"), F.col(text_column).alias("_text"), F.xxhash64(F.col(text_column), F.lit(11)).alias("_hash"))
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_hash")).orderBy("_lang").limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = [r[0] for r in counts]
     wanted = min(per_language, most_rows // max(1, len(languages)))
     spark, scale = labelled.sparkSession, 1 << 30
-    rates = spark.createDataFrame([(r[0], int(min(1.0, wanted / r[1]) * scale)) for r in counts], "_lang string, _rate long")
-    chosen = rows.join(F.broadcast(rates), F.col(label_column) == F.col("_lang")).where(F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit(11)), F.lit(scale)) < F.col("_rate"))
+    rates = spark.createDataFrame([(r[0], int(min(1.0, wanted / max(1, r[1])) * scale)) for r in counts], "_of string, _rate long")
+    chosen = rows.join(F.broadcast(rates), F.col("_lang") == F.col("_of")).where(F.pmod("_hash", F.lit(scale)) < F.col("_rate"))
+    chosen = chosen.groupBy("_lang", "_hash").agg(F.min("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +141,7 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 x = profiles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = sorted((r[0], bytes(r[1])) for r in map_arrow(chosen.select("_lang", text_column), run, "lang string, x binary").collect())
+    got = sorted((r[0], bytes(r[1])) for r in map_arrow(chosen.select("_lang", "_text"), run, "lang string, x binary").collect())
     number = {name: i for i, name in enumerate(languages)}
     x = np.frombuffer(b"".join(v for _, v in got), np.float16).reshape(-1, FEATURES).astype(np.float32)
     named = np.array([number[name] for name, _ in got], np.int64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strom.llm.components import connect
-from strom.llm.shared import SPACE_WORDS, Words, mix, salted_lookup, map_arrow, small_batches, utf8
+from strom.llm.shared import SPACE_WORDS, Words, mix, salted_lookup, map_arrow, small_batches, utf8, with_row_key
 from strom.session import cut_lineage
 
 REGISTERS = 120
@@ -342,3 +342,27 @@ def near_dedup(docs: DataFrame, width: int = 3, percent: int = 85, id_column: st
     out = joined.select("doc_id", "n", "component").unionByName(alone)
     return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                       F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def near_dedup_by_id(docs: DataFrame, width: int = 3, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """As ``near_dedup``, for ids that may repeat: every row's text is compared by itself, and rows of one id are one document.
+
+    So a document of several texts is linked with all that any of them is linked with, whatever the order of the rows. One row for each row of ``docs``;
+    rows without id stand alone, with a null component, and are kept.
+    """
+    rows = with_row_key(docs).select("_row", F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    named = rows.where("doc_id is not null")
+    found = near_dedup(named, width, percent, "_row", "text").select("_row", "n_shingles", F.col("component_id").alias("_part"))
+    found = cut_lineage(found.join(rows.select("_row", "doc_id"), "_row"))
+    # parts that share an id are one; most ids occur once and give no pair
+    firsts = found.groupBy("doc_id").agg(F.min("_part").alias("_first"), F.max("_part").alias("_last")).where("_first <> _last").select("doc_id", "_first")
+    shared = salted_lookup(found.select("_row", "doc_id", "_part"), firsts, ["doc_id"], F.col("_row"), how="inner")
+    links = cut_lineage(shared.where("_part <> _first").select(F.col("_first").alias("centre"), F.col("_part").alias("doc_id")).distinct())
+    merged = connect(links).select(F.col("doc_id").alias("_part"), F.col("component").alias("_whole"))
+    found = cut_lineage(found.join(merged, "_part", "left").withColumn("_whole", F.coalesce("_whole", "_part")))
+    least = found.groupBy("_whole").agg(F.min("doc_id").alias("component_id"))
+    out = salted_lookup(found, least, ["_whole"], F.col("_row"), how="inner").select("doc_id", "n_shingles", "component_id")
+    alone = sketch(rows.where("doc_id is null"), width, "_row", "text").select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    out = out.unionByName(alone)
+    return out.select(F.col("doc_id").alias(id_column), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

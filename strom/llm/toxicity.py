@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from strom.llm.shared import ALNUM_WORDS, Words, map_arrow, small_batches, utf8
 
-# labelled rows of each class that are fitted on, and terms that may take part
-PER_CLASS, MOST_TERMS = 3000, 2048
+# labelled rows of each class that are fitted on; terms that may take part as they tell alone, and terms tried in pairs
+PER_CLASS, MOST_TERMS, PAIRED_TERMS = 3000, 2048, 2048
+_SLOTS = MOST_TERMS + PAIRED_TERMS
 _HASH_BITS, _FACTORS = 40, 8
 
 
@@ -42,8 +43,8 @@ class Model:
         terms, text = terms[maybe], text[maybe]
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         hit = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
-        pairs = np.unique(text[hit] * MOST_TERMS + at[hit])
-        return pairs // MOST_TERMS, pairs % MOST_TERMS
+        pairs = np.unique(text[hit] * _SLOTS + at[hit])
+        return pairs // _SLOTS, pairs % _SLOTS
 
     def scores(self, n: int, text: np.ndarray, term: np.ndarray) -> np.ndarray:
         linear = np.bincount(text, self.weights[term], n)
@@ -52,18 +53,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + ((sums**2).sum(axis=1) - own) / 2, -40, 40)))
 
 
-def _telling_terms(rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 3, least_g: float = 12.0) -> np.ndarray:
-    """Terms whose presence depends on the label, by the likelihood ratio statistic; the strongest ``MOST_TERMS``."""
+def _likelihood_ratio(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How far the labels of the texts with something are from those of all: ``seen`` and ``total`` by label in the last axis."""
+    expected = seen.sum(axis=-1, keepdims=True) * total / max(total.sum(), 1)
+    unseen, unexpected = total - seen, total - expected
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(seen > 0, seen * np.log(seen / expected), 0) + np.where(unseen > 0, unseen * np.log(unseen / unexpected), 0)).sum(axis=-1)
+
+
+def _telling_terms(rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 3, least_g: float = 12.0, pair_rows: int = 20, pair_g: float = 45.0) -> np.ndarray:
+    """Terms that depend on the label alone, the strongest ``MOST_TERMS``, and terms that only do so beside another one.
+
+    The latter are looked for among the ``PAIRED_TERMS`` most frequent of all others, all of their pairs at once: a pair counts if the
+    texts that hold both are far from the labels of all. The threshold is beyond what chance gives among that many pairs.
+    """
     terms, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *rows]), return_inverse=True)
     of = np.repeat(labels, [len(r) for r in rows])
     seen = np.stack([np.bincount(inverse[of == c], minlength=len(terms)) for c in (0, 1)], axis=1).astype(float)
     total = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    expected = seen.sum(axis=1, keepdims=True) * total / max(total.sum(), 1)
-    unseen, unexpected = total - seen, total - expected
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(seen > 0, seen * np.log(seen / expected), 0) + np.where(unseen > 0, unseen * np.log(unseen / unexpected), 0)).sum(axis=1)
-    good = np.flatnonzero((seen.sum(axis=1) >= least_rows) & (g >= least_g))
-    return np.sort(terms[good[np.argsort(-g[good], kind="stable")][:MOST_TERMS]])
+    g, often = _likelihood_ratio(seen, total), seen.sum(axis=1)
+    good = np.flatnonzero((often >= least_rows) & (g >= least_g))
+    alone = good[np.argsort(-g[good], kind="stable")][:MOST_TERMS]
+    rest = np.flatnonzero(often >= pair_rows)
+    rest = np.setdiff1d(rest, good)
+    rest = np.sort(rest[np.argsort(-often[rest], kind="stable")][:PAIRED_TERMS])
+    if len(rest) < 2:
+        return np.sort(terms[alone])
+    place = np.full(len(terms), -1)
+    place[rest] = np.arange(len(rest))
+    text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    x = np.zeros((len(rows), len(rest)), np.float32)
+    x[text[place[inverse] >= 0], place[inverse][place[inverse] >= 0]] = 1
+    both = [x[labels == c].T @ x[labels == c] for c in (0, 1)]
+    telling = np.zeros(len(rest), bool)
+    for low in range(0, len(rest), 256):
+        together = np.stack([b[low : low + 256] for b in both], axis=-1).astype(float)
+        far = (_likelihood_ratio(together, total) >= pair_g) & (together.sum(axis=-1) >= pair_rows)
+        far[np.arange(far.shape[0]), low + np.arange(far.shape[0])] = False
+        telling[low : low + 256] |= far.any(axis=1)
+    return np.sort(terms[np.concatenate([alone, rest[telling]])])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float = 1e-5, seed: int = 3) -> Model:
@@ -120,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["id", "label", "terms"])
 
     kind = dict(known.dtypes)["_id"]
-    got = sorted((str(r[0]), r[1], bytes(r[2])) for r in map_arrow(rows, run, f"id {kind}, label int, terms binary").collect())
+    # of the texts of a repeated id one is fitted on, so the rows are bounded like the ids
+    one = map_arrow(rows, run, f"id {kind}, label int, terms binary").groupBy("id", "label").agg(F.min("terms").alias("terms"))
+    got = sorted((str(r[0]), r[1], bytes(r[2])) for r in one.collect())
     label = np.array([g[1] for g in got], np.int64)
     picked_of = np.bincount(label, minlength=2) if len(label) else np.ones(2)
     weight = np.array([counts.get(c, 0) / max(1, picked_of[c]) for c in (0, 1)])[label] if len(label) else np.zeros(0)
