@@ -80,7 +80,9 @@ def edge_matches(
     """Every (point, edge) pair within the buffer, with distance and offset along the line."""
     size = max(cell_m or buffer_m, 1.0)
     slim = edges.drop("lat0", "lon0", "lat1", "lon1")
-    pairs = cell_join(with_cells(points, size), edge_cover(slim, buffer_m, size), cfg)
+    # points are written with position and cell: a join on the cell would compute the projection again in a filter at the scan, and
+    # projection, join and distance in one stage make code too large to be compiled well
+    pairs = cell_join(cut_lineage(with_cells(points, size)), edge_cover(slim, buffer_m, size), cfg)
     run, rise = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     along = ((F.col("px") - F.col("x0")) * run + (F.col("py") - F.col("y0")) * rise) / F.greatest(F.col("edge_m"), F.lit(1e-9))
     pairs = pairs.withColumn("_along_m", F.greatest(F.lit(0.0), F.least(F.col("edge_m"), along)))
