@@ -57,13 +57,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes an intermediate to the shared folder and reads it back.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """Writes an intermediate to the shared folder, with the writer's ``options``, and reads it back.
 
     Everything behind it drops out of later plans, and losing executors costs no recomputation.
     """
     path = f"{checkpoint_root(df.sparkSession)}/strom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
