@@ -11,13 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strom.llm.shared import ALNUM_WORDS, Words, blocks, map_arrow, small_batches, utf8
+from strom.operators.sizes import salted_join
 from strom.session import cut_lineage
 
 INDEX_SQL = "n_words bigint, doc_ids binary, doc_first binary, terms binary, first binary, positions binary"
 MATCH_SQL = "shard bigint, place bigint, doc_id bigint, item_id string, kind string, start bigint, stop bigint"
 _SHARD_BYTES = 2 << 20
-# words of benchmark items that one pass over the index carries along (12 bytes each); more items make more passes
+# words of benchmark items that meet a shard at once (8 bytes each on the way there); more items make more blocks
 BLOCK_WORDS = 500_000
+# blocks of more words than this in all are not broadcast
+_BROADCAST_WORDS = 8_000_000
+# blocks that a worker keeps open, and postings it looks around at once
+_OPEN_BLOCKS, _NEAR_POSTINGS = 4, 1 << 20
+# a row of the index is megabytes: the writer looks at its size after every row, and a reader takes up few rows at once
+_INDEX_FILES = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -38,7 +45,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             for low, high in blocks(offsets, _SHARD_BYTES):
                 yield _shard(ids.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
 
-    return cut_lineage(map_arrow(rows, run, INDEX_SQL).withColumn("shard", F.monotonically_increasing_id()))
+    return cut_lineage(map_arrow(rows, run, INDEX_SQL).withColumn("shard", F.monotonically_increasing_id()), **_INDEX_FILES)
 
 
 def _shard(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -89,14 +96,17 @@ class Shard:
 
 @dataclass
 class Phrases:
-    """Benchmark windows of one block: ``window`` words of an item, or all of a shorter one."""
+    """Benchmark items of one block: windows of ``window`` words, or all of a shorter item, and each one's rarest terms."""
 
     items: list
     item: np.ndarray  # of each window
     terms: np.ndarray  # distinct terms
     words: np.ndarray  # of all items, as numbers of terms
+    sizes: np.ndarray  # words of each item
     start: np.ndarray  # of each window in words
     length: np.ndarray
+    near_item: np.ndarray  # items with enough terms in the index
+    near_terms: np.ndarray  # their rarest terms, one row each, the rarest first
 
     @classmethod
     def of(cls, ids: list, hashes: list[np.ndarray], window: int) -> "Phrases":
@@ -106,7 +116,19 @@ class Phrases:
         item = np.repeat(np.arange(len(ids)), windows)
         inside = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
         start = np.repeat(np.cumsum(sizes) - sizes, windows) + inside
-        return cls(ids, item, terms, words.reshape(-1), start, np.minimum(sizes[item], window))
+        none = np.zeros(0, np.int64)
+        return cls(ids, item, terms, words.reshape(-1), sizes, start, np.minimum(sizes[item], window), none, none.reshape(0, 1))
+
+    def choose(self, postings: np.ndarray, rare: int) -> None:
+        """Sets each item's ``rare`` terms of the fewest ``postings``, of equal ones those that come first in the item."""
+        owner = np.repeat(np.arange(len(self.items)), self.sizes)
+        _, first = np.unique(owner * len(self.terms) + self.words, return_index=True)
+        first = first[postings[self.words[first]] > 0]
+        first = first[np.lexsort((first, postings[self.words[first]], owner[first]))]
+        held = np.bincount(owner[first], minlength=len(self.items))
+        begin = np.cumsum(held) - held
+        self.near_item = np.flatnonzero(held >= rare)
+        self.near_terms = self.words[first[begin[self.near_item][:, None] + np.arange(rare)]] if len(self.near_item) else np.zeros((0, rare), np.int64)
 
 
 def _phrase_matches(shard: Shard, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -142,37 +164,43 @@ def _phrase_matches(shard: Shard, phrases: Phrases) -> tuple[np.ndarray, np.ndar
     return window, position
 
 
-def _near_matches(shard: Shard, phrases: Phrases, rare: int, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, first, last position) where the item's ``rare`` rarest terms lie within ``slop`` words of each other's rarest one."""
-    number = shard.lookup(phrases.terms)
-    ends = np.append(shard.first, shard.first[-1:])
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    cuts = np.searchsorted(phrases.item, np.arange(len(phrases.items) + 1))
-    for item in range(len(phrases.items)):
-        if cuts[item] == cuts[item + 1]:
-            continue
-        last = cuts[item + 1] - 1
-        own = np.unique(phrases.words[phrases.start[cuts[item]] : phrases.start[last] + phrases.length[last]])
-        own = number[own]
-        if len(own) < rare or (own < 0).any():
-            continue
-        own = own[np.argsort(ends[own + 1] - ends[own], kind="stable")][:rare]
-        base = shard.positions[shard.first[own[0]] : shard.first[own[0] + 1]].astype(np.int64)
-        low, high = base.copy(), base.copy()
-        document = np.searchsorted(shard.doc_first, base, "right")
-        for term in own[1:]:
-            others = shard.positions[shard.first[term] : shard.first[term + 1]].astype(np.int64)
-            at = np.searchsorted(others, base)
-            before, after = others[np.maximum(at - 1, 0)], others[np.minimum(at, len(others) - 1)]
-            nearest = np.where(np.abs(before - base) <= np.abs(after - base), before, after)
-            good = (np.abs(nearest - base) <= slop) & (np.searchsorted(shard.doc_first, nearest, "right") == document)
-            base, low, high, document, nearest = base[good], low[good], high[good], document[good], nearest[good]
-            low, high = np.minimum(low, nearest), np.maximum(high, nearest)
-        if len(base):
-            out.append((item, low, high))
-    if not out:
+def _near_matches(shard: Shard, phrases: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first, last position) around each posting of an item's rarest term that has all its other rare terms within ``slop`` words.
+
+    Of each other term the nearest posting in the same document is looked up, the earlier of two equally near ones.
+    """
+    number = shard.lookup(phrases.terms)[phrases.near_terms]
+    here = np.flatnonzero((number >= 0).all(axis=1))
+    if not len(here):
         return (np.zeros(0, np.int64),) * 3
-    return np.concatenate([np.full(len(low), i) for i, low, _ in out]), np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out])
+    number, items = number[here], phrases.near_item[here]
+    needed = np.unique(number)
+    positions, owner = shard.lists(needed)
+    keys = (owner << 40) + positions
+    sizes = shard.first[number[:, 0] + 1] - shard.first[number[:, 0]]
+    part = (np.cumsum(sizes) - sizes) // _NEAR_POSTINGS
+    found = []
+    for low in np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))):
+        rows = np.arange(low, np.searchsorted(part, part[low], "right"))
+        base, row = shard.lists(number[rows, 0])
+        row = rows[row]
+        span = [base, base]
+        for step in range(1, number.shape[1]):
+            term = np.searchsorted(needed, number[row, step])
+            document = np.searchsorted(shard.doc_first, base, "right")
+            after = np.searchsorted(keys, (term << 40) + base)
+            gap, nearest = np.full(len(base), slop + 1), base
+            for at in (after - 1, after):
+                inside = np.clip(at, 0, len(keys) - 1)
+                there = positions[inside]
+                closer = (inside == at) & (owner[inside] == term) & (np.abs(there - base) < gap)
+                closer &= np.searchsorted(shard.doc_first, there, "right") == document
+                gap, nearest = np.where(closer, np.abs(there - base), gap), np.where(closer, there, nearest)
+            good = gap <= slop
+            span = [np.minimum(span[0], nearest)[good], np.maximum(span[1], nearest)[good]]
+            base, row = base[good], row[good]
+        found.append((items[row], *span))
+    return tuple(np.concatenate(column) for column in zip(*found))
 
 
 def _merged(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,10 +215,11 @@ def _merged(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.
     return group[at], start[at], np.maximum.reduceat(stop, at)
 
 
-def _search(shard: Shard, phrases: Phrases, rare: int, slop: int) -> list[pa.Array]:
+def _search(shard: Shard, phrases: Phrases, slop: int) -> list[pa.Array]:
     window, position = _phrase_matches(shard, phrases)
     item, start, stop = _merged(phrases.item[window], position, position + phrases.length[window])
-    near, low, high = _merged(*(lambda i, a, b: (i, a, b + 1))(*_near_matches(shard, phrases, rare, slop))) if rare else (np.zeros(0, np.int64),) * 3
+    near, low, high = _near_matches(shard, phrases, slop)
+    near, low, high = _merged(near, low, high + 1)
     items, starts, stops = np.concatenate((item, near)), np.concatenate((start, low)), np.concatenate((stop, high))
     document = np.searchsorted(shard.doc_first, starts, "right") - 1
     ids = shard.doc_ids[document]
@@ -201,49 +230,113 @@ def _search(shard: Shard, phrases: Phrases, rare: int, slop: int) -> list[pa.Arr
     ]
 
 
-def _item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Phrases]:
-    ids, hashes, held = [], [], 0
-    for row in benchmark.toLocalIterator():
-        if row[0] is None or not row[1]:
-            continue
-        data = np.frombuffer(row[1].encode(), np.uint8)
-        found = Words(data, np.array([0, len(data)]), ALNUM_WORDS).hashes
-        if not len(found):
-            continue
-        ids.append(row[0])
-        hashes.append(found)
-        held += len(found)
-        if held >= block_words:
-            yield Phrases.of(ids, hashes, window)
-            ids, hashes, held = [], [], 0
-    if ids:
-        yield Phrases.of(ids, hashes, window)
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """Items with words, hashed and dealt into blocks of about ``block_words`` words, one row per block, written to the shared folder.
+
+    Equal items of one id are one. An item longer than a block makes its block longer. Only the number of all words comes to the driver.
+    """
+    small_batches(benchmark.sparkSession)
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text")).where("item is not null and text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words(*utf8(batch.column(1)), ALNUM_WORDS)
+            each = [words.hashes[low:high].tobytes() for low, high in zip(words.first[:-1], words.first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.binary()), pa.array(np.diff(words.first), pa.int64())], names=["item", "words", "n"])
+
+    hashed = cut_lineage(map_arrow(items, run, "item string, words binary, n bigint").where("n > 0").distinct())
+    n_blocks = -(-(hashed.agg(F.sum("n")).first()[0] or 0) // block_words)
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(max(1, n_blocks)))
+    held = hashed.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item", "words")).alias("_held"), F.sum("n").alias("n"))
+    return cut_lineage(held.select("block", F.col("_held.item").alias("items"), F.col("_held.words").alias("words"), "n"))
+
+
+def _beside_blocks(index: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every shard beside every block: the blocks are broadcast if they are few words, else each one's shards are dealt over many tasks."""
+    last, words = blocks.agg(F.max("block"), F.sum("n")).first()
+    shards = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(-1 if last is None else last).cast("bigint"))))
+    if last is None:
+        shards = shards.where(F.lit(False))
+    blocks = blocks.drop("n")
+    if (words or 0) <= _BROADCAST_WORDS:
+        return shards.join(F.broadcast(blocks), "block")
+    return salted_join(shards, blocks, ["block"], F.col("shard"), 64)
+
+
+def _open(ids: pa.Scalar, words: pa.Scalar, window: int) -> Phrases:
+    return Phrases.of(ids.as_py(), [np.frombuffer(w.as_buffer(), np.uint64) for w in words], window)
+
+
+def _postings(index: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per block which of its terms the whole index holds, and how many postings of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms: dict[int, np.ndarray] = {}
+        counts: dict[int, np.ndarray] = {}
+
+        def close(block: int) -> pa.RecordBatch:
+            count = counts.pop(block)
+            term = np.flatnonzero(count)
+            del terms[block]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(term), block), pa.int64()), pa.array(term, pa.int64()), pa.array(count[term], pa.int64())], names=["block", "term", "postings"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held, first, block = (batch.column(name)[row] for name in ("terms", "first", "block"))
+                block = block.as_py()
+                if block not in counts:
+                    if len(counts) >= _OPEN_BLOCKS:
+                        yield close(next(iter(counts)))
+                    terms[block] = np.unique(np.frombuffer(b"".join(batch.column("words")[row].as_py()), np.uint64))
+                    counts[block] = np.zeros(len(terms[block]), np.int64)
+                held, first = np.frombuffer(held.as_buffer(), np.uint64), np.frombuffer(first.as_buffer(), np.int64)
+                _, here, there = np.intersect1d(terms[block], held, assume_unique=True, return_indices=True)
+                counts[block][here] += first[there + 1] - first[there]
+        for block in list(counts):
+            yield close(block)
+
+    each = map_arrow(_beside_blocks(index.select("terms", "first", "shard"), blocks), run, "block bigint, term bigint, postings bigint")
+    summed = each.groupBy("block", "term").agg(F.sum("postings").alias("postings"))
+    held = summed.groupBy("block").agg(F.collect_list(F.struct("term", "postings")).alias("_held"))
+    return held.select("block", F.col("_held.term").alias("term"), F.col("_held.postings").alias("postings"))
 
 
 def search_index(index: DataFrame, benchmark: DataFrame, window: int = 13, rare: int = 0, slop: int = 40, block_words: int = BLOCK_WORDS,
                  item_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """Exact phrase matches, and with ``rare`` > 0 proximity matches, of all items in the index.
 
-    Rows: shard and place (of the document in it), doc_id, item_id (as text), kind (phrase or near), start and stop in words of the document; overlapping windows of one item
-    are one row. Items go through in blocks of ``block_words`` words, which bounds what a task carries; each block is one
-    pass over the index. An item longer than a block is a block by itself. Null items and items without words match nothing.
+    Rows: shard and place (of the document in it), doc_id, item_id (as text), kind (phrase or near), start and stop in words of the document; overlapping
+    windows of one item are one row. A proximity match is a place where the item's ``rare`` rarest terms stand together: all others within ``slop`` words
+    of the rarest, in one document. Rarest are those of the fewest postings in the whole index, of equal ones those that come first in the item; terms
+    without postings do not count, and an item with fewer than ``rare`` others has no proximity matches. How documents are dealt into shards
+    and items into blocks changes nothing. Null items and items without words match nothing; texts that share an id count for it together.
     """
-    spark = index.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col(item_column).cast("string"), F.col(text_column))
-    found = None
-    for phrases in _item_blocks(items, window, block_words):
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    shard = Shard(batch.column(0)[row].as_py(), *(batch.column(i)[row].as_buffer() for i in range(1, 6)))
-                    found = _search(shard, phrases, rare, slop)
-                    number = pa.array(np.full(len(found[0]), batch.column(6)[row].as_py()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([number, *found], names=[c.split()[0] for c in MATCH_SQL.split(", ")])
-
-        part = map_arrow(index.select(*[c.split()[0] for c in INDEX_SQL.split(", ")], "shard"), run, MATCH_SQL)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], MATCH_SQL)
+    small_batches(index.sparkSession)
+    items = item_blocks(benchmark, block_words, item_column, text_column)
+    if rare:
+        items = cut_lineage(items.join(_postings(index, items), "block", "left"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[int, Phrases] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = {name: batch.column(name)[row] for name in batch.schema.names}
+                block = at["block"].as_py()
+                if block not in opened:
+                    if len(opened) >= _OPEN_BLOCKS:
+                        del opened[next(iter(opened))]
+                    opened[block] = _open(at["items"], at["words"], window)
+                    if rare and at["term"].is_valid:
+                        postings = np.zeros(len(opened[block].terms), np.int64)
+                        postings[at["term"].values.to_numpy()] = at["postings"].values.to_numpy()
+                        opened[block].choose(postings, rare)
+                shard = Shard(at["n_words"].as_py(), *(at[name].as_buffer() for name in names[1:]))
+                found = _search(shard, opened[block], slop)
+                number = pa.array(np.full(len(found[0]), at["shard"].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([number, *found], names=[c.split()[0] for c in MATCH_SQL.split(", ")])
+
+    names = [c.split()[0] for c in INDEX_SQL.split(", ")]
+    return map_arrow(_beside_blocks(index.select(*names, "shard"), items), run, MATCH_SQL)
 
 
 def _lengths(index: DataFrame) -> DataFrame:
@@ -272,21 +365,27 @@ def _covered(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), start, step, lambda s: s["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_share: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_share: int = 20, rare: int = 0, slop: int = 40,
+                  id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document how many of its words lie in passages of the benchmark and which items these are of.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. Contaminated: ``least_share`` times the words
-    hit are at least all words. Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Null and empty texts have no
+    hit are at least all words. Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with ``rare`` > 0 also n_near and near_sha256,
+    the items whose ``rare`` rarest terms stand together (see ``search_index``); they do not decide. Null and empty texts have no
     words. Every row is judged by itself, also one without id or with an id that others have; other columns are not
     read. An empty benchmark hits nothing.
     """
     index = build_index(docs, id_column, text_column)
-    matches = search_index(index, benchmark, window)
+    matches = search_index(index, benchmark, window, rare, slop)
+    phrase, near = F.col("kind") == "phrase", F.col("kind") == "near"
     hits = matches.groupBy("shard", "place").agg(
-        F.collect_list(F.struct("start", "stop")).alias("_ranges"), F.array_sort(F.collect_set("item_id")).alias("_items"))
-    hits = hits.select("shard", "place", _covered(F.col("_ranges")).alias("_hit"), F.size("_items").cast("bigint").alias("_n"), F.array_join("_items", ",").alias("_ids"))
-    rows = _lengths(index).join(hits, ["shard", "place"], "left")
+        F.collect_list(F.when(phrase, F.struct("start", "stop"))).alias("_ranges"), *(
+            F.array_sort(F.collect_set(F.when(kind, F.col("item_id")))).alias(name) for kind, name in ((phrase, "_items"), (near, "_near"))))
+    rows = _lengths(index).join(hits.select("shard", "place", _covered(F.col("_ranges")).alias("_hit"), "_items", "_near"), ["shard", "place"], "left")
     n_hit = F.coalesce("_hit", F.lit(0).cast("bigint"))
+    more = [("n_near", "near_sha256", "_near")] if rare else []
+    listed = [(F.coalesce(F.size(ids), F.lit(0)).cast("bigint").alias(count), F.sha2(F.coalesce(F.array_join(ids, ","), F.lit("")), 256).alias(digest))
+              for count, digest, ids in [("n_items", "items_sha256", "_items"), *more]]
     return rows.select(
-        F.col("doc_id").alias(id_column), "n_words", n_hit.alias("n_hit"), F.coalesce("_n", F.lit(0).cast("bigint")).alias("n_items"),
-        F.sha2(F.coalesce("_ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * least_share >= F.col("n_words"))).alias("contaminated"))
+        F.col("doc_id").alias(id_column), "n_words", n_hit.alias("n_hit"), *listed[0],
+        ((n_hit > 0) & (n_hit * least_share >= F.col("n_words"))).alias("contaminated"), *(c for pair in listed[1:] for c in pair))

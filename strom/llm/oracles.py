@@ -85,10 +85,24 @@ dw as materialized (
   from (select doc_id, w, unnest(generate_series(1, len(w))) as i from d where len(w) > 0), lengths where i + n - 1 <= len(w)),
 m as materialized (select doc_id, item_id, i, dw.n from dw join bw on dw.phrase = bw.phrase and dw.n = bw.n),
 hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from m) group by doc_id),
-items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from m) group by doc_id)
+items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from m) group by doc_id),
+terms as (select item_id, t, min(i) as first from (select item_id, unnest(w) as t, unnest(generate_series(1, len(w))) as i from b) group by item_id, t),
+postings as materialized (
+  select doc_id, t, i from (select doc_id, unnest(w) as t, unnest(generate_series(1, len(w))) as i from d) where t in (select t from terms)),
+ranked as (
+  select item_id, t, row_number() over (partition by item_id order by n, first) as k
+  from terms join (select t, count(*) as n from postings group by t) using (t)),
+rare as materialized (select item_id, t, k from ranked where k <= 4),
+together as (
+  select p.doc_id, r.item_id, p.i
+  from rare r join postings p on p.t = r.t join rare o on o.item_id = r.item_id and o.k > 1
+  join postings q on q.t = o.t and q.doc_id = p.doc_id and q.i between p.i - 40 and p.i + 40
+  where r.k = 1 group by p.doc_id, r.item_id, p.i having count(distinct o.k) = 3),
+near as (select doc_id, count(*) as n_near, string_agg(item_id, ',' order by item_id) as near_ids from (select distinct doc_id, item_id::varchar as item_id from together) group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join hit using (doc_id) left join items using (doc_id)"""
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+       coalesce(n_near, 0)::bigint as n_near, sha256(coalesce(near_ids, '')) as near_sha256
+from d left join hit using (doc_id) left join items using (doc_id) left join near using (doc_id)"""
 
 
 def _quoted(text: str) -> str:

@@ -58,7 +58,7 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     items = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text")
-    return decontaminate.contamination(documents(spark, folder, "doc_id", "text"), items)
+    return decontaminate.contamination(documents(spark, folder, "doc_id", "text"), items, rare=4)
 
 
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
