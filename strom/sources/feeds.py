@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strom.functions import text_de
+from strom.session import cut_lineage
+from strom.sources.records import read_records
 
 # fixed values: column names of the register
 REGISTER_COLUMNS = (
@@ -48,13 +50,13 @@ def read_register_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """Register rows by column name, and per file how many rows were too short. As many columns are read as the header has.
 
     The header is found by its first cell, whatever precedes it; columns are then taken by name, so their
-    order may differ between editions. Cells may hold line breaks, hence whole-file parsing: one task
-    per edition file.
+    order may differ between editions. Cells may hold line breaks; an edition is still read by many tasks (``records.read_records``).
     """
     names = [f"c{i}" for i in range(_register_width(spark, path))]
     schema = ", ".join(f"{n} string" for n in names)
-    raw = spark.read.schema(schema).csv(path, sep=";", multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8")
-    raw = raw.select(F.input_file_name().alias(_FILE), F.monotonically_increasing_id().alias(_AT), F.array(*names).alias("cells"))
+    parsed = F.from_csv("record", schema, {"sep": ";", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+    raw = read_records(spark, path).select(_FILE, _AT, parsed.alias("_c"))
+    raw = cut_lineage(raw.select(_FILE, _AT, F.array(*(F.col(f"_c.{n}") for n in names)).alias("cells")))
     first = F.replace(F.coalesce(F.col("cells")[0], F.lit("")), F.lit("﻿"), F.lit(""))
     headers = raw.where(first == REGISTER_COLUMNS[0]).groupBy(_FILE).agg(F.min_by("cells", _AT).alias("header"), F.min(_AT).alias("_header_at"))
     rows = raw.join(headers, _FILE).where(F.col(_AT) > F.col("_header_at"))
