@@ -265,23 +265,41 @@ REG.add("read_station_catalogue", _catalogue, """
            case s_suppkey % 4 when 0 then 'HE' when 1 then 'BW' when 2 then 'ST' end as bundesland from supplier""")
 
 
-def _traffic_json(t: Tables):
+def _traffic_json(t: Tables) -> DataFrame:
+    """Items of all services on seven roads, a thousand orders per document; every 40th has no place."""
     item = F.struct(
-        F.concat(F.lit("X"), F.col("o_orderkey").cast("string")).alias("identifier"), F.expr("case when o_orderkey % 3 = 0 then 'true' else 'false' end").alias("isBlocked"),
-        F.expr("case when o_orderkey % 4 = 1 then '49.5,8.25' end").alias("point"), F.lit("SHORT_TERM_ROADWORKS").alias("display_type"), F.lit(" Titel ").alias("title"),
-        F.expr("""case when o_orderkey % 2 = 0 then date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss'Z'") end""").alias("startTimestamp"), F.lit("12").alias("delayTimeValue"),
-        F.expr("case when o_orderkey % 4 = 0 then named_struct('lat', 50.5D, 'long', 9.5D) end").alias("coordinate"), F.array(F.lit("Text")).alias("description"),
-        F.expr("named_struct('symbols', case when o_orderkey % 6 = 0 then array('CLOSED') else array('LANE') end)").alias("impact"),
-        F.expr("named_struct('type', 'LineString', 'coordinates', array(array(10.25D, 51.75D), array(11D, 52D)))").alias("geometry"))
-    documents = t.orders.select(F.floor(F.col("o_orderkey") / 1000).alias("part"), item.alias("i")).groupBy("part").agg(
-        F.to_json(F.struct(F.collect_list("i").alias("roadworks"))).alias("value"))  # a thousand items per document
-    return feeds.read_traffic_json(t.spark, _lines(t, documents, "traffic"), "roadworks", multi_line=False)
-
-
-REG.add("read_traffic_json", _traffic_json, """
-    select 'X' || o_orderkey as external_id, 'roadworks' as event_type, case when o_orderkey % 6 = 0 then 'high' else 'low' end as severity, 'Titel' as title,
+        F.concat(F.lit("X"), F.col("o_orderkey").cast("string")).alias("identifier"), F.lit("true").alias("isBlocked"),
+        F.expr("case when o_orderkey % 4 = 1 then '49.5,8.25' end").alias("point"), F.lit("SHORT_TERM_ROADWORKS").alias("display_type"),
+        F.expr("case when o_orderkey % 9 = 0 then '  ' else ' Titel ' end").alias("title"), F.lit(" A - B").alias("subtitle"),
+        F.expr("""case when o_orderkey % 2 = 0 then date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss'Z'") end""").alias("startTimestamp"),
+        F.expr("case when o_orderkey % 8 = 1 then '-1' else '12' end").alias("delayTimeValue"),
+        F.expr("case when o_orderkey % 4 = 0 then named_struct('lat', if(o_orderkey % 40 = 0, 95D, 50.5D), 'long', 9.5D) end").alias("coordinate"),
+        F.array(F.lit("Text "), F.lit(None).cast("string"), F.lit("Ende ")).alias("description"), F.expr("case when o_orderkey % 5 = 0 then 'queuing_traffic' end").alias("abnormalTrafficType"),
+        F.expr("named_struct('symbols', case when o_orderkey % 6 = 0 then array('CLOSED', null) else array('LANE') end)").alias("impact"),
+        F.expr("named_struct('type', 'LineString', 'coordinates', array(array(10.25D, 51.75D), array(200D, 52D), array(11D, 52D)))").alias("geometry"))
+    service = F.expr(cases("o_orderkey", list(feeds.TRAFFIC_SERVICES)))
+    road = F.concat(F.lit("A"), (F.col("o_orderkey") % 7).cast("string"))
+    items = t.orders.select(F.floor(F.col("o_orderkey") / 1000).alias("part"), service.alias("service"), road.alias("road"), item.alias("i"))
+    documents = items.groupBy("part", "service", "road").agg(F.collect_list("i").alias("i"))
+    value = F.to_json(F.struct(*(F.when(F.col("service") == name, F.col("i")).alias(name) for name in feeds.TRAFFIC_SERVICES)))
+    path = folder(t, "traffic")
+    documents.select("road", "service", value.alias("value")).repartition("road", "service").write.partitionBy("road", "service").text(path)
+    events = feeds.read_traffic_json(t.spark, path, multi_line=False)
+    return events.withColumns({"geometry": F.to_json("geometry"), "raw": F.get_json_object("raw", "$.identifier"), "raw_keys": F.array_join(F.json_object_keys("raw"), ",")})
+
+
+REG.add("read_traffic_json", _traffic_json, f"""
+    select 'X' || o_orderkey as external_id, case when s = 'warning' and o_orderkey % 5 = 0 then 'congestion' else s end as event_type,
+           case when o_orderkey % 5 = 0 then 'high' when s = 'closure' then 'high' when s = 'roadworks' and o_orderkey % 6 = 0 then 'high' else 'low' end as severity,
+           road as road_name, 'A - B' as direction, case when o_orderkey % 9 = 0 then road || ' ' || s else 'Titel' end as title, 'Text ' || chr(10) || 'Ende' as description,
            case o_orderkey % 4 when 0 then 50.5 when 1 then 49.5 else 51.75 end::double as latitude, case o_orderkey % 4 when 0 then 9.5 when 1 then 8.25 else 10.25 end::double as longitude,
-           case when o_orderkey % 2 = 0 then o_orderdate end as starts_at, null::timestamp as ends_at, o_orderkey % 3 = 0 as is_blocked, 12::double as delay_minutes from orders""")
+           '[{{"latitude":51.75,"longitude":10.25}},{{"latitude":52.0,"longitude":11.0}}]' as geometry,
+           case when o_orderkey % 2 = 0 then o_orderdate end as starts_at, null::timestamp as ends_at, o_orderkey % 6 = 0 as is_blocked,
+           case when o_orderkey % 8 <> 1 then 12::double end as delay_minutes, 'X' || o_orderkey as raw,
+           case when o_orderkey % 5 = 0 then 'abnormalTrafficType,' else '' end || case when o_orderkey % 4 = 0 then 'coordinate,' else '' end
+             || 'delayTimeValue,description,display_type,identifier,impact,' || case when o_orderkey % 4 = 1 then 'point,' else '' end
+             || case when o_orderkey % 2 = 0 then 'startTimestamp,' else '' end || 'subtitle,title' as raw_keys
+    from (select *, {cases('o_orderkey', ['roadworks', 'closure', 'warning'])} as s, 'A' || (o_orderkey % 7) as road from orders) where o_orderkey % 40 <> 0""")
 
 
 def _route_json(t: Tables):

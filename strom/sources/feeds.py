@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,11 +23,8 @@ REQUIRED_COLUMNS = (
 )
 EDITION_PATTERN = r"Letzte\s+Aktualisierung\s+vom:\s*(\d{2})\.(\d{2})\.(\d{4})"
 TRAFFIC_SERVICES = ("roadworks", "closure", "warning")
-TRAFFIC_ITEM = (
-    "struct<identifier:string,isBlocked:string,future:boolean,point:string,display_type:string,subtitle:string,title:string,"
-    "startTimestamp:string,delayTimeValue:string,abnormalTrafficType:string,coordinate:struct<lat:double,long:double>,"
-    "description:array<string>,impact:struct<symbols:array<string>>,geometry:struct<type:string,coordinates:array<array<double>>>>"
-)
+# fixed values: keys of an item that are not kept as raw
+TRAFFIC_DROPPED_KEYS = ("footer", "geometry", "icon", "isBlocked", "lorryParkingFeatureIcons", "routeRecommendation")
 ROUTE_RESPONSE = (
     "geometry struct<coordinates:array<array<double>>>, distance double, duration double, "
     "legs array<struct<steps:array<struct<ref:string,name:string,distance:double,duration:double>>>>, route_id string"
@@ -146,20 +143,70 @@ def read_station_catalogue(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_traffic_json(spark: SparkSession, path: str, service: str, multi_line: bool = True) -> DataFrame:
-    """Typed events of one service from ``{service: [item, ...]}`` documents."""
-    documents = spark.read.schema(f"{service} array<{TRAFFIC_ITEM}>").json(path, multiLine=multi_line)
-    items = documents.select(F.explode(service).alias("i")).select("i.*")
-    body = F.array_join("description", "\n")
-    starts, ends = text_de.extract_validity(body)
-    lat, lon = text_de.event_coordinate()
-    symbols, which = F.coalesce("impact.symbols", F.array().cast("array<string>")), F.lit(service)
+def _kind_at(value: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def _text_at(value: Column, path: str) -> Column:
+    """Stripped text of a variant; null if it is empty or no text."""
+    text = F.btrim(F.try_variant_get(value, path, "string"), F.lit(" \t\r\n"))
+    return F.when(_kind_at(value, path) == "STRING", F.nullif(text, F.lit("")))
+
+
+def _number_at(value: Column, path: str) -> Column:
+    """Number of a variant, also one written as text."""
+    return F.when(_kind_at(value, path) != "BOOLEAN", F.try_variant_get(value, path, "double"))
+
+
+def _texts_at(value: Column, path: str) -> Column:
+    """The texts of an array, whatever else is in it."""
+    parts = F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+    texts = F.transform(parts, lambda part: F.when(F.schema_of_variant(part) == "STRING", F.try_variant_get(part, "$", "string")))
+    return F.filter(texts, lambda text: text.isNotNull())
+
+
+def _place(latitude: Column, longitude: Column) -> Column:
+    """A place if both numbers are there, whose members are null where they are out of range."""
+    valid = latitude.between(-90, 90) & longitude.between(-180, 180)
+    return F.when(latitude.isNotNull() & longitude.isNotNull(), F.struct(F.when(valid, latitude).alias("latitude"), F.when(valid, longitude).alias("longitude")))
+
+
+def read_traffic_json(spark: SparkSession, path: str, service: str | None = None, road: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Typed events from ``{service: [item, ...]}`` documents, with the line's geometry and the item's other keys as JSON text in ``raw``.
+
+    Documents lie in folders ``road=.../service=...``, or belong to the ``road`` and ``service`` given. Each is one file, or one line
+    with ``multi_line=False``. Items are read as variants, so keys of an unexpected type cost that key only. A document without its service has
+    no items, one whose service is no list is an error; items that are no objects or have no place on earth are dropped. The place is the
+    coordinate, else the point text, else the first vertex of the line.
+    """
+    documents = spark.read.text(path, wholetext=multi_line)
+    which = F.lit(service) if service else F.col("service")
+    where = F.nullif(F.trim(F.lit(road) if road else F.col("road").cast("string") if "road" in documents.columns else F.lit(None).cast("string")), F.lit(""))
+    documents = documents.where(F.trim("value") != "").select(which.alias("service"), where.alias("road"), F.parse_json("value").alias("document"))
+    lists = [F.when(F.col("service") == name, F.variant_get("document", f"$.{name}", "array<variant>")) for name in TRAFFIC_SERVICES]
+    items = documents.select("service", "road", F.explode(F.coalesce(*lists)).alias("item")).where(F.schema_of_variant("item").startswith("OBJECT"))
+
+    item = F.col("item")
+    vertices = F.when(_text_at(item, "$.geometry.type") == "LineString", F.try_variant_get(item, "$.geometry.coordinates", "array<variant>"))
+    vertices = F.transform(F.coalesce(vertices, F.array().cast("array<variant>")), lambda v: _place(_number_at(v, "$[1]"), _number_at(v, "$[0]")))
+    items = items.select(
+        "service", "road", "item", F.filter(vertices, lambda v: v["latitude"].isNotNull()).alias("geometry"), _texts_at(item, "$.impact.symbols").alias("symbols"),
+        F.nullif(F.btrim(F.array_join(_texts_at(item, "$.description"), "\n"), F.lit(" \t\r\n")), F.lit("")).alias("description"),
+        F.split(_text_at(item, "$.point"), ",").alias("point"), _text_at(item, "$.abnormalTrafficType").alias("abnormal"))
+    point = [F.trim(F.get("point", F.lit(i))).try_cast("double") for i in (0, 1)]
+    place = F.coalesce(_place(_number_at(item, "$.coordinate.lat"), _number_at(item, "$.coordinate.long")), _place(*point), F.get("geometry", F.lit(0)))
+    items = items.withColumn("place", place).where("place.latitude is not null")
+
+    starts, ends = text_de.extract_validity(F.coalesce("description", F.lit("")))
+    delay = _number_at(item, "$.delayTimeValue")
+    kept = F.map_filter(F.variant_get(item, "$", "map<string,variant>"), lambda key, _: ~key.isin(*TRAFFIC_DROPPED_KEYS))
     return items.select(
-        F.col("identifier").alias("external_id"), text_de.event_type(which, F.col("abnormalTrafficType")).alias("event_type"),
-        text_de.severity(which, F.col("display_type"), symbols, F.col("abnormalTrafficType")).alias("severity"),
-        F.trim("title").alias("title"), lat.alias("latitude"), lon.alias("longitude"),
-        F.coalesce(text_de.parse_iso(F.col("startTimestamp")), starts).alias("starts_at"), ends.alias("ends_at"),
-        (F.lower("isBlocked") == "true").alias("is_blocked"), F.col("delayTimeValue").try_cast("double").alias("delay_minutes"),
+        _text_at(item, "$.identifier").alias("external_id"), text_de.event_type(F.col("service"), F.col("abnormal")).alias("event_type"),
+        text_de.severity(F.col("service"), _text_at(item, "$.display_type"), F.col("symbols"), F.col("abnormal")).alias("severity"),
+        F.col("road").alias("road_name"), _text_at(item, "$.subtitle").alias("direction"),
+        F.coalesce(_text_at(item, "$.title"), F.concat_ws(" ", "road", "service")).alias("title"), "description",
+        "place.latitude", "place.longitude", "geometry", F.coalesce(text_de.parse_iso(_text_at(item, "$.startTimestamp")), starts).alias("starts_at"), ends.alias("ends_at"),
+        F.array_contains("symbols", text_de.CLOSED_SYMBOL).alias("is_blocked"), F.when(delay >= 0, delay).alias("delay_minutes"), F.to_json(kept).alias("raw"),
     )
 
 
