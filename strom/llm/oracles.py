@@ -144,7 +144,7 @@ passages as (
   select doc_id, unnest(string_split(t, chr(10))) as p from d
   union all select doc_id, p from (select doc_id, unnest(string_split_regex(t, '\n[\x20\t\r]*\n')) as p from d) where contains(p, chr(10))),
 words as (select doc_id, row_number() over () as k, list_filter(string_split(lower(regexp_replace(p, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') as w from passages),
-bags as (select doc_id, k, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) as bag from words where len(w) between 2 and 100),
+bags as (select doc_id, k, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) as bag from words where len(w) >= 2),
 m as (
   select doc_id, license, 2.0::double * len(list_intersect(bag, own)) / (len(bag) + len(own)) as dice from bags, notice
   where len(list_intersect(bag, own)) > 0),
