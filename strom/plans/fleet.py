@@ -31,6 +31,15 @@ REFERENCE_SPEED_KMH = {
 SOURCE_MAX_AGE_MINUTES = {
     "register": 45 * 24 * 60.0, "weather": 180.0, "traffic": 360.0, "routing": 90 * 24 * 60.0, "geocoder": 90 * 24 * 60.0,
 }
+# fixed values: licence, attribution and address each source's publisher states
+SOURCE_TERMS = {
+    "register": ("CC BY 4.0", "Ladesäulenregister der Bundesnetzagentur", "https://www.bundesnetzagentur.de/DE/Fachthemen/ElektrizitaetundGas/E-Mobilitaet/Ladesaeulenkarte/start.html"),
+    "weather": ("CC BY 4.0", "Quelle: Deutscher Wetterdienst", "https://opendata.dwd.de/"),
+    "traffic": (None, "Daten: Autobahn GmbH des Bundes", "https://verkehr.autobahn.de/o/autobahn/"),
+    "routing": ("ODbL 1.0", "© OpenStreetMap-Mitwirkende", "https://router.project-osrm.org/"),
+    "geocoder": ("ODbL 1.0", "© OpenStreetMap-Mitwirkende", "https://www.openstreetmap.org/copyright"),
+    "simulator": ("Apache-2.0", "Simuliert - keine Messdaten", None),
+}
 STATUS_ORDER = {"failed": 0, "degraded": 1, "delayed": 2, "healthy": 3, "simulation": 4}
 LIVE_COLUMNS = (
     "trip_id", "route_id", "recorded_at", "latitude", "longitude", "heading_deg", "speed_kmh", "battery_soc_percent",
@@ -280,18 +289,28 @@ def source_status(source: Column, status: Column, mode: Column, age_minutes: Col
     )
 
 
-def quality_by_source(runs: DataFrame, as_of: datetime) -> DataFrame:
-    """Newest run of every source with its status, age and acceptance; the worst status first."""
+def _term(source: Column, position: int) -> Column:
+    return lookup(source, {name: terms[position] for name, terms in SOURCE_TERMS.items() if terms[position]})
+
+
+def quality_by_source(runs: DataFrame, simulated: DataFrame, as_of: datetime) -> DataFrame:
+    """Newest run of every source with its status, age, acceptance and the publisher's terms; the worst status first.
+
+    The simulator reads nothing in, so its row counts the rows of ``simulated``, all accepted, and has no run, age or mode; runs under its name are not looked at.
+    """
     age = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(as_of)) - F.unix_micros("started_at")) / 6e7)
+    graded = latest_runs(runs.where("source <> 'simulator'")).withColumn("_age", age).select(
+        "source", "pipeline", source_status(F.col("source"), F.col("status"), F.col("provider_mode"), F.col("_age")).alias("source_status"),
+        F.lit("official").alias("data_origin"), F.col("started_at").alias("last_run_at"), F.round("_age", 3).alias("age_minutes"),
+        "rows_received", "rows_accepted", "rows_rejected", "rows_duplicate", "provider_mode", "source_url", "error_message")
+    simulator = simulated.agg(F.count(F.lit(1)).alias("rows_received")).select(
+        F.lit("simulator").alias("source"), F.lit("simulation").alias("pipeline"), F.lit("simulation").alias("source_status"), F.lit("simulated").alias("data_origin"),
+        "rows_received", F.col("rows_received").alias("rows_accepted"), F.lit(0).cast("bigint").alias("rows_rejected"), F.lit(0).cast("bigint").alias("rows_duplicate"))
     rate = F.when(F.col("rows_received") > 0, F.col("rows_accepted") * 100.0 / F.col("rows_received"))
-    graded = latest_runs(runs).withColumn("_age", age).withColumn(
-        "source_status", source_status(F.col("source"), F.col("status"), F.col("provider_mode"), F.col("_age"))
-    )
-    return graded.select(
-        "source", "pipeline", "source_status", F.col("started_at").alias("last_run_at"),
-        F.round("_age", 3).alias("age_minutes"), "rows_received", "rows_accepted", "rows_rejected",
-        F.round(F.coalesce(rate, F.lit(0.0)), 2).alias("acceptance_rate"), "provider_mode",
-    ).orderBy(lookup(F.col("source_status"), STATUS_ORDER), "source")
+    return graded.unionByName(simulator, allowMissingColumns=True).withColumns({
+        "acceptance_rate": F.round(F.coalesce(rate, F.lit(0.0)), 2), "licence": _term(F.col("source"), 0), "attribution": _term(F.col("source"), 1),
+        "source_url": F.coalesce("source_url", _term(F.col("source"), 2)),
+    }).orderBy(lookup(F.col("source_status"), STATUS_ORDER), "source")
 
 
 def source_row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ FEATURES = (
     "mass_kg", "drag_area", "nominal_consumption_kwh_100km", "hvac_load_kw", "is_motorway",
 )
 TARGET = "energy_consumption_kwh_100km"
+# fixed values: further columns that a table of training windows must have
+TRAINING_COLUMNS = (*FEATURES, TARGET, "trip_id", "vehicle_code", "window_start", "window_end", "distance_km", "duration_s", "energy_kwh", "road_class", "traffic_severity", "data_origin")
 WINDOW_SECONDS = 60.0
 MIN_WINDOW_KM = 0.05
 UNRESTRICTED_KMH = 130.0
@@ -113,6 +117,17 @@ def require_columns(df: DataFrame, columns: Sequence[str] = (*FEATURES, TARGET,
     return df
 
 
+def load_training_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Stored training windows; a missing table and missing columns are errors that say what to do."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        raise FileNotFoundError(f"no training windows at {path}: write those of window_features or of the stream there first") from error
+    return require_columns(rows, TRAINING_COLUMNS)
+
+
 def feature_problems(df: DataFrame) -> DataFrame:
     """Per feature: how many values are NULL and how many are not finite."""
     counts = [F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("null_count"),
@@ -220,6 +235,29 @@ def prediction_log(scored: DataFrame, model_name: str) -> DataFrame:
     )
 
 
+def append_predictions(path: str, scored: DataFrame, model_name: str, call: str, served_at: datetime, context: Sequence[str] = ()) -> None:
+    """Appends one call's predictions to the log at ``path``, a folder per call.
+
+    Rows stay as they were answered, whatever comes later. A call that is repeated after a failure replaces its own rows only. ``context`` names columns of ``scored``
+    that are kept as JSON; where ``scored`` has ``contributions`` they are logged too.
+    """
+    named = scored.withColumns({
+        "_context": F.to_json(F.struct(*context)) if context else F.lit(None).cast("string"),
+        "_parts": F.to_json("contributions") if "contributions" in scored.columns else F.lit(None).cast("string"),
+        "_id": F.sha2(F.concat_ws("|", F.lit(call), F.coalesce("trip_id", F.lit("")), F.unix_micros("window_start").cast("string")), 256),
+    })
+    rows = named.select(
+        F.col("_id").alias("prediction_id"), "trip_id", "window_start", F.lit(model_name).alias("model_name"), F.lit(served_at).alias("served_at"),
+        F.to_json(F.struct(*FEATURES)).alias("features"), F.col("predicted").alias("predicted_kwh_100km"), F.col("baseline").alias("baseline_kwh_100km"),
+        F.col("_parts").alias("contributions"), F.col("_context").alias("context"))
+    rows.write.mode("overwrite").parquet(f"{path}/call={call}")
+
+
+def logged_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The log with the call of each row."""
+    return spark.read.option("mergeSchema", "false").parquet(path).withColumn("call", F.col("call").cast("string"))
+
+
 def regression_metrics(df: DataFrame, label: str, prediction: str, keys: Sequence[str] = ()) -> DataFrame:
     """MAE, RMSE and R2 (NaN without variance), from sums that combine on the map side."""
     y, error = F.col(label), F.col(prediction) - F.col(label)

@@ -84,6 +84,11 @@ def geojson_features(stations: DataFrame, cap: int = 20_000) -> DataFrame:
     }).withColumn("truncated", F.col("total_matching") > cap)
 
 
+def without_points(stations: DataFrame, points: DataFrame) -> DataFrame:
+    """Sites that none of ``points`` belongs to, sites without an id included."""
+    return stations.join(points.select("station_id"), "station_id", "left_anti")
+
+
 def stations_with_points(stations: DataFrame, points: DataFrame, per_row: int = 1000) -> DataFrame:
     """Sites with their connectors nested in ordinal order, at most ``per_row`` of them in one row.
 

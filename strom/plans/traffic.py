@@ -58,6 +58,25 @@ def traffic_filter(
     return events.orderBy(F.col("starts_at").desc_nulls_last(), "traffic_event_id")
 
 
+def geojson_features(events: DataFrame, cap: int = 20_000) -> DataFrame:
+    """The ``cap`` most severe events as features, a line where one is known and else a point, with total, truncation flag and extent of all vertices returned."""
+    kept = events.orderBy(lookups.severity_ordinal(F.col("severity")).desc_nulls_last(), "traffic_event_id").limit(cap)
+    is_line = F.col("geometry").isNotNull()
+    vertices = F.transform(F.array_sort("geometry"), lambda v: F.array(F.round(v["longitude"], 6), F.round(v["latitude"], 6)))
+    kinds = {"LineString": vertices, "Point": F.array(F.round("longitude", 6), F.round("latitude", 6))}
+    lines, points = (F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.col("traffic_event_id").alias("id"), F.struct(F.lit(kind).alias("type"), place.alias("coordinates")).alias("geometry"),
+        F.struct("external_id", "event_type", "severity", "is_blocked", "road_name", "direction", "title", "delay_minutes", F.lit(kind).alias("geometry_kind")).alias("properties"),
+    ), {"ignoreNullFields": "false"}) for kind, place in kinds.items())
+    rows = kept.select("traffic_event_id", F.when(is_line, lines).otherwise(points).alias("feature"), *(
+        F.coalesce(edge(F.transform("geometry", lambda v: v[side])), F.col(side)).alias(f"_{name}")
+        for name, side, edge in (("west", "longitude", F.array_min), ("south", "latitude", F.array_min), ("east", "longitude", F.array_max), ("north", "latitude", F.array_max))))
+    extent = rows.agg(F.min("_west").alias("west"), F.min("_south").alias("south"), F.max("_east").alias("east"), F.max("_north").alias("north"))
+    total = events.agg(F.count(F.lit(1))).scalar()
+    return rows.select("traffic_event_id", "feature", total.alias("total_matching"), *(extent.select(c).scalar().alias(c) for c in extent.columns)).withColumn(
+        "truncated", F.col("total_matching") > cap)
+
+
 def events_on_segments(
     events: DataFrame, segments: DataFrame, buffer_m: float, cfg: Config = DEFAULT, keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strom.functions.lookups import in_germany
-from strom.plans import fleet, staging
+from strom.plans import fleet, staging, traffic
 from strom.plans import station_queries as sq
 from strom.plans.trips import rounded
 from strom.registry.fleet_models import models
@@ -74,6 +74,20 @@ REG.add("geojson_features", lambda t: rounded(sq.geojson_features(stg_stations(t
            round((select min(longitude) from kept), 6) as west, round((select min(latitude) from kept), 6) as south,
            round((select max(longitude) from kept), 6) as east, round((select max(latitude) from kept), 6) as north,
            (select count(*) from stg_station) > 20000 as truncated from kept""")
+REG.add("traffic_features", lambda t: rounded(traffic.geojson_features(staging.traffic_events(t.traffic_events))), """
+    with kept as (select *, extent_latitude is not null as is_line, round(longitude, 6)::varchar as lon, round(latitude, 6)::varchar as lat,
+                         round(extent_longitude, 6)::varchar as lon1, round(extent_latitude, 6)::varchar as lat1,
+                         case severity when 'low' then 1 when 'moderate' then 2 when 'high' then 3 when 'severe' then 4 end as ordinal
+                  from stg_traffic order by ordinal desc nulls last, traffic_event_id limit 20000)
+    select traffic_event_id, '{"type":"Feature","id":"' || traffic_event_id || '","geometry":{"type":"' ||
+           case when is_line then 'LineString","coordinates":[[' || lon || ',' || lat || '],[' || lon1 || ',' || lat1 || ']]' else 'Point","coordinates":[' || lon || ',' || lat || ']' end ||
+           '},"properties":{"external_id":' || coalesce('"' || external_id || '"', 'null') || ',"event_type":"' || event_type || '","severity":"' || severity || '","is_blocked":' || is_blocked::varchar ||
+           ',"road_name":' || coalesce('"' || road_name || '"', 'null') || ',"direction":' || coalesce('"' || direction || '"', 'null') || ',"title":' || coalesce('"' || title || '"', 'null') ||
+           ',"delay_minutes":' || coalesce(delay_minutes::varchar, 'null') || ',"geometry_kind":"' || case when is_line then 'LineString' else 'Point' end || '"}}' as feature,
+           (select count(*) from stg_traffic) as total_matching, (select count(*) from stg_traffic) > 20000 as truncated,
+           round((select min(least(longitude, coalesce(extent_longitude, longitude))) from kept), 6) as west, round((select min(least(latitude, coalesce(extent_latitude, latitude))) from kept), 6) as south,
+           round((select max(greatest(longitude, coalesce(extent_longitude, longitude))) from kept), 6) as east, round((select max(greatest(latitude, coalesce(extent_latitude, latitude))) from kept), 6) as north
+    from kept""")
 REG.add("stations_with_points", lambda t: _nested(t), """
     select s.station_id, 0::bigint as part, coalesce(n, 0)::int as point_count, coalesce(kinds, '') as points from stg_station s left join (
         select station_id, count(*) as n, string_agg(connector_ordinal || ':' || connector_type, ',' order by connector_ordinal) as kinds
@@ -216,12 +230,19 @@ _STATUS = """case when source = 'simulator' then 'simulation' when status = 'fai
     when provider_mode <> 'live' or status = 'partial' then 'degraded'
     when age > case source when 'register' then 64800 when 'weather' then 180 when 'traffic' then 360 else 129600 end then 'delayed'
     else 'healthy' end"""
-REG.add("quality_by_source", lambda t: fleet.quality_by_source(t.ingestion_runs, NOW), f"""
-    select source, pipeline, {_STATUS} as source_status, started_at as last_run_at, round(age, 3) as age_minutes, rows_received,
-           rows_accepted, rows_rejected, case when rows_received > 0 then round(100 * rows_accepted / rows_received, 2) else 0::double end as acceptance_rate,
-           provider_mode
-    from (select *, greatest(0, (epoch_us(timestamp '{FLEET_NOW}') - epoch_us(started_at)) / 6e7) as age from ingestion_runs
-          qualify row_number() over (partition by source order by started_at desc) = 1)""")
+def _terms(position: int) -> str:
+    return "case source " + " ".join(f"when '{name}' then '{terms[position]}'" for name, terms in fleet.SOURCE_TERMS.items() if terms[position]) + " end"
+
+
+REG.add("quality_by_source", lambda t: fleet.quality_by_source(t.ingestion_runs, t.telemetry, NOW), f"""
+    with rated as (
+        select source, pipeline, {_STATUS} as source_status, 'official' as data_origin, started_at as last_run_at, round(age, 3) as age_minutes, rows_received,
+               rows_accepted, rows_rejected, rows_duplicate, provider_mode, source_url, error_message
+        from (select *, greatest(0, (epoch_us(timestamp '{FLEET_NOW}') - epoch_us(started_at)) / 6e7) as age from ingestion_runs
+              where source <> 'simulator' qualify row_number() over (partition by source order by started_at desc) = 1)
+        union all select 'simulator', 'simulation', 'simulation', 'simulated', null, null, count(*), count(*), 0, 0, null, null, null from telemetry)
+    select * replace (coalesce(source_url, {_terms(2)}) as source_url), case when rows_received > 0 then round(100 * rows_accepted / rows_received, 2) else 0::double end as acceptance_rate,
+           {_terms(0)} as licence, {_terms(1)} as attribution from rated""")
 REG.add("source_status", lambda t: t.ingestion_runs.select("id", fleet.source_status(
     F.col("source"), F.col("status"), F.col("provider_mode"),
     F.greatest(F.lit(0.0), (F.unix_micros(F.lit(NOW)) - F.unix_micros("started_at")) / 6e7)).alias("source_status")), f"""
@@ -232,6 +253,8 @@ REG.add("source_row_counts", lambda t: fleet.source_row_counts({
     select 'register' as source, count(*) as rows from charging_stations union all select 'weather', count(*) from weather_observations
     union all select 'traffic', count(*) from traffic_events union all select 'routing', count(*) from routes
     union all select 'simulator', count(*) from telemetry""")
+REG.add("sites_without_ultra_fast_points", lambda t: sq.without_points(stg_stations(t), stg_points(t).where("power_kw >= 150")).select("station_id", "max_power_kw").transform(rounded),
+        "select station_id, round(max_power_kw, 6) as max_power_kw from stg_station s where not exists (select 1 from stg_point p where p.station_id = s.station_id and power_kw >= 150)")
 REG.add("ingestion_totals", lambda t: fleet.ingestion_totals(t.ingestion_runs),
         "select sum(rows_accepted)::bigint as accepted, sum(rows_rejected)::bigint as rejected from ingestion_runs")
 REG.add("rows_since", lambda t: fleet.rows_since(t.telemetry, NOW),

@@ -465,3 +465,30 @@ def _log(t: Tables):
 
 
 REG.add("prediction_log", _log)
+
+
+def _stored_windows(t: Tables):
+    path = f"{checkpoint_root(t.spark)}/strom-windows-{uuid.uuid4().hex}"
+    windows(t).write.parquet(path)
+    return learning.load_training_windows(t.spark, path)
+
+
+REG.add("load_training_windows", lambda t: rounded(_stored_windows(t).groupBy("vehicle_code", "road_class").agg(
+    F.count(F.lit(1)).alias("windows"), F.count_distinct("trip_id").alias("trips"), F.sum("distance_km").alias("km")), 4),
+    "select vehicle_code, road_class, count(*) as windows, count(distinct trip_id) as trips, round(sum(distance_km), 4) as km from window_row group by 1, 2")
+
+
+def _appended(t: Tables):
+    """Two calls of one linear model, the first of them twice, read back from the log."""
+    path = f"{checkpoint_root(t.spark)}/strom-predictions-{uuid.uuid4().hex}"
+    scored = cut_lineage(learning.predict_batch(training_rows(t), linear_model(t), models(t)))
+    for call, part in (("a", scored.where("soc_percent < 50")), ("a", scored.where("soc_percent < 50")), ("b", scored.where("soc_percent >= 50"))):
+        learning.append_predictions(path, part, "linear", call, C.AT, ["vehicle_code", "road_class"])
+    return learning.logged_predictions(t.spark, path).select(
+        "call", "trip_id", "window_start", "model_name", "predicted_kwh_100km", "baseline_kwh_100km",
+        F.get_json_object("features", "$.soc_percent").cast("double").alias("soc_percent"), F.get_json_object("context", "$.road_class").alias("road_class"))
+
+
+REG.add("append_predictions", lambda t: rounded(_appended(t), 4), f"""
+    select case when soc_percent < 50 then 'a' else 'b' end as call, trip_id, window_start, 'linear' as model_name, round({LINEAR}, 4) as predicted_kwh_100km,
+           round(baseline, 4) as baseline_kwh_100km, round(soc_percent, 4) + 0 as soc_percent, road_class from (select b.*, w.mass_kg from (select * exclude (mass_kg) from baseline_raw) b join window_row w using (trip_id, window_index))""")

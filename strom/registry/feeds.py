@@ -356,11 +356,43 @@ REG.add("lake_sql", _lake_sql, "select o_orderpriority, 2 * count(*) as n from o
 REG.add("describe_lake", lambda t: lake.describe_lake(t.spark, _written(t), [("silver", "orders")]).select("zone", "dataset", F.col("dt").cast("string").alias("dt"), "rows"),
         "select 'silver' as zone, 'orders' as dataset, d as dt, count(*) as rows from orders, (values ('2024-01-01'), ('2024-01-02')) v(d) group by 3")
 REG.add("raw_manifest", lambda t: lake.raw_manifest(t.spark, register_files(t) + "/*", "register").select("kind", "sha256", "bytes"))
-REG.add("run_record", lambda t: lake.run_record(q.quality_report(checked_stations(t)), "run-x", "register", "charging", "live", AT, AT).select(
-    "id", "source", "status", "rows_received", "rows_accepted", "rows_rejected", "rows_duplicate"), """
+_ROWS_PER_FILE = 2_000
+
+
+def _order_files(t: Tables) -> str:
+    """Orders as text files of a bounded number of lines each."""
+    path = folder(t, "raw")
+    line = F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderpriority", F.col("o_custkey").cast("string"))
+    files = t.orders.select(F.floor(F.col("o_orderkey") / _ROWS_PER_FILE).alias("file"), "o_orderkey", line.alias("line")).groupBy("file").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda r: r["line"]), "\n").alias("value"))
+    files.write.partitionBy("file").text(path)
+    return path
+
+
+relation("raw_file", f"""
+    select f as file, sha256(body) as sha256, strlen(body) as bytes from (
+        select o_orderkey // {_ROWS_PER_FILE} as f, string_agg(o_orderkey || ';' || o_orderpriority || ';' || o_custkey, chr(10) order by o_orderkey) || chr(10) as body from orders group by 1)""")
+REG.add("raw_digests", lambda t: lake.raw_manifest(t.spark, _order_files(t) + "/*", "orders").select("kind", "sha256", "bytes"),
+        "select 'orders' as kind, sha256, bytes from raw_file")
+
+
+def _recorded(t: Tables) -> DataFrame:
+    """A run with files and one that failed, appended to the table of runs and read back."""
+    path, report = folder(t, "runs"), q.quality_report(checked_stations(t))
+    lake.record_run(path, lake.run_record(report, "run-x", "register", "charging", "live", AT, AT, lake.raw_manifest(t.spark, _order_files(t) + "/*", "orders"), "https://data.example/"))
+    lake.record_run(path, lake.run_record(report.limit(0), "run-y", "register", "charging", "fixture", AT, AT, error="TimeoutError: no answer"))
+    return t.spark.read.parquet(path)
+
+
+REG.add("run_record", lambda t: _recorded(t).select(
+    "id", "source", "status", "rows_received", "rows_accepted", "rows_rejected", "rows_duplicate", "source_file_sha256", "bytes_downloaded", "source_url", "error_message"), """
+    with part as (select substr(sha256, 1, 3) as p, sha256(string_agg(sha256, ',' order by sha256)) as s, count(*) as n, min(sha256) as first, sum(bytes) as bytes from raw_file group by 1)
     select 'run-x' as id, 'register' as source, case when count(*) filter (quality_status = 'rejected') > 0 then 'partial' else 'succeeded' end as status, count(*) as rows_received,
            count(*) filter (quality_status = 'accepted') as rows_accepted, count(*) filter (quality_status = 'rejected') as rows_rejected,
-           count(*) filter (quality_status = 'duplicate') as rows_duplicate from verdict_station""")
+           count(*) filter (quality_status = 'duplicate') as rows_duplicate,
+           (select case when sum(n) = 1 then min(first) else sha256(string_agg(s, ',' order by p)) end from part) as source_file_sha256, (select sum(bytes)::bigint from part) as bytes_downloaded,
+           'https://data.example/' as source_url, null as error_message from verdict_station
+    union all select 'run-y', 'register', 'failed', 0, 0, 0, 0, null, null, null, 'TimeoutError: no answer'""")
 
 # ---- upserts: a stored state and an incoming one, both over the whole table
 

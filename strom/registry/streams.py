@@ -296,6 +296,22 @@ def _counters(t: Tables) -> DataFrame:
 REG.add("stream_counters", _counters, "select count(*) as consumed, count(reject_reason) as rejected from published")
 
 
+def _batches(t: Tables) -> DataFrame:
+    """The batches of one run as a table of metrics, added up, with the files that wait in the end."""
+    path, source = _folder(t), published(t)
+    policy = telemetry.BatchPolicy(files=2)
+    stream = messages.parse_envelope(messages.read_messages(t.spark, source, policy.options(source)), "telemetry")
+    totals = telemetry.run_counted(stream, telemetry.append_batch(path), f"{path}/checkpoint")
+    left = telemetry.files_behind(t.spark, source, f"{path}/checkpoint")
+    totals.table(t.spark).write.parquet(f"{path}/metrics")
+    return t.spark.read.parquet(f"{path}/metrics").agg(
+        *(F.sum(c).alias(c) for c in ("consumed", "written", "rejected")), F.lit(totals.errors).cast("bigint").alias("errors"), F.lit(left).cast("bigint").alias("files_behind"))
+
+
+REG.add("stream_batches", _batches, """
+    select count(*) as consumed, count(*) - count(reject_reason) as written, count(reject_reason) as rejected, 0::bigint as errors, 0::bigint as files_behind from published""")
+
+
 def _other_topics(t: Tables) -> DataFrame:
     """Traffic and charging messages through the same parser."""
     traffic = t.traffic_events.select(F.to_json(F.struct(

@@ -246,7 +246,10 @@ TABLES: dict[str, str] = {
                cast(case when p_partkey % 17 = 0 then 0 else p_size * 100 end as bigint) as rows_received,
                cast(case when p_partkey % 17 = 0 then 0 else p_size * 100 - p_partkey % 40 end as bigint) as rows_accepted,
                cast(case when p_partkey % 17 = 0 then 0 else p_partkey % 40 end as bigint) as rows_rejected,
-               'sha-' || cast(p_partkey % 50 as string) as source_file_sha256
+               'sha-' || cast(p_partkey % 50 as string) as source_file_sha256,
+               cast(case when p_partkey % 17 = 0 then 0 else p_partkey % 5 end as bigint) as rows_duplicate,
+               case when p_partkey % 3 = 0 then 'https://data.example/' || cast(p_partkey % 6 as string) end as source_url,
+               case when p_partkey % 11 = 0 then 'TimeoutError: no answer' end as error_message
         from {{part}}""",
     # one analysis request per customer: which corridor, which vehicle, with how much charge
     "requests": """

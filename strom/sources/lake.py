@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from datetime import date
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -62,19 +66,85 @@ def describe_lake(spark: SparkSession, root: str, datasets: list[tuple[str, str]
     return out
 
 
+# fixed values: endings of files that the line reader would unpack, and the mark it leaves out at a file's start
+_PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
+_MARK = b"\xef\xbb\xbf"
+
+
+def _digests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, sha256) from (file, bytes, line) in the files' own order; a file may go on in the next batch."""
+    file, size, seen, sums = None, 0, 0, ()
+
+    def closed() -> pa.RecordBatch:
+        # a line feed after the last line and the mark are told apart by the length of what was read: it lacks the mark's three bytes or not
+        marked = seen + len(_MARK) in (size, size + 1)
+        whole = sums[1] if marked else sums[0]
+        if seen + len(_MARK) * marked == size:
+            whole.update(b"\n")
+        return pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([whole.hexdigest()], pa.string())], names=["file", "sha256"])
+
+    for batch in rows:
+        names, sizes, lines = batch.column(0), batch.column(1), batch.column(2)
+        runs = pc.run_end_encode(names)
+        low = 0
+        for name, high in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            if name != file:
+                if file is not None:
+                    yield closed()
+                file, size, seen, sums = name, sizes[low].as_py(), 0, (hashlib.sha256(), hashlib.sha256(_MARK))
+            # the feed of a line is added once another one follows
+            block = (b"\n" if seen else b"") + b"\n".join(lines.slice(low, high - low).to_pylist())
+            for one in sums:
+                one.update(block)
+            seen += len(block) + (0 if seen else 1)
+            low = high
+    if file is not None:
+        yield closed()
+
+
 def raw_manifest(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Digest and size of every raw file under a path."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.lit(kind).alias("kind"),
-        F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.col("modificationTime").alias("fetched_at"),
+    """Digest and size of every raw file under a path.
+
+    Files are read in splits, as lines up to a line feed, and put back into their order by one shuffle; each file's bytes then stream through its digest. No
+    file is held whole, whatever its size, only its longest line. The line reader unpacks compressed files, so those are read as one value
+    each, up to 2 GB. Files without a byte are not listed, since Spark's readers pass them over.
+    """
+    files = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime")
+    packed = F.col("file").rlike(r"(?i)(" + "|".join(e.replace(".", r"\.") for e in _PACKED) + ")$")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("value").cast("binary").alias("line"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number")).where(~packed)
+    ordered = lines.repartition("file").sortWithinPartitions("file", "start", "number").select("file", "bytes", "line")
+    whole = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "content").where(packed)
+    digests = ordered.mapInArrow(_digests, "file string, sha256 string").unionByName(whole.select("file", F.sha2("content", 256).alias("sha256")))
+    return files.join(digests, F.col("path") == F.col("file"), "left").select(
+        "file_name", F.lit(kind).alias("kind"), F.coalesce("sha256", F.sha2(F.lit(_MARK), 256)).alias("sha256"),  # without a line there is only the mark
+        F.col("length").alias("bytes"), F.col("modificationTime").alias("fetched_at"),
     )
 
 
+def source_digest(manifest: DataFrame) -> DataFrame:
+    """One row: ``source_file_sha256`` and ``bytes_downloaded`` of a run's files; the digest of a single file is its own.
+
+    Several files are told by a digest of their sorted digests, in 4 096 parts, so that no list grows with the number of files.
+    """
+    parts = manifest.groupBy(F.substring("sha256", 1, 3).alias("_part")).agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ","), 256).alias("_sha"), F.count(F.lit(1)).alias("_n"),
+        F.min("sha256").alias("_first"), F.sum("bytes").alias("_bytes"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "_sha"))), lambda p: p["_sha"]), ",")
+    digest = F.when(F.sum("_n") == 1, F.min("_first")).when(F.sum("_n") > 1, F.sha2(listed, 256))
+    return parts.agg(digest.alias("source_file_sha256"), F.coalesce(F.sum("_bytes"), F.lit(0)).cast("bigint").alias("bytes_downloaded"))
+
+
 def run_record(
-    report: DataFrame, run_id: str, source: str, pipeline: str, provider_mode: str, started_at, finished_at
+    report: DataFrame, run_id: str, source: str, pipeline: str, provider_mode: str, started_at, finished_at,
+    manifest: DataFrame | None = None, source_url: str | None = None, error: str | None = None,
 ) -> DataFrame:
-    """One row per run from a quality report's (metric, value) rows."""
+    """One row per run from a quality report's (metric, value) rows, with the digest of its files in ``manifest``.
+
+    A run with an ``error`` has failed, whatever it counted until then; only the message's first 2 000 characters are kept.
+    """
     def metric(name: str):
         return F.coalesce(F.max(F.when(F.col("metric") == name, F.col("value"))), F.lit(0).cast("bigint")).alias(name)
 
@@ -82,7 +152,17 @@ def run_record(
     rules = F.sort_array(F.collect_list(F.when(F.col("metric").startswith("rule:"), F.struct("metric", "value"))))
     row = report.agg(*counters, F.to_json(rules).alias("quality_report"))
     status = F.when(F.col("rows_rejected") > 0, "partial").otherwise("succeeded")
+    files = {"source_file_sha256": F.lit(None).cast("string"), "bytes_downloaded": F.lit(None).cast("bigint")}
+    if manifest is not None:
+        digest = source_digest(manifest)
+        files = {c: digest.select(c).scalar() for c in files}
     return row.withColumns({
         "id": F.lit(run_id), "source": F.lit(source), "pipeline": F.lit(pipeline), "provider_mode": F.lit(provider_mode),
-        "started_at": F.lit(started_at), "finished_at": F.lit(finished_at), "status": status,
+        "started_at": F.lit(started_at), "finished_at": F.lit(finished_at), "status": status if error is None else F.lit("failed"), **files,
+        "source_url": F.lit(source_url).cast("string"), "error_message": F.lit(None if error is None else error[:2000]).cast("string"),
     })
+
+
+def record_run(path: str, run: DataFrame) -> None:
+    """Appends a run's row to the table of runs."""
+    run.coalesce(1).write.mode("append").parquet(path)

@@ -103,11 +103,14 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, source: str, options: dict[str, str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream with the message text in ``value``: ``kafka`` with its options, else a folder of JSON lines."""
+    """A stream with the message text in ``value``: ``kafka`` with its options, else a folder of JSON lines.
+
+    ``options`` also take those of a ``BatchPolicy``, which bound what one micro-batch reads.
+    """
     if source == "kafka":
         raw = spark.readStream.format("kafka").options(**(options or {})).load()
         return raw.select(F.col("value").cast("string").alias("value"))
-    reader = spark.readStream.schema("value string")
+    reader = spark.readStream.schema("value string").options(**(options or {}))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.text(source)
