@@ -71,9 +71,9 @@ def geojson_features(events: DataFrame, cap: int = 20_000) -> DataFrame:
     rows = kept.select("traffic_event_id", F.when(is_line, lines).otherwise(points).alias("feature"), *(
         F.coalesce(edge(F.transform("geometry", lambda v: v[side])), F.col(side)).alias(f"_{name}")
         for name, side, edge in (("west", "longitude", F.array_min), ("south", "latitude", F.array_min), ("east", "longitude", F.array_max), ("north", "latitude", F.array_max))))
-    extent = rows.agg(F.min("_west").alias("west"), F.min("_south").alias("south"), F.max("_east").alias("east"), F.max("_north").alias("north"))
+    extent = rows.agg(F.struct(F.min("_west").alias("west"), F.min("_south").alias("south"), F.max("_east").alias("east"), F.max("_north").alias("north")).alias("_extent")).scalar()
     total = events.agg(F.count(F.lit(1))).scalar()
-    return rows.select("traffic_event_id", "feature", total.alias("total_matching"), *(extent.select(c).scalar().alias(c) for c in extent.columns)).withColumn(
+    return rows.select("traffic_event_id", "feature", total.alias("total_matching"), *(extent.getField(c).alias(c) for c in ("west", "south", "east", "north"))).withColumn(
         "truncated", F.col("total_matching") > cap)
 
 
