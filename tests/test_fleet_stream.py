@@ -187,3 +187,105 @@ def test_samples_rejects_trips_and_vehicles_commit_together(spark, tmp_path):
     assert log.latest(spark, "vehicles", "vehicle_id").first().state == "idle" and log.latest(spark, "trips", "trip_id").first().state == "completed"
     by_batch = {b: {n: log.read(spark, n, True).where(F.col("batch") == b).count() for n in log.schemas} for b in log.committed(spark)}
     assert by_batch[0]["telemetry"] == 1 and by_batch[0]["vehicles"] == 1 and sum(v["vehicles"] for v in by_batch.values()) == 2
+
+
+# -- calls to the state store
+
+
+class Store:
+    """A key's states in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.states = [], set(), {}
+
+    def getValueState(self, name, *schema):
+        return self.states.setdefault(name, Entry(self, f"{name}."))
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("deleteTimer")
+        self.timers.discard(at)
+
+
+class Entry:
+    def __init__(self, store, name):
+        self.store, self.name, self.held = store, name, {}
+
+    def _call(self, what):
+        self.store.calls.append(self.name + what)
+
+    def exists(self):
+        self._call("exists")
+        return None in self.held
+
+    def get(self):
+        self._call("get")
+        return self.held[None]
+
+    def update(self, value):
+        self._call("update")
+        self.held[None] = value
+
+    def clear(self):
+        self._call("clear")
+        self.held.clear()
+
+    def containsKey(self, key):
+        self._call("containsKey")
+        return key in self.held
+
+    def getValue(self, key):
+        self._call("getValue")
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self._call("updateValue")
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self._call("removeKey")
+        del self.held[key]
+
+    def keys(self):
+        self._call("keys")
+        return iter(list(self.held))
+
+
+class Passed:
+    def __init__(self, us):
+        self.us = us
+
+    def getCurrentWatermarkInMs(self):
+        return self.us // 1000
+
+    def getExpiryTimeInMs(self):
+        return self.us // 1000
+
+
+def replayed(batches, passed):
+    """What a trip's windows give out batch by batch, and their store."""
+    store, windows_ = Store(), state.TripWindows()
+    windows_.init(store)
+    columns, told = windows_.columns, []
+    for rows, until in zip(batches, passed):
+        given = ({**dict.fromkeys(columns), "speed_kmh": 50.0, "odometer_m": us / 1e5, "vehicle_state": "driving", "us": us, "sequence": n} for n, us in rows)
+        told.append([tuple(r) for r in windows_.handleInputRows(("T1",), given, Passed(until))])
+    return told, store
+
+
+def test_a_key_of_few_rows_costs_few_calls(monkeypatch):
+    rows = [(n, 60_000_000 * 100 + n * 7_000_000) for n in range(60)]
+    told, store = replayed([rows], [0])
+    assert len(told[0]) == 7 and len(store.calls) <= 4
+    cut, limits = [rows[:25], rows[20:40], rows[:5] + rows[38:]], [0, 60_000_000 * 102, 60_000_000 * 102]
+    near, store = replayed(cut, limits)
+    assert not any(c.startswith("open.") for c in store.calls)
+    monkeypatch.setattr("strom.streaming.ordered.NEAR_ROWS", 3)
+    far, store = replayed(cut, limits)
+    # the same from the map, which holds a minute for each entry, and none that has passed
+    assert far == near and sorted(k[0] for k in store.states["open"].held) == [102, 103, 104, 105, 106]
