@@ -164,6 +164,17 @@ def test_duplicates_and_rejects(spark):
         quality.check_acceptance(report, strict=True, minimum=0.9, min_rows=1)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intervals_are_not_broadcast_by_their_estimate(spark):
+    a = spark.createDataFrame([("r", 1, 0.0, 10.0), ("r", 2, 10.0, 20.0)], "k string, i int, ls double, le double")
+    b = spark.createDataFrame([("r", 1, 5.0, 15.0)], "k string, j int, rs double, re double")
+    pairs = interval_join(a, b, "k", ("ls", "le"), ("rs", "re"), 7.0)
+    assert "Broadcast" not in _plan(pairs) and {(r.i, r.j, r.overlap) for r in pairs.collect()} == {(1, 1, 5.0), (2, 1, 5.0)}
+
+
 def test_monotonic_violations(spark):
     df = spark.createDataFrame([("v", i, datetime(2024, 1, 1, 0, m)) for i, m in enumerate([0, 5, 3, 4, 6])], "k string, seq int, at timestamp")
     assert {r.seq for r in quality.monotonic_violations(df, "k", "at", "seq").collect()} == {2, 3}
