@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strom.config import Config
 from strom.functions.geo import with_utm32
 from strom.operators import checks, quality, upsert
 from strom.operators.nearest import interval_join, nearest
@@ -175,6 +176,26 @@ def test_intervals_are_not_broadcast_by_their_estimate(spark):
     assert "Broadcast" not in _plan(pairs) and {(r.i, r.j, r.overlap) for r in pairs.collect()} == {(1, 1, 5.0), (2, 1, 5.0)}
 
 
+def test_few_repeated_keys_move_no_row(spark):
+    rows = [("a", 1.0, "x2"), ("a", 1.0, "x1"), ("a", 2.0, "x3"), ("b", 0.0, "x4"), ("b", -0.0, "x5"), ("c", 1.0, None), ("d", 1.0, None), ("d", 1.0, "x6"),
+            ("e", 1.0, "x7"), ("e", 1.0, "x7"), ("e", 1.0, "x8"), (None, 1.0, "x9"), ("f", None, "x1"), ("f", None, "x2")]
+    df = spark.createDataFrame(rows, "key string, part double, seq string")
+    few = quality.mark_duplicates(df, ["key", "part"], "seq")
+    many = quality.mark_duplicates(df, ["key", "part"], "seq", cfg=Config(broadcast_rows=0))
+    assert "hashpartitioning" not in _plan(few) and "hashpartitioning" in _plan(many)
+    show = lambda found: sorted(((r.key or "", r.part or 0.0, r.seq or "", r.is_duplicate) for r in found.collect()))
+    assert show(few) == show(many) and sum(r[3] for r in show(few)) == 5
+
+
+def test_first_broken_rule_tells_its_message(spark):
+    df = spark.createDataFrame([(1, -1.0, None), (2, 5.0, None), (3, 5.0, "x")], "seq int, kw double, city string")
+    silent = quality.Rule("silent", F.col("kw") < 0, F.lit(None).cast("string"))
+    found = {r.seq: r for r in quality.validate(df, [silent, quality.required_field("city")]).collect()}
+    assert [found[i].quality_rules for i in (1, 2, 3)] == ["silent; required_field[city]", "required_field[city]", ""]
+    assert [found[i].quality_rule for i in (1, 2, 3)] == ["silent", "required_field[city]", None]
+    assert [found[i].quality_message for i in (1, 2, 3)] == [None, "city is missing or blank", None]
+
+
 def test_monotonic_violations(spark):
     df = spark.createDataFrame([("v", i, datetime(2024, 1, 1, 0, m)) for i, m in enumerate([0, 5, 3, 4, 6])], "k string, seq int, at timestamp")
     assert {r.seq for r in quality.monotonic_violations(df, "k", "at", "seq").collect()} == {2, 3}
