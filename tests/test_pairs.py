@@ -3,14 +3,17 @@
 import math
 import random
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from strom.functions.geo import with_utm32
+from strom.operators import spatial
 from strom.operators.nearest import _finer, nearest
 from strom.operators.spatial import closest_spots, distance_join, line_edges
 from strom.plans.traffic import event_lines_on_segments, paint_events
 from strom.plans.weather import route_weather
+from strom.registry import corridors
 
 AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
 LINE = "geometry array<struct<ordinal: int, latitude: double, longitude: double>>"
@@ -116,3 +119,50 @@ def test_weather_of_routes_counts_stations_without_a_distinct(spark):
     weather = route_weather(routes, readings, AT, 25_000.0)
     assert [(r.temperature_c, r.station_count) for r in weather.collect()] == [(3.0, 2)]
     assert "hashpartitioning(route_id, weather_station_id" not in plan_of(weather)
+
+
+def test_nearest_segments_of_crowded_cells_equal_brute_force_and_meet_few_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    lines = {f"g{i}": walk(rng, 2, 0.02) for i in range(500)}
+    lines |= {"a": lines["g7"], "h": lines["g8"], "many": walk(rng, 5, 0.01), "dot": [(0, 50.1, 9.1), (1, 50.1, 9.1)], "none": None}
+    points = [(i, 50 + rng.random() / 4, 9 + rng.random() / 4) for i in range(900)]
+    points += [(i, 50 + rng.random() / 50, 9 + rng.random() / 50) for i in range(900, 1500)] + [(0, *points[5][1:]), (None, 50.1, 9.1), (2000, None, 9.0), (2001, 55.0, 9.0)]
+    wide = spark.createDataFrame(list(lines.items()), f"id string, {LINE}")
+    for column in ("route_id", "ordinal", "start_offset_m", "distance_m", "road_class", "speed_limit_kmh", "assumed_speed_kmh", "elevation_gain_m",
+                   "temperature_c", "traffic_severity", "predicted_kwh_per_100km", "predicted_kwh", "energy_intensity"):
+        wide = wide.withColumn(column, F.lit(1))
+    telemetry = spark.createDataFrame([(*p, "driving") for p in points], "telemetry_id int, latitude double, longitude double, state string")
+    met = []
+
+    def seen(*given, **named):
+        met.append(matches(*given, **named))
+        return met[0]
+
+    matches = corridors.edge_matches
+    monkeypatch.setattr(corridors, "edge_matches", seen)
+    monkeypatch.setattr(spatial, "_CROWDED", 2, raising=False)  # few rows are enough to cut cells several times
+    got = {r.telemetry_id: (r.route_segment_id, r.distance_m) for r in corridors.points_to_segments(SimpleNamespace(route_segments=wide, telemetry=telemetry)).collect()}
+    where = [p for p in points if p[1] is not None]
+    spots, edges = metres(spark, [v[1:] for vertices in lines.values() for v in vertices or ()]), []
+    for name, vertices in lines.items():
+        xy = [spots.pop(0) for _ in vertices or ()]
+        edges += [(name, *a, *b) for a, b in zip(xy, xy[1:])]
+    want, pairs = {}, 0
+    for (key, *_), (px, py) in zip(where, metres(spark, [p[1:] for p in where])):
+        for name, x0, y0, x1, y1 in edges:
+            length = math.hypot(x1 - x0, y1 - y0)
+            share = max(0.0, min(1.0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / length**2)) if length else 0.0
+            far = math.hypot(px - x0 - share * (x1 - x0), py - y0 - share * (y1 - y0))
+            if far <= 2000.0:
+                pairs += 1
+                want[key] = min(want.get(key, (math.inf, "")), (round(far, 6), name))
+    assert got.keys() == want.keys() and len(want) > 1000
+    assert all(got[k][0] == want[k][1] and abs(got[k][1] - want[k][0]) < 1e-3 for k in want)
+    assert met[0].count() * 2 < pairs
+
+
+def test_lines_without_geometry_have_no_edges_and_geometries_are_not_checked_at_the_scan(spark):
+    lines = spark.createDataFrame([("a", walk(random.Random(1), 3)), ("a", None), ("b", None), ("c", []), (None, walk(random.Random(2), 2))], f"id string, {LINE}")
+    edges = line_edges(lines, ["id"])
+    assert sorted((r.id or "", r.edge_no) for r in edges.collect()) == [("", 1), ("a", 1), ("a", 2)]
+    assert "size(" not in plan_of(edges)
