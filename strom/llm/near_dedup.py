@@ -223,7 +223,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], n: int, work: Callable[[list], I
 
 
 def _neighbourhoods(buckets: DataFrame, labels: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Links (centre, doc_id) that tie together components with a pair that shares a bucket and may be linked.
+    """Links (centre, doc_id) between ids of components with a pair that shares a bucket and may be linked.
 
     Only buckets that still hold several components are looked at. A large one is cut into blocks, each pair of which meets in a task
     of its own, where registers are compared as arrays. A task gives out a link only where it joins two components it has not
@@ -236,20 +236,19 @@ def _neighbourhoods(buckets: DataFrame, labels: DataFrame, reps: DataFrame, leas
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.withColumns({"low": F.least("_own", "_other"), "high": F.greatest("_own", "_other")})
     rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    rows = rows.select("key", "low", "high", "doc_id", "component", "n", "registers")
+    rows = rows.select("key", "low", "high", "component", "n", "registers")
 
     def tied(group: list) -> Iterator[pa.RecordBatch]:
-        ids, parts, sizes = (np.array([g[i] for g in group], np.int64) for i in (3, 4, 5))
-        held = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(-1, REGISTERS)
+        parts, sizes = (np.array([g[i] for g in group], np.int64) for i in (3, 4))
+        held = np.frombuffer(b"".join(g[5] for g in group), np.uint16).reshape(-1, REGISTERS)
         sets, out = _Sets(), ([], [])
         for i in range(len(group) - 1):
             against = np.flatnonzero(parts[i + 1 :] != parts[i]) + i + 1
             good = may_link((held[against] == held[i]).sum(axis=1), sizes[against], np.full(len(against), sizes[i]), least)
-            near, first = np.unique(parts[against[good]], return_index=True)
-            for part, at in zip(near.tolist(), against[good][first].tolist()):
+            for part in np.unique(parts[against[good]]).tolist():
                 if sets.join(int(parts[i]), part):
-                    out[0].append(int(ids[i]))
-                    out[1].append(int(ids[at]))
+                    out[0].append(int(parts[i]))
+                    out[1].append(part)
         yield _kept(*out)
 
     return map_arrow(rows, lambda batches: _grouped(batches, 3, tied), "centre bigint, doc_id bigint")
@@ -260,12 +259,12 @@ def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
 
 
 def _links_between(labels: DataFrame, around: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that join components of one neighbourhood, by full sets.
+    """Links (centre, doc_id) between ids of components of one neighbourhood, by full sets.
 
-    ``around`` gives a neighbourhood to each document that is in one. The documents outside of its largest component are compared with all
+    ``around`` gives a neighbourhood to each component that is in one. The documents outside of its largest component are compared with all
     others, in blocks of bounded size, each pair of which meets in a task. Given out are only links that join components.
     """
-    rows = labels.join(around, "doc_id").join(reps.select("doc_id", "n"), "doc_id")
+    rows = salted_lookup(labels, around, ["component"], F.col("doc_id"), how="inner").join(reps.select("doc_id", "n"), "doc_id")
     parts = rows.groupBy("place", "component").agg(F.sum("n").alias("_n"))
     places = parts.groupBy("place").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_main"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     places = cut_lineage(places.select("place", F.col("_main.component").alias("_main"),
@@ -276,13 +275,13 @@ def _links_between(labels: DataFrame, around: DataFrame, reps: DataFrame, texts:
     both = left.select("place", F.col("_own").alias("l"), "r", F.lit(True).alias("asks"), "doc_id", "component").unionByName(
         right.select("place", "l", F.col("_own").alias("r"), F.lit(False).alias("asks"), "doc_id", "component"))
     both = both.join(texts, "doc_id").repartition("place", "l", "r").sortWithinPartitions("place", "l", "r")
-    both = both.select("place", "l", "r", "asks", "doc_id", "component", "text")
+    both = both.select("place", "l", "r", "asks", "component", "text")
 
     def linked(group: list) -> Iterator[pa.RecordBatch]:
-        data, offsets = utf8(pa.array([g[6] for g in group], pa.string()))
+        data, offsets = utf8(pa.array([g[5] for g in group], pa.string()))
         found = list(shingle_sets(Words(data, offsets, SPACE_WORDS), width))
         asks = np.array([g[3] for g in group], bool)
-        others, owners = np.flatnonzero(~asks), np.array([g[5] for g in group], np.int64)
+        others, owners = np.flatnonzero(~asks), np.array([g[4] for g in group], np.int64)
         sizes = np.array([len(f) for f in found], np.int64)
         postings = np.concatenate([np.zeros(0, np.uint64), *(found[i] for i in others)])
         of = np.repeat(np.arange(len(others)), sizes[others])
@@ -295,11 +294,10 @@ def _links_between(labels: DataFrame, around: DataFrame, reps: DataFrame, texts:
             at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
             shared = np.bincount(of[at], minlength=len(others))
             good = (shared > 0) & (100 * shared >= percent * (sizes[i] + sizes[others] - shared)) & (owners[others] != owners[i])
-            near, first = np.unique(owners[others[good]], return_index=True)
-            for part, j in zip(near.tolist(), others[good][first].tolist()):
+            for part in np.unique(owners[others[good]]).tolist():
                 if sets.join(int(owners[i]), part):
-                    out[0].append(group[i][4])
-                    out[1].append(group[j][4])
+                    out[0].append(int(owners[i]))
+                    out[1].append(part)
         yield _kept(*out)
 
     return map_arrow(both, lambda batches: _grouped(batches, 3, linked), "centre bigint, doc_id bigint")
@@ -332,11 +330,12 @@ def near_dedup(docs: DataFrame, width: int = 3, percent: int = 85, id_column: st
     labels = connect(links)
     members = buckets.select("doc_id").distinct().join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     members = cut_lineage(members)
-    known = members.select(F.col("component").alias("centre"), "doc_id").where("centre <> doc_id")
-    around = connect(known.unionByName(cut_lineage(_neighbourhoods(buckets, members, reps, least))))
-    more = cut_lineage(_links_between(members, around.withColumnRenamed("component", "place"), reps, texts, width, percent))
-    labels = connect(known.unionByName(more))
-    found = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
+    # from here on components are linked, not their documents: each stands as one node, whatever its size
+    around = connect(cut_lineage(_neighbourhoods(buckets, members, reps, least))).select(F.col("doc_id").alias("component"), F.col("component").alias("place"))
+    more = cut_lineage(_links_between(members, around, reps, texts, width, percent))
+    merged = connect(more).select(F.col("doc_id").alias("component"), F.col("component").alias("_whole"))
+    labels = salted_lookup(members, merged, ["component"], F.col("doc_id")).select(F.col("doc_id").alias("rep"), F.coalesce("_whole", "component").alias("component"))
+    found = classes.join(labels, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     alone = sketches.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     joined = salted_lookup(full.select("doc_id", "n", "set_a", "set_b"), found, ["set_a", "set_b", "n"], F.col("doc_id"), how="inner")
     out = joined.select("doc_id", "n", "component").unionByName(alone)

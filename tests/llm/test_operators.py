@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strom.llm import chat, decontaminate, exact_dedup, language_id, licenses, mixing, near_dedup, pii, secrets, toxicity
+from strom.llm import chat, components, decontaminate, exact_dedup, language_id, licenses, mixing, near_dedup, pii, secrets, toxicity
 from strom.llm.components import connect
 from strom.llm.shared import ALNUM_WORDS, SPACE_WORDS, Words, salted_lookup
-from strom.session import checkpoint_root
+from strom.session import checkpoint_root, cut_lineage
 
 # extra columns with names the operators use themselves
 CLASH = ("1 as n", "'x' as _norm", "2L as size", "3 as kept", "'k' as _key", "4 as _salt", "'p' as part", "'b' as blob", "5L as component")
@@ -192,6 +192,28 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 1 if i <= 100 else 101 for i in range(1, 201)}
 
 
+def test_components_that_are_settled_take_no_further_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    for pairs, most in (([], 1), ([(1, i) for i in range(2, 40)] + [(i, 50) for i in range(51, 60)], 1), ([(1, 3), (3, 5), (7, 5)], 3)):
+        written.clear()
+        got = {r.doc_id: r.component for r in connect(spark.createDataFrame(pairs, "centre bigint, doc_id bigint")).collect()}
+        ids = {i for pair in pairs for i in pair}
+        assert got == {i: 50 if i >= 50 else 1 for i in ids} and len(written) <= most
+
+
+def test_near_dedup_links_components_instead_of_their_documents(spark, monkeypatch):
+    links = []
+    monkeypatch.setattr(near_dedup, "connect", lambda df: links.append(df.count()) or connect(df))
+    text = [f"w{i}" for i in range(100)]
+    # a chain, of which each text is near to the next few only, and many copies near to its first
+    rows = [(i, " ".join([f"c{k}" for k in range(3 * i)] + text[3 * i :]), "s") for i in range(20)]
+    rows += [(100 + i, " ".join([*text[:-1], f"end{i}"]), "s") for i in range(200)]
+    found = near_dedup.near_dedup(docs_of(spark, rows)).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 220
+    assert len(links) == 3 and links[0] >= 200 and max(links[1:]) < 100
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) for n in (3000, 1000, 1000))
