@@ -99,3 +99,31 @@ def test_a_site_in_two_places_still_counts_once_per_corridor(spark, monkeypatch)
     assert one_row_each(moved, ["station_id", "max_power_kw"]) is None
     same(C.corridor_candidates(None, pick=corridors.best_per_stretch(10.0)).collect(), C.corridor_candidates(None).collect())
 
+
+def stations_and_routes(spark, count=1200):
+    rng = random.Random(3)
+    routes = [(f"R{i}", "s", f"n{i}", 264e3, walk(rng, 12)) for i in range(15)]
+    # to and fro on the same line, the same vertex twice, far from all sites, a route of one vertex
+    there = walk(rng, 6)
+    routes += [("back", "s", "b", 1e5, there + there[::-1]), ("stay", None, "t", 1e5, there[:3] + there[2:]), ("far", "s", "f", 1e5, [(0, 40.0, 9.0), (1, 40.0, 9.1)]), ("R-", "s", "x", 0.0, there[:1])]
+    routes = [(*r[:4], [(k, *v[1:]) for k, v in enumerate(r[4])]) for r in routes]
+    sites = [(f"S{i}", rng.choice([None, 20.0, 50.0, 150.0]), rng.choice([None, True, False]), *p) for i, p in enumerate(places(rng, count))]
+    sites += [sites[0], (None, 50.0, True, *sites[9][3:]), ("twin", 50.0, True, *sites[9][3:]), ("lost", 50.0, True, None, 9.0)]
+    return (spark.createDataFrame(routes, f"route_id string, slug string, name string, distance_m double, {LINE}"),
+            spark.createDataFrame(sites, "station_id string, max_power_kw double, is_fast_charger boolean, latitude double, longitude double"))
+
+
+@pytest.mark.parametrize("options", [{}, {"top_gaps": 3, "min_reported_gap_km": 5.0}, {"count_all_stations": False, "include_geometry": True}])
+def test_gaps_of_routes_equal_those_of_all_pairs_without_pairs(spark, monkeypatch, options):
+    routes, stations = stations_and_routes(spark)
+    with monkeypatch.context() as patched:
+        patched.setattr(corridors, "one_row_each", lambda points, key: None, raising=False)
+        want = corridors.coverage_query(routes, stations, **options).collect()
+
+    def refused(*given, **named):
+        raise AssertionError("pairs of site and route")
+
+    monkeypatch.setattr(corridors, "distance_join", refused)
+    got = corridors.coverage_query(routes, stations, **options).collect()
+    assert len(want) > 40 and {r.route_id for r in want} >= {"back", "stay", "far"}
+    same([[r[c] for c in want[0].__fields__] for r in got], want)
