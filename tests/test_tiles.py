@@ -2,16 +2,18 @@
 
 import math
 import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from strom.operators.spatial import distance_join, line_edges
 from strom.operators.tiles import along_lines, one_row_each
-from strom.plans import chargeplan, corridors
+from strom.plans import chargeplan, corridors, traffic
 from strom.registry import corridors as C
 from strom.registry import streams
 
+AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
 LINE = "geometry array<struct<ordinal: int, latitude: double, longitude: double>>"
 
 
@@ -127,3 +129,17 @@ def test_gaps_of_routes_equal_those_of_all_pairs_without_pairs(spark, monkeypatc
     got = corridors.coverage_query(routes, stations, **options).collect()
     assert len(want) > 40 and {r.route_id for r in want} >= {"back", "stay", "far"}
     same([[r[c] for c in want[0].__fields__] for r in got], want)
+
+
+def test_painted_routes_equal_those_of_all_pairs_from_few_events(spark):
+    rng = random.Random(4)
+    routes = spark.createDataFrame([(f"R{i}", walk(rng, 12)) for i in range(10)], f"route_id string, {LINE}")
+    events = [(f"T{i}", None, None, rng.choice(["low", "moderate", "high", "severe", None]), rng.choice([None, False, False, False, True]), "A1", *p)
+              for i, p in enumerate(places(rng, 3000))]
+    events += [events[0], (None, None, None, "high", False, "A1", *events[9][6:])]
+    events = spark.createDataFrame(events, "traffic_event_id string, starts_at timestamp, ends_at timestamp, severity string, is_blocked boolean, road_name string, latitude double, longitude double")
+    lengths = line_edges(routes, ["route_id"]).select("route_id", "line_m").distinct()
+    every, few = traffic.events_along_route(routes, events, AT, 3000.0), traffic.worst_along_route(routes, events, AT, 3000.0)
+    want = sorted(map(tuple, traffic.paint_events(every, lengths).collect()))
+    assert sorted(map(tuple, traffic.paint_events(few, lengths).collect())) == want and {r[2] for r in want} >= {"severe", "high", None}
+    assert few.count() * 1.5 < every.count()
