@@ -143,3 +143,23 @@ def test_painted_routes_equal_those_of_all_pairs_from_few_events(spark):
     want = sorted(map(tuple, traffic.paint_events(every, lengths).collect()))
     assert sorted(map(tuple, traffic.paint_events(few, lengths).collect())) == want and {r[2] for r in want} >= {"severe", "high", None}
     assert few.count() * 1.5 < every.count()
+
+
+def test_impact_of_events_equals_that_of_all_pairs_without_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    segments = [(f"G{i}", rng.choice(["R1", "R2", None]), float(i), walk(rng, 2, 0.1)) for i in range(400)] + [(None, "R1", 1.0, walk(rng, 2))]
+    segments = spark.createDataFrame(segments, f"route_segment_id string, route_id string, segment_distance_km double, {LINE}")
+    events = [(f"T{i}", rng.randrange(100), *p) for i, p in enumerate(places(rng, 2500))]
+    events += [events[0], ("T1", 100, *events[1][2:]), (None, 7, *events[9][2:]), ("lost", 3, None, 9.0)]
+    events = spark.createDataFrame(events, "traffic_event_id string, _group long, latitude double, longitude double")
+
+    def figures():
+        touched, matched = traffic._touched(events, segments, 2000.0, traffic.DEFAULT)
+        return sorted(map(tuple, touched.collect())), sorted((r["_group"], r["corridor_matched_event_count"]) for r in matched.collect() if r["corridor_matched_event_count"])
+
+    with monkeypatch.context() as patched:
+        patched.setattr(traffic, "one_row_each", lambda points, key: None)
+        want = figures()
+    monkeypatch.setattr(traffic, "distance_join", None)
+    monkeypatch.setattr("strom.operators.tiles.MOST_EDGES", 60)  # several tasks for a tile
+    assert figures() == want and len(want[0]) > 100 and len(want[1]) > 50
