@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strom.functions.geo import with_utm32
 from strom.operators import spatial
+from strom.operators import nearest as nearest_module
 from strom.operators.nearest import _finer, nearest
 from strom.operators.spatial import closest_spots, distance_join, line_edges
 from strom.plans.traffic import event_lines_on_segments, paint_events
@@ -166,3 +167,33 @@ def test_lines_without_geometry_have_no_edges_and_geometries_are_not_checked_at_
     edges = line_edges(lines, ["id"])
     assert sorted((r.id or "", r.edge_no) for r in edges.collect()) == [("", 1), ("a", 1), ("a", 2)]
     assert "size(" not in plan_of(edges)
+
+
+def test_points_far_from_all_sites_meet_few_of_them(spark, monkeypatch):
+    rng = random.Random(13)
+    sites = [(i, 50 + rng.random(), 9 + rng.random()) for i in range(3000)] + [(3000, 50.5, 9.5), (3001, 50.5, 9.5), (3002, None, 9.0)]
+    points = [(i, 50 + rng.random(), 15 + 10 * rng.random()) for i in range(300)] + [(300, 50.5, 9.5), (300, 50.5, 9.5), (301, 30.0, 9.5), (302, None, 9.0), (303, 50.5, 12.0)]
+    site_df = spark.createDataFrame(sites, "site int, latitude double, longitude double")
+    point_df = spark.createDataFrame(points, "id int, latitude double, longitude double")
+    met, kept = [], nearest_module.cut_lineage
+
+    def counted(df, **options):
+        out = kept(df, **options)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest_module, "cut_lineage", counted)
+    xy = metres(spark, [s[1:] for s in sites[:-1]])
+    known = [p for p in points if p[1] is not None]
+    best = {p[0]: min((math.hypot(x - px, y - py), i) for i, (x, y) in enumerate(xy)) for p, (px, py) in zip(known, metres(spark, [p[1:] for p in known]))}
+    for radius in (None, 300_000.0):
+        got = {r.id: (r.site, r.distance_m) for r in nearest(point_df, site_df, ["id"], "site", radius).collect()}
+        assert got.keys() == {p[0] for p in points} and got[302] == (None, None)
+        for key, (far, site) in best.items():
+            assert got[key] == (None, None) if radius and far > radius else got[key][0] == site and math.isclose(got[key][1], far, abs_tol=1e-6)
+    assert max(met) <= 20 * len(points)
+    # the boxes a point goes on with, and no ring that holds every site
+    far = nearest_module._descend(
+        with_utm32(point_df.where("id < 300"), "latitude", "longitude", "px", "py"), with_utm32(site_df, "latitude", "longitude", "sx", "sy").select("site", "sx", "sy"),
+        ["id"], "site", 1e7, 2_000.0, 2e6, nearest_module.DEFAULT)
+    assert {r.id: r._b.site for r in far.collect()} == {i: best[i][1] for i in range(300)}
