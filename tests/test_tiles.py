@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strom.operators.spatial import distance_join, line_edges
 from strom.operators.tiles import along_lines, one_row_each
-from strom.plans import chargeplan, corridors, traffic
+from strom.plans import analysis, chargeplan, corridors, traffic
 from strom.registry import corridors as C
 from strom.registry import streams
 
@@ -163,3 +163,24 @@ def test_impact_of_events_equals_that_of_all_pairs_without_pairs(spark, monkeypa
     monkeypatch.setattr(traffic, "distance_join", None)
     monkeypatch.setattr("strom.operators.tiles.MOST_EDGES", 60)  # several tasks for a tile
     assert figures() == want and len(want[0]) > 100 and len(want[1]) > 50
+
+
+def test_tallies_of_event_lines_equal_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    segments = spark.createDataFrame([(f"G{i}", walk(rng, 2, 0.2)) for i in range(300)] + [("none", None), (None, walk(rng, 2))], f"route_segment_id string, {LINE}")
+    events = [(f"T{i}", None, None, rng.choice(["low", "high", None]), *p, [(0, *p), (1, p[0] + rng.uniform(-0.3, 0.3), p[1] + rng.uniform(-0.3, 0.3))] if i % 3 else None)
+              for i, p in enumerate(places(rng, 600))]
+    events = spark.createDataFrame(events + [("lost", None, None, "high", None, 9.0, None)], f"traffic_event_id string, starts_at timestamp, ends_at timestamp, severity string, latitude double, longitude double, {LINE}")
+    tally = analysis.severity_tally(events)
+
+    def figures(rows):
+        out = rows.groupBy("route_segment_id").agg(F.max("severity_ordinal").alias("m"), F.sum("event_rows").alias("n"))
+        return sorted((r.route_segment_id, r.m, r.n) for r in out.collect() if r.route_segment_id)
+
+    want = figures(traffic.event_lines_on_segments(events, segments, AT, 1500.0, keep=tally))
+    twice = events.union(events.limit(20))
+    want_twice = figures(traffic.event_lines_on_segments(twice, segments, AT, 1500.0, keep=analysis.severity_tally(twice)))
+    assert figures(traffic.event_tally_on_segments(twice, segments, AT, 1500.0, analysis.severity_tally(twice))) == want_twice
+    monkeypatch.setattr(traffic, "event_lines_on_segments", None)
+    found = traffic.event_tally_on_segments(events, segments, AT, 1500.0, tally)
+    assert figures(found) == want and len(want) > 150 and sum(r[2] for r in want) > 5 * found.count() / 2
